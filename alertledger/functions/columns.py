@@ -27,18 +27,72 @@ def normalised_text(body="body", snippet="snippet", subject="subject") -> Column
     return F.regexp_replace(joined, r"[\s]+", " ")
 
 
-def extract(text: str | Column, pattern: str) -> Column:
+# Literal pre-filters for the *normalised* text. A pattern can only match text
+# that contains these literals (case-folded): ``any`` = at least one of them,
+# ``all`` = each of them. A plain substring search on the lower-cased text
+# skips the regex engine for rows that cannot match; the result is identical
+# because the regex still decides every row that passes. Two facts make the
+# literals valid: the patterns fold case for ASCII only (lower-casing can add
+# candidates, never drop one), and in normalised text every ``\s`` run is
+# exactly one space, so ``x\s+y`` needs the literal ``"x y"``.
+REQUIRED: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    P.AMOUNT_ANCHORED: (("debited rs", "withdrawal for rs", "spent rs", "purchase of rs"), ()),
+    P.AMOUNT_POSTFIX: ((" debited", " credited"), ("rs",)),
+    P.AMOUNT_GENERIC: ((), ("rs",)),
+    P.REF: ((), ("ref",)),
+    P.VPA: ((), ("vpa ",)),
+    P.COUNTERPARTY: ((), ("vpa ", " on ")),
+    P.CARD_ENDING: ((), ("card ending ",)),
+    P.CARD_STARS: ((), ("**",)),
+    P.ACCOUNT: ((), ("from account ",)),
+    P.CITY: ((), ("in ", " at")),
+    P.PLACE: ((), ("at ", " on ")),
+    P.BALANCE: ((), ("available balance", "rs")),
+    P.LOCAL_DT: ((), ("on ", ":")),
+    P.DIRECTION_TESTS[0][0]: (("credited", "refund", "reversal", "received"), ()),
+    P.DIRECTION_TESTS[1][0]: (("debited", "withdrawal", "spent", "purchase", "debit card"), ()),
+    P.TXN_TYPE_TESTS[0][0]: ((), ("atm withdrawal",)),
+    P.TXN_TYPE_TESTS[1][0]: ((), ("upi",)),
+    P.TXN_TYPE_TESTS[2][0]: ((), ("credit card",)),
+    P.TXN_TYPE_TESTS[3][0]: ((), ("debit card",)),
+    P.TXN_TYPE_TESTS[4][0]: ((), ("neft",)),
+    P.TXN_TYPE_TESTS[5][0]: ((), ("imps",)),
+    P.TXN_TYPE_TESTS[6][0]: ((), ("rtgs",)),
+    P.CURRENCY_TESTS[1][0]: (("$", "usd"), ()),
+}
+
+
+def may_match(lowered: Column | None, pattern: str) -> Column | None:
+    """Cheap necessary condition for ``pattern`` on the lower-cased text, or None."""
+    if lowered is None or pattern not in REQUIRED:
+        return None
+    any_of, all_of = REQUIRED[pattern]
+    cond = None
+    if any_of:
+        cond = lowered.contains(any_of[0])
+        for lit in any_of[1:]:
+            cond = cond | lowered.contains(lit)
+    for lit in all_of:
+        cond = lowered.contains(lit) if cond is None else cond & lowered.contains(lit)
+    return cond
+
+
+def extract(text: str | Column, pattern: str, lowered: Column | None = None) -> Column:
     """Group 1 of the first match, or NULL when nothing (or only '') matched."""
-    return F.nullif(F.regexp_extract(col_(text), pattern, 1), F.lit(""))
+    value = F.nullif(F.regexp_extract(col_(text), pattern, 1), F.lit(""))
+    guard = may_match(lowered, pattern)
+    return value if guard is None else F.when(guard, value)
 
 
-def first_match_label(text: str | Column, tests: Sequence[tuple[str, str]], default: str) -> Column:
+def first_match_label(text: str | Column, tests: Sequence[tuple[str, str]], default: str,
+                      lowered: Column | None = None) -> Column:
     """CASE over ``rlike`` tests in order; first hit gives its label."""
     t = col_(text)
     expr = None
     for pattern, label in tests:
-        expr = (F.when(t.rlike(pattern), F.lit(label)) if expr is None
-                else expr.when(t.rlike(pattern), F.lit(label)))
+        guard = may_match(lowered, pattern)
+        hit = t.rlike(pattern) if guard is None else (guard & t.rlike(pattern))
+        expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
     return expr.otherwise(F.lit(default))
 
 
@@ -47,20 +101,20 @@ def to_money(raw: str | Column) -> Column:
     return F.regexp_replace(col_(raw), ",", "").try_cast(MONEY)
 
 
-def amount_raw(text: str | Column) -> Column:
+def amount_raw(text: str | Column, lowered: Column | None = None) -> Column:
     """Anchored, then postfix, then any ``Rs`` number."""
-    return F.coalesce(extract(text, P.AMOUNT_ANCHORED),
-                      extract(text, P.AMOUNT_POSTFIX),
-                      extract(text, P.AMOUNT_GENERIC))
+    return F.coalesce(extract(text, P.AMOUNT_ANCHORED, lowered),
+                      extract(text, P.AMOUNT_POSTFIX, lowered),
+                      extract(text, P.AMOUNT_GENERIC, lowered))
 
 
-def local_datetime(text: str | Column) -> Column:
+def local_datetime(text: str | Column, lowered: Column | None = None) -> Column:
     """P15: 'on dd-MM-yyyy HH:mm:ss' as a zone-less wall clock; invalid dates → NULL.
 
     The lenient parse decides validity; the NTZ parse then reads the same text
     without going through the session time zone.
     """
-    raw = extract(text, P.LOCAL_DT)
+    raw = extract(text, P.LOCAL_DT, lowered)
     fmt = F.lit(P.LOCAL_DT_FORMAT)
     return F.when(F.try_to_timestamp(raw, fmt).isNotNull(), F.to_timestamp_ntz(raw, fmt))
 
