@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import gold
-from ..operators.parse import is_clean, parse_alerts
+from ..operators.parse import is_clean, parse_alerts, spread
 from ..operators.upsert import to_silver, upsert
 from ..sources.ingest import to_bronze
 from ..sources.store import LayerStore
@@ -25,7 +25,7 @@ def bronze_to_silver(landing: DataFrame, store: LayerStore, source: str = "landi
                      now: Column | None = None, tag: str | None = None) -> dict[str, int]:
     """E1 for one batch of landing rows; returns the committed version numbers."""
     out = {"bronze": store.write(to_bronze(landing, source, now), "bronze", tag=tag)}
-    parsed = parse_alerts(store.read("bronze"), now)
+    parsed = parse_alerts(spread(store.read("bronze")), now)
     flagged = parsed.withColumn(DQ, F.when(is_clean(), F.lit("clean")).otherwise(F.lit("quarantine")))
     out["parsed"] = store.write(flagged, "parsed", tag=tag, partition_by=[DQ])
     committed = store.read("parsed")

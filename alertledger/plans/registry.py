@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import normalised_text, reasons_text, timestamp_micros
 from ..operators import changes, gold, ledger, ops
-from ..operators.parse import clean_rows, parse_alerts, quarantine_rows
+from ..operators.parse import clean_rows, parse_alerts, quarantine_rows, spread
 from ..operators.upsert import newest_per_key, to_silver, upsert
-from ..session import configure, scratch_dir
+from ..session import configure, scratch_dir, shared_dir
 from ..sources import export, fixtures as fx
 from ..sources.ingest import append_json, ingest_messages, records_to_json, to_bronze
 
@@ -34,7 +34,7 @@ PARSED_VIEW = ["id", "thread_id", "sender", "recipient", "subject", "bank", "txn
 def _bronze(spark: SparkSession, sf_dir: str, alerts: DataFrame | None = None) -> DataFrame:
     configure(spark)
     a = fx.alerts_from_orders(spark, sf_dir) if alerts is None else alerts
-    return to_bronze(a, "landing", fx.ntz(fx.BRONZE_NOW))
+    return to_bronze(spread(a), "landing", fx.ntz(fx.BRONZE_NOW))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +45,19 @@ def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(None, to_silver(clean_rows(_parsed(spark, sf_dir))))
 
 
+def _checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Materialise once in the session's checkpoint folder (a lineage cut).
+
+    Used where one parse feeds several branches of a plan (clean, quarantine,
+    silver): without it each branch would re-run the regexes.
+    """
+    shared_dir(spark)  # make sure a checkpoint folder is registered
+    return df.checkpoint(eager=True)
+
+
 def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     bronze = _bronze(spark, sf_dir)
-    parsed = parse_alerts(bronze, fx.ntz(fx.SILVER_NOW))
+    parsed = _checkpointed(spark, parse_alerts(bronze, fx.ntz(fx.SILVER_NOW)))
     clean, quarantine = clean_rows(parsed), quarantine_rows(parsed)
     silver = upsert(None, to_silver(clean))
     return {"bronze": bronze, "parsed": parsed, "silver_clean": clean, "silver_quarantine": quarantine,
@@ -248,7 +258,7 @@ def q_runs_fallback(spark, sf_dir):
 
 
 def q_quarantine_with_counts(spark, sf_dir):
-    q = quarantine_rows(_parsed(spark, sf_dir))
+    q = _checkpointed(spark, quarantine_rows(_parsed(spark, sf_dir)))
     out = ops.quarantine_with_counts(q, gold.failure_reason_counts(q))
     pair = F.transform("reason_counts", lambda s: F.concat(s["reason"], F.lit(":"),
                                                            s["failure_count"].cast("string")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import changes
-from ..operators.parse import is_clean, parse_alerts
+from ..operators.parse import is_clean, parse_alerts, spread
 from ..operators.upsert import newest_per_key, to_silver, upsert
 from ..session import configure, scratch_dir
 from ..sources import fixtures as fx
@@ -68,7 +68,7 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
     def process(batch: DataFrame, batch_id: int) -> None:
         tag = str(batch_id)
         store.append(to_bronze(batch, source, bronze_now), "bronze", tag=tag)
-        parsed = parse_alerts(store.read_tag("bronze", tag), silver_now)
+        parsed = parse_alerts(spread(store.read_tag("bronze", tag)), silver_now)
         flagged = parsed.withColumn(DQ, F.when(is_clean(), F.lit("clean")).otherwise(F.lit("quarantine")))
         store.append(flagged, "parsed", tag=tag, partition_by=[DQ])
         clean = store.read_tag("parsed", tag).filter(F.col(DQ) == "clean").drop(DQ)
