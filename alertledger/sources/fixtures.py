@@ -68,11 +68,25 @@ def _alert_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def _wall_clock(ts: str, short_year: bool = False, with_time: bool = True) -> Column:
+    """dd-MM-yyyy HH:mm:ss (or dd-MM-yy) of a zone-less timestamp, without any zone conversion."""
+    t = F.col(ts)
+    year = _two(F.year(t) % 100) if short_year else F.lpad(F.year(t).cast("string"), 4, "0")
+    date = F.concat_ws("-", _two(F.dayofmonth(t)), _two(F.month(t)), year)
+    if not with_time:
+        return date
+    return F.concat(date, F.lit(" "), F.concat_ws(":", _two(F.hour(t)), _two(F.minute(t)), _two(F.second(t))))
+
+
 def _body(p: DataFrame) -> Column:
     amt = F.format_number(F.col("amt"), 2)
     bal = F.format_number(F.col("bal"), 2)
-    dt = F.date_format("local", "dd-MM-yyyy HH:mm:ss")
-    d8 = F.date_format("local", "dd-MM-yy")
+    dt = _wall_clock("local")
+    d8 = _wall_clock("local", short_year=True, with_time=False)
     c4, ref, m, vpa, city = (F.col(c) for c in ("c4", "ref", "m", "vpa", "city"))
     s = F.lit
     templates = [
