@@ -254,3 +254,16 @@ def failure_list(gold_failures: DataFrame, as_of=None, today_only: bool = False)
     return (g.select(F.col("txn_date").alias("Date"), F.col("reason").alias("Reason"),
                      F.col("failure_count").alias("Count"))
             .orderBy(F.col("Date").desc_nulls_last(), F.col("Count").desc(), F.col("Reason")))
+
+
+# ----------------------------------------------------------------- previews
+def recent_daily(gold_daily: DataFrame, n: int = 10) -> DataFrame:
+    """The newest ``n`` gold daily rows (date desc, then the group columns)."""
+    return gold_daily.orderBy(F.col("txn_date").desc_nulls_last(), "bank", "txn_type", "direction",
+                              "currency").limit(n)
+
+
+def top_merchant_rows(gold_merchant: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest merchant summary rows by total, with a total tie-break."""
+    return gold_merchant.orderBy(F.col("total_amount").desc_nulls_last(), "counterparty",
+                                 F.col("vpa").asc_nulls_first(), "txn_type", "direction", "currency").limit(n)

@@ -477,3 +477,17 @@ SELECT CAST(ts AS DATE) AS txn_date, event_type, COUNT(*) AS event_count,
 FROM events GROUP BY 1, 2""",
     "stream_dedup": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
 })
+
+# --------------------------------------------------------------------------- previews
+ORACLES.update({
+    "gold_daily_recent": with_alerts(f"""
+SELECT * FROM ({GOLD_DAILY}) g
+ORDER BY txn_date DESC NULLS LAST, bank, txn_type, direction, currency LIMIT 10"""),
+    "gold_merchant_top": with_alerts("""
+SELECT counterparty, vpa, txn_type, direction, currency, COUNT(*) AS txn_count,
+  CAST(SUM(amount) AS DECIMAL(28,2)) AS total_amount, MIN(event_time) AS first_seen, MAX(event_time) AS last_seen
+FROM xs WHERE counterparty IS NOT NULL AND counterparty <> ''
+GROUP BY 1, 2, 3, 4, 5
+ORDER BY total_amount DESC NULLS LAST, counterparty, vpa ASC NULLS FIRST, txn_type, direction, currency
+LIMIT 10"""),
+})

@@ -159,6 +159,14 @@ def q_gold_failures(spark, sf_dir):
     return gold.failure_reason_counts(quarantine_rows(_parsed(spark, sf_dir)))
 
 
+def q_gold_daily_recent(spark, sf_dir):
+    return ledger.recent_daily(gold.daily_summary(_silver(spark, sf_dir)), 10)
+
+
+def q_gold_merchant_top(spark, sf_dir):
+    return ledger.top_merchant_rows(gold.merchant_summary(_silver(spark, sf_dir)), 10)
+
+
 # ----------------------------------------------------------------- KPIs
 _KPI_ALL = ["bronze_total", "silver_clean_total", "quarantine_total", "credit_total", "debit_total"]
 _KPI_DAY = ["bronze_today", "clean_today", "q_today", "credit_today", "debit_today"]

@@ -73,10 +73,16 @@ class LayerStore:
         raise FileNotFoundError(f"layer {name!r} has no commit tagged {tag!r}")
 
     def write(self, df: DataFrame, name: str, tag: str | None = None,
-              partition_by: list[str] | None = None) -> int:
-        """Full-refresh commit of ``df`` as the next version; returns its number."""
+              partition_by: list[str] | None = None, sort_within=None) -> int:
+        """Full-refresh commit of ``df`` as the next version; returns its number.
+
+        ``sort_within`` orders rows inside each output file (no global sort,
+        so no range shuffle); readers that need an order sort on read.
+        """
         if tag is not None and self.has_tag(name, tag):
             return self.current_version(name)
+        if sort_within:
+            df = df.sortWithinPartitions(*sort_within)
         nxt = self.current_version(name) + 1
         folder = f"v={nxt:06d}" + (f"-t={tag}" if tag is not None else "")
         writer = df.write.mode("overwrite")
