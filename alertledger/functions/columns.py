@@ -129,16 +129,6 @@ def reasons_text(reasons: str | Column = "failure_reasons", sep: str = ",") -> C
     return F.array_join(col_(reasons), sep)
 
 
-def money_sum(c: str | Column) -> Column:
-    """Sum of decimal(18,2) with a fixed result type on every engine."""
-    return F.sum(col_(c)).cast("decimal(38,2)")
-
-
-def money_avg(c: str | Column) -> Column:
-    """Average of decimal(18,2) at 6 decimals (half-up), fixed result type."""
-    return F.avg(col_(c)).cast("decimal(38,6)")
-
-
 EPOCH_NTZ = "1970-01-01 00:00:00"
 
 

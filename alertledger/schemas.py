@@ -8,7 +8,7 @@ clock by nature. The operators themselves accept either timestamp flavour.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import (ArrayType, DateType, DecimalType, LongType, StringType, StructField,
+from pyspark.sql.types import (DateType, DecimalType, LongType, StringType, StructField,
                                StructType, TimestampNTZType)
 
 MONEY = DecimalType(18, 2)
@@ -49,10 +49,6 @@ PARSED_COLUMNS = [
 
 # Silver = parsed without raw text and reasons, plus the materialised
 # effective time/date (COALESCE(txn_datetime_local, event_time)).
-SILVER_COLUMNS = [c for c in PARSED_COLUMNS if c not in ("body", "snippet", "failure_reasons")] + [
-    "effective_ts", "effective_date",
-]
-
 SILVER = StructType([
     StructField("id", StringType()),
     StructField("thread_id", StringType()),
@@ -81,8 +77,6 @@ SILVER = StructType([
     StructField("effective_date", DateType()),
 ])
 
-REASONS = ArrayType(StringType())
-
 RUNS = StructType([
     StructField("run_id", LongType()),
     StructField("job_id", LongType()),
