@@ -491,3 +491,5 @@ GROUP BY 1, 2, 3, 4, 5
 ORDER BY total_amount DESC NULLS LAST, counterparty, vpa ASC NULLS FIRST, txn_type, direction, currency
 LIMIT 10"""),
 })
+
+ORACLES["stream_gold_failures"] = f"WITH {ALERTS},{FAILURES}\nSELECT * FROM gfail"

@@ -344,7 +344,12 @@ def q_mirror_apply(spark, sf_dir):
 # ----------------------------------------------------------------- streaming
 def q_stream_silver(spark, sf_dir):
     from ..streaming import jobs
-    return jobs.run_alert_stream(spark, sf_dir)
+    return jobs.run_alert_stream_silver(spark, sf_dir)
+
+
+def q_stream_gold_failures(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_alert_stream_failures(spark, sf_dir)
 
 
 def q_stream_gold_daily(spark, sf_dir):

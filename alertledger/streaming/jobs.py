@@ -19,12 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import changes
+from ..operators import changes, gold
 from ..operators.parse import is_clean, parse_alerts, spread
 from ..operators.upsert import newest_per_key, to_silver, upsert
 from ..session import configure, scratch_dir
 from ..sources import fixtures as fx
 from ..sources.ingest import to_bronze
+from ..plans.medallion import SILVER_SORT
 from ..sources.store import LayerStore
 
 DQ = "_dq"
@@ -71,14 +72,32 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
         parsed = parse_alerts(spread(store.read_tag("bronze", tag)), silver_now)
         flagged = parsed.withColumn(DQ, F.when(is_clean(), F.lit("clean")).otherwise(F.lit("quarantine")))
         store.append(flagged, "parsed", tag=tag, partition_by=[DQ])
-        clean = store.read_tag("parsed", tag).filter(F.col(DQ) == "clean").drop(DQ)
+        committed = store.read_tag("parsed", tag)
+        clean = committed.filter(F.col(DQ) == "clean").drop(DQ)
         if not store.has_tag("silver", tag):
             target = store.read("silver") if store.exists("silver") else None
-            store.write(upsert(target, to_silver(clean)), "silver", tag=tag)
+            store.write(upsert(target, to_silver(clean)), "silver", tag=tag, sort_within=SILVER_SORT)
+        if not store.has_tag("gold_failures", tag):
+            batch_counts = gold.failure_reason_counts(committed.filter(F.col(DQ) == "quarantine").drop(DQ))
+            previous = store.read("gold_failures") if store.exists("gold_failures") else None
+            store.write(add_counts(previous, batch_counts, ["txn_date", "reason"], "failure_count"),
+                        "gold_failures", tag=tag)
     return process
 
 
-def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -> DataFrame:
+def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """T5 (failures): additive counts maintained per batch — old + new, summed per key.
+
+    Exact for counts (quarantine only grows), and the state is one row per
+    key (date × reason), so each batch costs O(days), not O(rows seen).
+    """
+    if previous is None:
+        return batch
+    return (previous.unionByName(batch).groupBy(*keys)
+            .agg(F.sum(measure).cast("long").alias(measure)))
+
+
+def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -> LayerStore:
     configure(spark)
     root = scratch_dir(spark, "alert-stream")
     store = LayerStore(spark, f"{root}/layers")
@@ -89,7 +108,15 @@ def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -> DataF
     schema = alerts.select(*landing_cols).schema
     feed_in_arrivals(spark, root, arrivals, schema,
                      alert_batch_fn(store, bronze_now=fx.ntz(fx.BRONZE_NOW), silver_now=fx.ntz(fx.SILVER_NOW)))
-    return store.read("silver")
+    return store
+
+
+def run_alert_stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_alert_stream(spark, sf_dir).read("silver")
+
+
+def run_alert_stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_alert_stream(spark, sf_dir).read("gold_failures")
 
 
 # ----------------------------------------------------------------- T5: streaming daily gold
