@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import gold
 from ..operators.parse import is_clean, parse_alerts, spread
-from ..operators.upsert import to_silver, upsert
+from ..operators.upsert import to_silver, upsert, upsert_bucketed
 from ..sources.ingest import to_bronze
 from ..sources.store import LayerStore
 
@@ -29,8 +29,28 @@ DQ = "_dq"
 SILVER_SORT = ["effective_date", "effective_ts"]
 
 
+def commit_silver(store: LayerStore, clean: DataFrame, tag: str | None = None,
+                  buckets: int | None = None) -> int:
+    """J2 + commit: merge clean rows into the current silver and write the next version.
+
+    With ``buckets`` silver is kept as a Spark bucketed table on ``id``: each
+    commit then shuffles only the incoming rows (the stored side is read
+    already partitioned), which is what keeps per-batch cost proportional to
+    the batch rather than to the table.
+    """
+    if buckets is None:
+        target = store.read("silver") if store.exists("silver") else None
+        return store.write(upsert(target, to_silver(clean)), "silver", tag=tag, sort_within=SILVER_SORT)
+    if store.exists("silver"):
+        merged = upsert_bucketed(store.read_bucketed("silver", "id", buckets), clean, buckets)
+    else:
+        merged = upsert(None, to_silver(clean))
+    return store.write_bucketed(merged, "silver", "id", buckets, tag=tag, sort_within=SILVER_SORT)
+
+
 def bronze_to_silver(landing: DataFrame, store: LayerStore, source: str = "landing",
-                     now: Column | None = None, tag: str | None = None) -> dict[str, int]:
+                     now: Column | None = None, tag: str | None = None,
+                     silver_buckets: int | None = None) -> dict[str, int]:
     """E1 for one batch of landing rows; returns the committed version numbers."""
     out = {"bronze": store.write(to_bronze(landing, source, now), "bronze", tag=tag)}
     parsed = parse_alerts(spread(store.read("bronze")), now)
@@ -38,9 +58,7 @@ def bronze_to_silver(landing: DataFrame, store: LayerStore, source: str = "landi
     out["parsed"] = store.write(flagged, "parsed", tag=tag, partition_by=[DQ])
     committed = store.read("parsed")
     clean = committed.filter(F.col(DQ) == "clean").drop(DQ)
-    target = store.read("silver") if store.exists("silver") else None
-    out["silver"] = store.write(upsert(target, to_silver(clean)), "silver", tag=tag,
-                                sort_within=SILVER_SORT)
+    out["silver"] = commit_silver(store, clean, tag=tag, buckets=silver_buckets)
     return out
 
 

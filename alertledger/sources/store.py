@@ -15,12 +15,14 @@ replayed ``foreachBatch`` finds its tag already committed and does nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 _VERSION = re.compile(r"^v=(\d+)(?:-t=(.+))?$")
 _SEGMENT = re.compile(r"^a=(\d+)(?:-t=(.+))?$")
+_IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
 class LayerStore:
@@ -109,6 +111,48 @@ class LayerStore:
         writer.parquet(f"{self.root}/{name}/{folder}")
         return nxt
 
+    # -- bucketed layers ---------------------------------------------------
+    def _table(self, name: str, version: int) -> str:
+        digest = hashlib.sha1(self.root.encode()).hexdigest()[:10]
+        return f"alertledger_{digest}_{name}_v{version}"
+
+    def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int, tag: str | None = None,
+                       sort_within: list[str] | None = None) -> int:
+        """Commit ``df`` as the next version, stored as a Spark bucketed table on ``key``.
+
+        The files live in the version folder like any other version; the
+        session catalog records the bucket layout so later joins on ``key``
+        read them already partitioned and skip the shuffle of this side.
+        """
+        if tag is not None and self.has_tag(name, tag):
+            return self.current_version(name)
+        nxt = self.current_version(name) + 1
+        folder = f"v={nxt:06d}" + (f"-t={tag}" if tag is not None else "")
+        writer = df.write.mode("overwrite").bucketBy(buckets, key)
+        if sort_within:
+            writer = writer.sortBy(*sort_within)
+        writer.option("path", f"{self.root}/{name}/{folder}").saveAsTable(self._table(name, nxt))
+        return nxt
+
+    def read_bucketed(self, name: str, key: str, buckets: int) -> DataFrame:
+        """Current version of a bucketed layer (registered in this session's catalog if needed)."""
+        versions = self._versions(name)
+        if not versions:
+            raise FileNotFoundError(f"layer {name!r} has no committed version under {self.root}")
+        number, _, path = versions[-1]
+        table = self._table(name, number)
+        if not self.spark.catalog.tableExists(table):
+            # A version written by another session: describe its files and bucket layout
+            # to this session's catalog (the bucket id is in each file name).
+            schema = self.spark.read.parquet(path).schema
+            names = [f.name for f in schema.fields]
+            if not all(_IDENT.match(n) for n in names + [key, table]) or "'" in path:
+                raise ValueError("unsafe identifier or path for catalog registration")
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) "
+                           f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
+
     def counts(self, names: list[str]) -> DataFrame:
         """Row count per committed layer, one union of global counts."""
         from ..operators.ops import layer_counts

@@ -25,7 +25,7 @@ from ..operators.upsert import newest_per_key, to_silver, upsert
 from ..session import configure, scratch_dir
 from ..sources import fixtures as fx
 from ..sources.ingest import to_bronze
-from ..plans.medallion import SILVER_SORT
+from ..plans.medallion import commit_silver
 from ..sources.store import LayerStore
 
 DQ = "_dq"
@@ -59,7 +59,8 @@ def feed_in_arrivals(spark: SparkSession, root: str, arrivals: list[DataFrame],
 
 
 # ----------------------------------------------------------------- T1–T3: alerts → silver
-def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None, silver_now=None) -> BatchFn:
+def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None, silver_now=None,
+                   silver_buckets: int | None = None) -> BatchFn:
     """foreachBatch body: bronze append → parse once → split → upsert silver.
 
     The batch is written to bronze first and re-read from there, so the parse
@@ -75,8 +76,7 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
         committed = store.read_tag("parsed", tag)
         clean = committed.filter(F.col(DQ) == "clean").drop(DQ)
         if not store.has_tag("silver", tag):
-            target = store.read("silver") if store.exists("silver") else None
-            store.write(upsert(target, to_silver(clean)), "silver", tag=tag, sort_within=SILVER_SORT)
+            commit_silver(store, clean, tag=tag, buckets=silver_buckets)
         if not store.has_tag("gold_failures", tag):
             batch_counts = gold.failure_reason_counts(committed.filter(F.col(DQ) == "quarantine").drop(DQ))
             previous = store.read("gold_failures") if store.exists("gold_failures") else None

@@ -96,6 +96,17 @@ def main() -> None:
         times[name] = median_of(lambda b=build: run(b()))
         log(name, round(times[name], 3))
 
+    # ---- one more commit of a small batch (the resends) into the full silver, both layouts ----
+    from alertledger.operators.parse import clean_rows, parse_alerts  # noqa: E402
+    resends = clean_rows(parse_alerts(fx.alerts_from_orders(spark, SF_DIR, keep_parts=True)
+                                      .filter(F.col("r") == 1).drop("o_orderkey", "o_custkey", "r", "k"),
+                                      fx.ntz(fx.SILVER_NOW_2)))
+    for label, buckets in (("upsert_commit_plain", None), ("upsert_commit_bucketed", 16)):
+        layout = LayerStore(spark, scratch_dir(spark, f"bench-{label}"))
+        medallion.commit_silver(layout, L["silver_clean"], buckets=buckets)
+        times[label] = median_of(lambda s=layout, b=buckets: medallion.commit_silver(s, resends, buckets=b))
+        log(label, round(times[label], 3))
+
     # ---- lazy end-to-end queries straight from the driver tables ----
     for name in ("gold_daily", "upsert_newer_wins", "quality_flags", "gold_recon"):
         times[f"lazy_{name}"] = median_of(lambda n=name: run(QUERIES[n](spark, SF_DIR)))
