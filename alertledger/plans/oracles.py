@@ -493,3 +493,5 @@ LIMIT 10"""),
 })
 
 ORACLES["stream_gold_failures"] = f"WITH {ALERTS},{FAILURES}\nSELECT * FROM gfail"
+
+ORACLES["upsert_bucketed"] = ORACLES["upsert_newer_wins"]

@@ -136,6 +136,16 @@ def q_upsert_newer_wins(spark, sf_dir):
     return upsert(first, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2))
 
 
+def q_upsert_bucketed(spark, sf_dir):
+    """J2 on bucketed silver: run 0 committed bucketed by id, then run 1 merged (batch-only shuffle)."""
+    from ..operators.upsert import upsert_bucketed
+    from ..sources.store import LayerStore
+    store = LayerStore(spark, scratch_dir(spark, "upsert-bucketed"))
+    store.write_bucketed(upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW)), "silver", "id", 16)
+    target = store.read_bucketed("silver", "id", 16)
+    return upsert_bucketed(target, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2), 16)
+
+
 def q_upsert_older_kept(spark, sf_dir):
     first = upsert(None, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW))
     return upsert(first, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW_2))

@@ -153,6 +153,11 @@ class LayerStore:
                            f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
         return self.spark.table(table)
 
+    def changes_between(self, name: str, before: int, after: int, key: str = "id") -> DataFrame:
+        """S7 on stored data: the row-change feed turning version ``before`` into ``after``."""
+        from ..operators.changes import change_feed
+        return change_feed(self.read(name, before), self.read(name, after), key, version=after)
+
     def counts(self, names: list[str]) -> DataFrame:
         """Row count per committed layer, one union of global counts."""
         from ..operators.ops import layer_counts
