@@ -97,7 +97,10 @@ def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], me
             .agg(F.sum(measure).cast("long").alias(measure)))
 
 
-def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -> LayerStore:
+def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4,
+                     silver_buckets: int | None = 16) -> LayerStore:
+    """The alerts arrive in ``splits`` parts; silver is kept bucketed by id so each
+    micro-batch shuffles only itself."""
     configure(spark)
     root = scratch_dir(spark, "alert-stream")
     store = LayerStore(spark, f"{root}/layers")
@@ -107,7 +110,8 @@ def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -> Layer
     arrivals = [alerts.filter(part == i).select(*landing_cols) for i in range(splits)]
     schema = alerts.select(*landing_cols).schema
     feed_in_arrivals(spark, root, arrivals, schema,
-                     alert_batch_fn(store, bronze_now=fx.ntz(fx.BRONZE_NOW), silver_now=fx.ntz(fx.SILVER_NOW)))
+                     alert_batch_fn(store, bronze_now=fx.ntz(fx.BRONZE_NOW), silver_now=fx.ntz(fx.SILVER_NOW),
+                                    silver_buckets=silver_buckets))
     return store
 
 
