@@ -44,7 +44,8 @@ def commit_silver(store: LayerStore, clean: DataFrame, tag: str | None = None,
     if store.exists("silver"):
         merged = upsert_bucketed(store.read_bucketed("silver", "id", buckets), clean, buckets)
     else:
-        merged = upsert(None, to_silver(clean))
+        # hash into the bucket layout first: the window reuses it and each task writes one bucket file
+        merged = upsert(None, to_silver(clean).repartition(buckets, "id"))
     return store.write_bucketed(merged, "silver", "id", buckets, tag=tag, sort_within=SILVER_SORT)
 
 
