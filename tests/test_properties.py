@@ -103,3 +103,14 @@ def test_empty_input(spark):
     assert p.count() == 0
     assert gold.daily_summary(upsert(None, to_silver(clean_rows(p)))).count() == 0
     assert gold.recon_metrics(empty, to_silver(clean_rows(p)), quarantine_rows(p)).count() == 0
+
+
+def test_quality_counters_come_with_the_write(spark):
+    from pyspark.sql import Observation
+    obs = Observation("alert_dq_test")
+    parsed = parse_alerts(fx.alerts_from_orders(spark, SF_SMALL), fx.ntz(fx.SILVER_NOW), observation=obs)
+    parsed.write.format("noop").mode("overwrite").save()      # the one action
+    counts = obs.get
+    assert counts["rows"] == parsed.count()
+    assert counts["clean_rows"] == clean_rows(parsed).count()
+    assert 0 < counts["rows_with_amount"] <= counts["rows"]
