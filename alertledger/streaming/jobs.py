@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import changes, gold
 from ..operators.parse import is_clean, parse_alerts, spread
-from ..operators.upsert import newest_per_key, to_silver, upsert
+from ..operators.upsert import newest_per_key
 from ..session import configure, scratch_dir
 from ..sources import fixtures as fx
 from ..sources.ingest import to_bronze
