@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, secrets
+from . import mixing, packing, repeats, secrets
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "source")
 
 
+def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all ``documents`` covered by repeated 400-byte strings, removed."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      "kept_sha256")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -25,4 +33,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_remove_repeats, op9_pack, op10_secret_scan)}
