@@ -50,7 +50,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema,
                 rows: int = 1000) -> DataFrame:
     """Apply ``fn`` to Arrow batches of at most ``rows`` rows, so that a batch of long texts stays small."""
 

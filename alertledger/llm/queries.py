@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, repeats, secrets
+from . import mixing, packing, repeats, secrets, toxicity
 from .common import table
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    """Chain of low quality, then toxic, trained on the labelled ``documents`` of a folder."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each category and the verdict on every row of ``documents``."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+    return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed with weights 3, 1, 2 to 150 % of their words."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -33,4 +45,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_remove_repeats, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op6_remove_repeats, op9_pack, op10_secret_scan)}
