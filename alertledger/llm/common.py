@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir, shared_dir
 
@@ -64,3 +64,35 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def semi_join(big: DataFrame, keys: DataFrame, on: str, limit: int = 500_000) -> DataFrame:
+    """Rows of ``big`` whose ``on`` is in ``keys`` (stored, one column of longs).
+
+    The keys are counted first: up to ``limit`` (4 MB of longs) they are sent to every
+    executor and ``big`` is not shuffled; beyond that it is a join by shuffle.
+    """
+    keys = keys.select(on).distinct()
+    return big.join(F.broadcast(keys) if keys.count() <= limit else keys, on, "left_semi")
+
+
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """node, component (smallest node reachable) of the nodes of ``edges`` (a, b longs).
+
+    Each round every node takes the smallest component among its neighbours, then the component of that
+    component, so the rounds grow with the logarithm of the longest chain. Only minima by key are shuffled.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), label)
+    now = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").alias("node"), F.least("a", "m").alias("component")), label)
+    while True:
+        near = (both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("near")))
+        step = (now.join(near, now["node"] == near["a"])
+                .select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
+        step = stored(step, label)
+        up = step.select(F.col("node").alias("c"), F.col("component").alias("up"))
+        jumped = stored(step.join(up, step["component"] == up["c"])
+                        .select("node", "was", F.least("component", "up").alias("component")), label)
+        now = jumped.select("node", "component")
+        if jumped.filter("component <> was").isEmpty():
+            return now

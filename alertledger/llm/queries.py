@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, repeats, secrets, toxicity
+from . import jaccard, mixing, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept_sha256")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all ``documents`` linked by Jaccard similarity of 0.85 of their 4-word shingles."""
+    return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -45,4 +50,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op6_remove_repeats, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op6_remove_repeats, op8_jaccard_join, op9_pack, op10_secret_scan)}

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, stored
+from .hashing import Hashes, mix
 
 LENGTH, GRAM, BLOCK = 400, 128, 32
 SPAN = LENGTH - GRAM + 1  # 128-byte strings in a 400-byte string
@@ -41,37 +42,6 @@ SLICE = 1 << 20  # bytes that are hashed together
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(29))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-_VALUE = _mix(np.arange(1, 257, dtype=np.uint64))  # the value of each byte
-
-
-def _power(way: str, n: int) -> np.ndarray:
-    if len(_powers[way]) < n:
-        step = np.full(max(n, SLICE + 4096), _BASE if way == "up" else pow(_BASE, -1, 1 << 64), np.uint64)
-        step[0] = 1
-        _powers[way] = np.multiply.accumulate(step)
-    return _powers[way][:n]
-
-
-class Hashes:
-    """Hash of any substring of ``data`` in constant time."""
-
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * _power("up", len(data)), out=self.sums[1:])
-        self.back = _power("down", len(data) + 1)
-
-    def __call__(self, start: np.ndarray, length) -> np.ndarray:
-        return _mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
-
-
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours, by running minima from both sides of blocks of ``width``."""
     n = len(x)
@@ -96,7 +66,7 @@ def _runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[str,
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(p) - 1]])
     a, p1, p2 = anchor[first], p[first], p[last]
-    whole = h(p1, p2 + LENGTH - p1) ^ _mix((a - p1).astype(np.uint64))
+    whole = h(p1, p2 + LENGTH - p1) ^ mix((a - p1).astype(np.uint64))
     return {"anchor": a, "p1": p1, "p2": p2, "gram": grams[a].view(np.int64), "whole": whole.view(np.int64)}
 
 
