@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, mixing, packing, repeats, secrets, toxicity
+from . import extraction, jaccard, mixing, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "source")
 
 
+def op5_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``."""
+    out = extraction.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all ``documents`` covered by repeated 400-byte strings, removed."""
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -50,4 +56,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op6_remove_repeats, op8_jaccard_join, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op5_extract_text, op6_remove_repeats, op8_jaccard_join, op9_pack, op10_secret_scan)}
