@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, jaccard, mixing, packing, repeats, secrets, toxicity
+from . import extraction, jaccard, lines, mixing, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -41,6 +41,14 @@ def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept_sha256")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all ``documents`` that repeat an earlier line, up to one edit: how many go, and what is left."""
+    marked = lines.mark_duplicate_lines(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
+                         F.size("_drop").cast("long").alias("n_removed"),
+                         F.sha2(lines.without_lines(F.col("text"), F.col("_drop")), 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all ``documents`` linked by Jaccard similarity of 0.85 of their 4-word shingles."""
     return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -56,4 +64,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op5_extract_text, op6_remove_repeats, op8_jaccard_join, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan)}
