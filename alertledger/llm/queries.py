@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, jaccard, lines, mixing, packing, repeats, secrets, toxicity
+from . import extraction, inner_product, jaccard, lines, mixing, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 
+def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer products with all ``embeddings`` for each row whose vec_id is divisible by 50."""
+    return inner_product.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed with weights 3, 1, 2 to 150 % of their words."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -64,4 +69,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_top_products, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan)}
