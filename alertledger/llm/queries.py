@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, inner_product, jaccard, lines, mixing, packing, repeats, secrets, toxicity
+from . import extraction, inner_product, jaccard, lines, mixing, neighbours, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all ``embeddings`` found for each row whose vec_id is divisible by 100."""
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed with weights 3, 1, 2 to 150 % of their words."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -69,4 +74,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_top_products, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_top_products, op3_nearest, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan)}
