@@ -5,7 +5,8 @@ nodes are sorted along them and cut into small blocks, and each node takes its
 nearest block mates. NN-descent then improves it by joins: every node gathers its
 neighbours and the nodes that have it as neighbour (``degree`` of each, the nearest),
 all pairs that meet at a node are measured, and each node keeps the ``degree`` nearest
-it has heard of. Rounds end when few neighbours change.
+it has heard of. Rounds end when few neighbours change. These joins carry vectors rounded
+to 8 bits a component; the search measures the originals.
 
 A query that is a row of the table enters the graph at its own node (others would
 enter anywhere): its pool starts with the neighbours there; each step expands the
@@ -30,12 +31,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import map_batches, ship, stored
 from .inner_product import usable
 
-DEGREE, TREES, BLOCK, ROUNDS, BEAM, STEPS = 16, 5, 192, 3, 32, 6
+DEGREE, TREES, BLOCK, ROUNDS, BEAM, STEPS = 32, 6, 1024, 3, 128, 12
 PART_ROWS = 12_288  # nodes that one task sorts and cuts into blocks
 
 
-def _vectors(binary: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x) for x in binary.to_pylist()])
+def _vectors(binary: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Packed vectors (doubles) as rows."""
+    packed = binary.to_pylist()
+    return np.frombuffer(b"".join(packed)).reshape(len(packed), -1)
+
+
+def _rounded(v: np.ndarray) -> list[bytes]:
+    """Each vector as 8-bit numbers and their scale, a quarter or less of its size."""
+    scale = np.maximum(np.abs(v).max(axis=1), 1e-300) / 127
+    codes = np.rint(v / scale[:, None]).astype(np.int8)
+    return [x.tobytes() + c.tobytes() for x, c in zip(scale, codes, strict=True)]
+
+
+def _unrounded(binary: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    packed = binary.to_pylist()
+    data = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    scale = np.ascontiguousarray(data[:, :8]).view(np.float64)
+    return (data[:, 8:].view(np.int8) * scale).astype(np.float32)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -85,11 +102,11 @@ def _start(nodes: DataFrame, dim: int, tree: int, degree: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["node"], batch["v"], pa.array(spot)], names=["node", "v", "spot"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None  # PART_ROWS rows or so
-        if t is None or not t.num_rows:
+        own = list(batches)  # PART_ROWS rows or so
+        if not sum(b.num_rows for b in own):
             return
-        t = t.sort_by([("spot", "ascending"), ("node", "ascending")])
-        ids, v = t["node"].to_numpy(), np.stack([np.frombuffer(x) for x in t["v"].to_pylist()])
+        t = pa.Table.from_batches(own).sort_by([("spot", "ascending"), ("node", "ascending")])
+        ids, v = t["node"].to_numpy(), _vectors(t["v"])
         for at in range(0, len(ids), BLOCK):
             stop = at + BLOCK if len(ids) - at >= 2 * BLOCK or at + BLOCK >= len(ids) else len(ids)
             a, b, d = _block_neighbours(ids[at:stop], v[at:stop], degree)
@@ -115,12 +132,12 @@ def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     far = graph.groupBy("a").agg(F.max("d").alias("far")).withColumnRenamed("a", "u")
     back = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), degree)
     meet = graph.select("a", F.col("b").alias("u")).union(back.select("a", F.col("b").alias("u"))).distinct()
-    full = nodes.join(far, nodes["node"] == far["u"]).select("u", "v", "far")
+    full = nodes.join(far, nodes["node"] == far["u"]).select("u", "code", "far")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, "a"):
             at, u, far = (t[c].to_numpy() for c in ("a", "u", "far"))
-            v = np.stack([np.frombuffer(x) for x in t["v"].to_pylist()])
+            v = _unrounded(t["code"])
             edge = np.flatnonzero(np.diff(at)) + 1
             out = []
             for lo, hi in zip([0, *edge], [*edge, len(at)], strict=True):
@@ -131,16 +148,17 @@ def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
                 ok = i != j
                 out.append((lo + i[ok], lo + j[ok]))
             i, j = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(u[i]), pa.array(u[j]), pa.array(_distances(v[i], v[j]))],
+            apart = _distances(v[i], v[j]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(u[i]), pa.array(u[j]), pa.array(apart)],
                                              names=["a", "b", "d"])
 
-    gathered = meet.join(full, "u").select("a", "u", "v", "far")
+    gathered = meet.join(full, "u").select("a", "u", "code", "far")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return gathered.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(pairs, "a long, b long, d double")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
-    """a, b, d: the nearest neighbours of each node found. ``nodes``: node long, dim int, v (packed doubles)."""
+    """a, b, d: the nearest neighbours of each node found. ``nodes``: node long, dim int, v (packed doubles), code (rounded)."""
     first = None
     for dim in sorted(r["dim"] for r in nodes.select("dim").distinct().collect()):
         for tree in range(trees):
@@ -172,7 +190,8 @@ def _measure(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
     """q, b, d: the ``beam`` nearest nodes found for each query node (column ``q``)."""
-    edges = stored(graph.select("a", "b").union(graph.select("b", "a")).distinct(), "edges")
+    back = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), DEGREE)
+    edges = stored(graph.select("a", "b").union(back.select("a", "b")).distinct(), "edges")
     order = Window.partitionBy("q").orderBy("d", "b")
     entered = edges.join(queries, edges["a"] == queries["q"]).select("q", "b")
     pool = _measure(entered, nodes).withColumn("expanded", F.lit(False))
@@ -191,28 +210,34 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam:
 
 
 def nearest_rows(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-                 degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
+                 beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest rows found for the rows that ``queries`` marks: query_id, rank, id, score (distance)."""
     wide = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = (vectors.filter(usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0))
             .select(F.col(id_col).cast("long").alias("id"), wide.alias("w"), queries.alias("is_query")))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [(np.asarray(x, np.float64) + 0.0).tobytes() for x in batch["w"].to_pylist()]
+        packed = [(np.asarray(x, np.float64) + 0.0).tobytes() for x in batch["w"].to_pylist()]  # -0.0 is 0.0
         return pa.RecordBatch.from_arrays([batch["id"], batch["is_query"], pa.array([len(x) // 8 for x in packed], pa.int32()),
                                            pa.array(packed, pa.binary())], names=["id", "is_query", "dim", "v"])
 
     rows = stored(map_batches(rows, pack, "id long, is_query boolean, dim int, v binary"), "vectors")
     rows_of = rows.groupBy("v", "dim").agg(F.min("id").alias("node"))
-    nodes = stored(rows_of.select("node", "dim", "v"), "nodes")
-    copies = rows.join(nodes, ["v", "dim"]).select("node", "id", "is_query")
+
+    def round_off(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = [_rounded(np.frombuffer(x)[None])[0] for x in batch["v"].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch["node"], batch["dim"], batch["v"], pa.array(codes, pa.binary())],
+                                          names=["node", "dim", "v", "code"])
+
+    nodes = stored(map_batches(rows_of.select("node", "dim", "v"), round_off, "node long, dim int, v binary, code binary"), "nodes")
+    copies = rows.join(nodes.select("v", "dim", "node"), ["v", "dim"]).select("node", "id", "is_query")
     copies = stored(copies, "copies")
     # a query needs no more than k + 1 rows of one vector: the smallest ids
     smallest = Window.partitionBy("node").orderBy("id")
     listed = (copies.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
               .select(F.col("node").alias("b"), "id"))
     asked = copies.filter("is_query").select(F.col("node").alias("q"), F.col("id").alias("query_id"))
-    graph = build_graph(nodes, degree)
+    graph = build_graph(nodes)
     found = greedy_search(graph, nodes, stored(asked.select("q").distinct(), "query-nodes"), max(beam, k + 1))
     own = asked.select("q").distinct().select("q", F.col("q").alias("b"), F.lit(0.0).alias("d"))
     place = Window.partitionBy("query_id").orderBy("score", "id")
