@@ -18,13 +18,11 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def normalised_text(body="body", snippet="snippet", subject="subject") -> Column:
-    """Body, snippet, subject (NULL→'') joined by one space; whitespace runs → one space."""
-    joined = F.concat_ws(" ",
-                         F.coalesce(col_(body), F.lit("")),
-                         F.coalesce(col_(snippet), F.lit("")),
-                         F.coalesce(col_(subject), F.lit("")))
-    return F.regexp_replace(joined, r"[\s]+", " ")
+def normalised_text(*parts: str | Column) -> Column:
+    """The text columns (default body, snippet, subject), each NULL as '', one space between them,
+    every run of white space one space."""
+    texts = [F.ifnull(col_(c), F.lit("")) for c in parts or P.TEXT_COLUMNS]
+    return F.regexp_replace(F.array_join(F.array(*texts), " "), P.WHITE_SPACE, " ")
 
 
 # Literal pre-filters for the *normalised* text. A pattern can only match text
@@ -77,13 +75,18 @@ def may_match(lowered: Column | None, pattern: str) -> Column | None:
     return cond
 
 
-def extract(text: str | Column, pattern: str, lowered: Column | None = None) -> Column:
-    """Group 1 of the first match, or NULL when nothing (or only '') matched."""
-    value = F.nullif(F.regexp_extract(col_(text), pattern, 1), F.lit(""))
+def raw_extract(text: str | Column, pattern: str, lowered: Column | None = None) -> Column:
+    """Group 1 of the first match; '' or NULL when nothing matched. One regex evaluation."""
+    value = F.regexp_extract(col_(text), pattern, 1)
     guard = may_match(lowered, pattern)
     return value if guard is None else F.when(guard, value)
 
 
+def blank_to_null(raw: str | Column) -> Column:
+    """'' → NULL. Keep ``raw`` a column of an earlier projection: the value is used twice."""
+    return F.nullif(col_(raw), F.lit(""))
+
+
 def first_match_label(text: str | Column, tests: Sequence[tuple[str, str]], default: str,
                       lowered: Column | None = None) -> Column:
     """CASE over ``rlike`` tests in order; first hit gives its label."""
@@ -101,22 +104,19 @@ def to_money(raw: str | Column) -> Column:
     return F.regexp_replace(col_(raw), ",", "").try_cast(MONEY)
 
 
-def amount_raw(text: str | Column, lowered: Column | None = None) -> Column:
-    """Anchored, then postfix, then any ``Rs`` number."""
-    return F.coalesce(extract(text, P.AMOUNT_ANCHORED, lowered),
-                      extract(text, P.AMOUNT_POSTFIX, lowered),
-                      extract(text, P.AMOUNT_GENERIC, lowered))
+def first_found(*raws: str) -> Column:
+    """The first raw extract that is not blank."""
+    return F.coalesce(*(blank_to_null(r) for r in raws))
 
 
-def local_datetime(text: str | Column, lowered: Column | None = None) -> Column:
-    """P15: 'on dd-MM-yyyy HH:mm:ss' as a zone-less wall clock; invalid dates → NULL.
+def local_datetime(raw: str | Column) -> Column:
+    """A raw 'dd-MM-yyyy HH:mm:ss' as a zone-less wall clock; invalid dates → NULL.
 
     The lenient parse decides validity; the NTZ parse then reads the same text
     without going through the session time zone.
     """
-    raw = extract(text, P.LOCAL_DT, lowered)
-    fmt = F.lit(P.LOCAL_DT_FORMAT)
-    return F.when(F.try_to_timestamp(raw, fmt).isNotNull(), F.to_timestamp_ntz(raw, fmt))
+    value, fmt = blank_to_null(raw), F.lit(P.LOCAL_DT_FORMAT)
+    return F.when(F.try_to_timestamp(value, fmt).isNotNull(), F.to_timestamp_ntz(value, fmt))
 
 
 def effective_ts(local="txn_datetime_local", event="event_time") -> Column:

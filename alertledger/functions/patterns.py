@@ -5,6 +5,10 @@ must stay exactly as written for results to match: Java regex syntax, applied
 to the whitespace-normalised text, first match wins, "no match" is NULL.
 """
 
+# --- fixed values: the text that is parsed -----------------------------------
+TEXT_COLUMNS = ("body", "snippet", "subject")
+WHITE_SPACE = r"[\s]+"
+
 # --- fixed values: extraction patterns (group 1 is the value) ---------------
 AMOUNT_ANCHORED = r"(?i)(?:debited|withdrawal for|spent|purchase of)\s+Rs\.?\s*([0-9,]+\.?[0-9]*)"
 AMOUNT_POSTFIX = r"(?i)Rs\.?\s*([0-9,]+\.?[0-9]*)\s+(?:has been debited|debited|credited)"

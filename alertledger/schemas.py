@@ -31,7 +31,7 @@ BRONZE = StructType(LANDING.fields + [
     StructField("_source_table", StringType()),
 ])
 
-# Column order of the parsed / clean / quarantine layers.
+# Column order of the parsed / clean / quarantine layers.
 PARSED_COLUMNS = [
     "id", "thread_id", "sender", "recipient", "subject",
     "bank", "txn_type", "direction",
@@ -87,12 +87,17 @@ RUNS = StructType([
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Select ``schema``'s columns in order, casting each; missing → typed NULL."""
-    present = set(df.columns)
+    """Select ``schema``'s columns in order, casting each; missing → typed NULL.
+
+    A column that already has its type is selected as it is, not under a new alias: chains of aliases make
+    the optimizer's constraint inference grow exponentially.
+    """
+    present = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for field in schema.fields:
-        if field.name in present:
-            cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
+        if present.get(field.name) == field.dataType:
+            cols.append(F.col(field.name))
         else:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
+            value = F.col(field.name) if field.name in present else F.lit(None)
+            cols.append(value.cast(field.dataType).alias(field.name))
     return df.select(*cols)
