@@ -2,8 +2,9 @@
 
 Array columns are joined into one display string first (F12) since CSV has no
 list type. NULL is written as ``\\N`` so it survives a round trip distinct from
-an empty string. Spark writes one file per task in parallel; nothing is
-gathered on the driver.
+an empty string, times keep their microseconds, and line ends, quotes and outer
+blanks in a cell are kept (quoted cells, read back as multi-line CSV). Spark
+writes one file per task in parallel; nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 NULL_TOKEN = "\\N"
-_OPTIONS = {"header": "true", "nullValue": NULL_TOKEN, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
-            "escape": '"'}
+_OPTIONS = {"header": "true", "nullValue": NULL_TOKEN, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+            "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _flatten_arrays(df: DataFrame, sep: str = ",") -> DataFrame:

@@ -9,7 +9,12 @@ plan that reads its own current version (the upsert), which a plain
 ``mode("overwrite")`` on the same path forbids. Reading a committed version is
 also a lineage cut.
 
-An optional ``tag`` (e.g. a streaming batch id) makes commits idempotent: a
+An append-only commit is a segment ``a=000003`` after the version it adds to; a
+read is the newest version and all later segments. Versions and segments share one
+numbering. Two writers that pick the same number: the second finds the folder and
+fails.
+
+An optional ``tag`` (for a stream: query id and batch id) makes commits idempotent: a
 replayed ``foreachBatch`` finds its tag already committed and does nothing.
 """
 
@@ -19,6 +24,7 @@ import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _VERSION = re.compile(r"^v=(\d+)(?:-t=(.+))?$")
 _SEGMENT = re.compile(r"^a=(\d+)(?:-t=(.+))?$")
@@ -35,43 +41,61 @@ class LayerStore:
         self._fs = self._Path(self.root).getFileSystem(conf)
 
     # -- listing ---------------------------------------------------------
-    def _versions(self, name: str, pattern=_VERSION) -> list[tuple[int, str | None, str]]:
+    def _folders(self, name: str) -> list[str]:
         path = self._Path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return []
+        return [f.getPath().toString() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def _versions(self, name: str, pattern=_VERSION) -> list[tuple[int, str | None, str]]:
         found = []
-        for status in self._fs.listStatus(path):
-            m = pattern.match(status.getPath().getName())
-            if m and self._fs.exists(self._Path(status.getPath(), "_SUCCESS")):
-                found.append((int(m.group(1)), m.group(2), status.getPath().toString()))
+        for path in self._folders(name):
+            m = pattern.match(path.rpartition("/")[2])
+            if m and self._fs.exists(self._Path(path, "_SUCCESS")):
+                found.append((int(m.group(1)), m.group(2), path))
         return sorted(found)
 
     def current_version(self, name: str) -> int:
         versions = self._versions(name)
         return versions[-1][0] if versions else 0
 
+    def _next(self, name: str) -> int:
+        """A number above every folder of the layer, committed or left by a writer that died."""
+        numbers = [int(m[1]) for m in (re.match(r"[va]=(\d+)", p.rpartition("/")[2]) for p in self._folders(name)) if m]
+        return max(numbers, default=0) + 1
+
     def has_tag(self, name: str, tag: str) -> bool:
         return any(t == str(tag) for _, t, _ in self._versions(name) + self._versions(name, _SEGMENT))
 
+    def version_of(self, name: str, tag: str) -> int:
+        """Number of the version committed under ``tag``."""
+        return next(number for number, t, _ in self._versions(name) if t == str(tag))
+
     def exists(self, name: str) -> bool:
         return bool(self._versions(name) or self._versions(name, _SEGMENT))
 
     # -- read / write ------------------------------------------------------
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        segments = self._versions(name, _SEGMENT)
-        if segments and version is None:
-            return self.spark.read.parquet(*[p for _, _, p in segments])
+    def read(self, name: str, version: int | None = None, schema: StructType | None = None) -> DataFrame:
+        """The newest version and the segments after it, or one version as it was written.
+
+        With ``schema`` no footer is read, and a layer that was committed without rows can be read.
+        """
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         versions = self._versions(name)
-        if not versions:
+        if version is not None:
+            return reader.parquet(next(path for number, _, path in versions if number == version))
+        newest = versions[-1:]
+        later = [x for x in self._versions(name, _SEGMENT) if not newest or x[0] > newest[0][0]]
+        if not newest and not later:
             raise FileNotFoundError(f"layer {name!r} has no committed version under {self.root}")
-        chosen = versions[-1] if version is None else next(v for v in versions if v[0] == version)
-        return self.spark.read.parquet(chosen[2])
+        frames = [reader.parquet(x[2]) for x in newest]
+        if later:
+            frames.append(reader.parquet(*[x[2] for x in later]))
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
-    def read_tag(self, name: str, tag: str) -> DataFrame:
+    def read_tag(self, name: str, tag: str, schema: StructType | None = None) -> DataFrame:
         """The one segment or version committed under ``tag``."""
         for _, t, path in self._versions(name, _SEGMENT) + self._versions(name):
             if t == str(tag):
-                return self.spark.read.parquet(path)
+                return (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(path)
         raise FileNotFoundError(f"layer {name!r} has no commit tagged {tag!r}")
 
     def write(self, df: DataFrame, name: str, tag: str | None = None,
@@ -85,9 +109,9 @@ class LayerStore:
             return self.current_version(name)
         if sort_within:
             df = df.sortWithinPartitions(*sort_within)
-        nxt = self.current_version(name) + 1
+        nxt = self._next(name)
         folder = f"v={nxt:06d}" + (f"-t={tag}" if tag is not None else "")
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/{name}/{folder}")
@@ -101,11 +125,10 @@ class LayerStore:
         new data however long the layer grows.
         """
         if tag is not None and self.has_tag(name, tag):
-            return len(self._versions(name, _SEGMENT))
-        segments = self._versions(name, _SEGMENT)
-        nxt = (segments[-1][0] if segments else 0) + 1
+            return next(n for n, t, _ in self._versions(name, _SEGMENT) + self._versions(name) if t == str(tag))
+        nxt = self._next(name)
         folder = f"a={nxt:06d}" + (f"-t={tag}" if tag is not None else "")
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/{name}/{folder}")
@@ -126,9 +149,9 @@ class LayerStore:
         """
         if tag is not None and self.has_tag(name, tag):
             return self.current_version(name)
-        nxt = self.current_version(name) + 1
+        nxt = self._next(name)
         folder = f"v={nxt:06d}" + (f"-t={tag}" if tag is not None else "")
-        writer = df.write.mode("overwrite").bucketBy(buckets, key)
+        writer = df.write.mode("errorifexists").bucketBy(buckets, key)
         if sort_within:
             writer = writer.sortBy(*sort_within)
         writer.option("path", f"{self.root}/{name}/{folder}").saveAsTable(self._table(name, nxt))
@@ -153,7 +176,7 @@ class LayerStore:
                            f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
         return self.spark.table(table)
 
-    def changes_between(self, name: str, before: int, after: int, key: str = "id") -> DataFrame:
+    def changes_between(self, name: str, before: int, after: int, key="id") -> DataFrame:
         """S7 on stored data: the row-change feed turning version ``before`` into ``after``."""
         from ..operators.changes import change_feed
         return change_feed(self.read(name, before), self.read(name, after), key, version=after)
