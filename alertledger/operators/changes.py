@@ -1,13 +1,14 @@
 """Row-change feed (S7) and its replay into serving copies.
 
-``change_feed`` first keeps one row per key on each side (a primary key must be
-unique; this also rules out pair explosion on a duplicated key), then joins the
-two sides on the key. The per-key window and the join ask for the same hash
+Keys are one column or several, and NULL is a key value like any other (a
+merchant without VPA). ``change_feed`` keeps one row per key on each side, then
+joins the two sides on the keys; the window and the join ask for the same hash
 partitioning, so Spark plans one exchange per side, not two.
 
-``apply_changes`` is a union of mirror rows and change rows followed by "newest
-per key" — a replay is idempotent and order-insensitive given the sequence
-column, and deletes are simply winners that are dropped.
+A mirror keeps the commit version of each row's last change, and deleted rows
+as markers. A change is taken only if its version is newer than what the mirror
+has for the key, so a feed may be replayed, or arrive late or out of order.
+``visible`` is what readers of the mirror see.
 """
 
 from __future__ import annotations
@@ -20,44 +21,62 @@ from .upsert import row_hash
 
 CHANGE = "_change_type"   # insert | update | delete
 SEQ = "_commit_version"
+DELETED = "_deleted"
 
 
-def _one_per_key(df: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(row_hash(df).desc())
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(row_hash(df).desc())
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def change_feed(before: DataFrame, after: DataFrame, key: str = "id",
+def change_feed(before: DataFrame, after: DataFrame, key: str | Sequence[str] = "id",
                 compare: Sequence[str] | None = None, version: int = 1) -> DataFrame:
     """Insert / update / delete rows turning ``before`` into ``after``.
 
     Insert and update rows carry the after image, delete rows the before
     image; unchanged rows are not emitted. Equality is NULL-safe per column.
     """
-    cols = [c for c in after.columns]
-    compare = [c for c in (compare or cols) if c != key]
-    b = _one_per_key(before.select(*cols), key).alias("b")
-    a = _one_per_key(after.select(*cols), key).alias("a")
-    joined = b.join(a, F.col(f"b.{key}") == F.col(f"a.{key}"), "full_outer")
-    in_b, in_a = F.col(f"b.{key}").isNotNull(), F.col(f"a.{key}").isNotNull()
+    cols, keys = after.columns, _keys(key)
+    compare = [c for c in (compare or cols) if c not in keys]
+    b = _one_per_key(before.select(*cols), keys).withColumn("_there", F.lit(True)).alias("b")
+    a = _one_per_key(after.select(*cols), keys).withColumn("_there", F.lit(True)).alias("a")
+    match = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in keys]
+    joined = b.join(a, match, "full_outer")
+    in_b, in_a = F.col("b._there").isNotNull(), F.col("a._there").isNotNull()
     same = F.lit(True)
     for c in compare:
-        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))
+        same = same & F.col(f"b.`{c}`").eqNullSafe(F.col(f"a.`{c}`"))
     kind = (F.when(in_a & ~in_b, F.lit("insert"))
              .when(in_b & ~in_a, F.lit("delete"))
              .when(~same, F.lit("update")))
-    image = [F.when(in_a, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in cols]
+    image = [F.when(in_a, F.col(f"a.`{c}`")).otherwise(F.col(f"b.`{c}`")).alias(c) for c in cols]
     return (joined.select(*image, kind.alias(CHANGE))
             .filter(F.col(CHANGE).isNotNull())
             .withColumn(SEQ, F.lit(version).cast("long")))
 
 
-def apply_changes(mirror: DataFrame, feed: DataFrame, key: str = "id", seq: str = SEQ) -> DataFrame:
-    """Replay a change feed into a keyed copy; newest change per key wins."""
-    cols = mirror.columns
-    base = mirror.select(*cols, F.lit("snapshot").alias(CHANGE), F.lit(-1).cast("long").alias(seq))
-    changes = feed.select(*cols, CHANGE, F.col(seq).cast("long").alias(seq))
-    u = base.unionByName(changes)
-    w = Window.partitionBy(key).orderBy(F.col(seq).desc(), F.col(CHANGE).asc())
-    newest = u.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return newest.filter(F.col(CHANGE) != "delete").select(*cols)
+def mirror_of(snapshot: DataFrame, version: int = 0) -> DataFrame:
+    """A mirror that starts as ``snapshot``, the state at commit ``version``."""
+    return snapshot.withColumn(SEQ, F.lit(version).cast("long")).withColumn(DELETED, F.lit(False))
+
+
+def replay(mirror: DataFrame, feed: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    """The mirror after ``feed``; per key the change of the highest commit version wins, a tie keeps the mirror."""
+    changes = feed.withColumn(DELETED, F.col(CHANGE) == "delete").select(*mirror.columns)
+    both = mirror.withColumn("_mine", F.lit(1)).unionByName(changes.withColumn("_mine", F.lit(0)))
+    w = Window.partitionBy(*_keys(key)).orderBy(F.col(SEQ).desc(), F.col("_mine").desc(), F.col(DELETED).asc())
+    return (both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+            .select(*mirror.columns))
+
+
+def visible(mirror: DataFrame) -> DataFrame:
+    return mirror.filter(~F.col(DELETED)).drop(SEQ, DELETED)
+
+
+def apply_changes(snapshot: DataFrame, feed: DataFrame, key: str | Sequence[str] = "id") -> DataFrame:
+    """S8 in one step: a snapshot (commit 0) brought up to date by ``feed``."""
+    return visible(replay(mirror_of(snapshot), feed, key))

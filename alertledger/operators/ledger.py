@@ -196,6 +196,7 @@ def latest_one(silver: DataFrame) -> DataFrame:
         merchant.alias("merchant"))
 
 
+# Display names of the ledger and quarantine grids.
 LEDGER_VIEW = [("effective_ts", "When"), ("bank", "Bank"), ("txn_type", "Type"), ("direction", "Dir"),
                ("amount", "Amount"), ("currency", "Ccy"), ("counterparty", "Counterparty"),
                ("vpa", "VPA"), ("txn_ref", "Ref")]
@@ -211,6 +212,11 @@ LEDGER_COLUMNS = ["effective_ts", "id", "bank", "txn_type", "direction", "amount
                   "counterparty", "vpa", "txn_ref"]
 
 
+def by_id(silver: DataFrame, ids: list[str]) -> DataFrame:
+    """Point lookup: the ledger rows of the given transaction ids (pushed to the scan)."""
+    return _ensure_effective(silver).filter(F.col("id").isin(list(ids))).select(*LEDGER_COLUMNS)
+
+
 def ledger_page(silver: DataFrame, page: int = 0, size: int = 25) -> DataFrame:
     """Page ``page`` (0-based) of the full ledger, newest first."""
     s = _ensure_effective(silver)

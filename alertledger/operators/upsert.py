@@ -80,19 +80,20 @@ def upsert(target: DataFrame | None, source: DataFrame, key: str = "id") -> Data
 def upsert_bucketed(target: DataFrame, source: DataFrame, buckets: int, key: str = "id") -> DataFrame:
     """J2 for a silver table stored bucketed by ``key`` into ``buckets`` buckets.
 
-    Same result as ``upsert`` (same MERGE rule and tie-breaks), planned so
-    that the large side is never shuffled: the incoming rows are hashed into
-    the table's bucket layout once, reduced to the newest row per key (partial
-    group limit, so a hot key stays cheap), and merge-joined against the
-    bucketed scan, which Spark reads already partitioned by ``key``. Cost per
-    commit: one shuffle of the batch plus a scan of the table, instead of a
-    shuffle of table + batch.
+    Same result as ``upsert`` (same MERGE rule and tie-breaks), planned so that
+    the large side is never shuffled: the incoming rows are reduced to the
+    newest row per key (a group limit on both sides of that exchange, so a hot
+    key stays cheap), hashed into the table's bucket layout and merge-joined
+    against the bucketed scan, which Spark reads already partitioned by
+    ``key``. Cost per commit: two shuffles of the batch and a scan of the
+    table. ``buckets`` is the table's own number, chosen by whoever creates it.
     """
     src = conform(source, SILVER) if set(SILVER.fieldNames()) <= set(source.columns) else to_silver(source)
-    src = newest_per_key(src.repartition(buckets, key), key)
-    t, s = conform(target, SILVER).alias("t"), src.alias("s")
+    src = newest_per_key(src, key).repartition(buckets, key)
+    there = F.lit(True).alias("_there")
+    t, s = conform(target, SILVER).select("*", there).alias("t"), src.select("*", there).alias("s")
     joined = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer")
-    in_t, in_s = F.col(f"t.{key}").isNotNull(), F.col(f"s.{key}").isNotNull()
+    in_t, in_s = F.col("t._there").isNotNull(), F.col("s._there").isNotNull()
     newer = F.coalesce(F.col("s.event_time") > F.col("t.event_time"), F.lit(False))
     take_source = in_s & (~in_t | newer)
     return joined.select(*[F.when(take_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
