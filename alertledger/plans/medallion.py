@@ -13,14 +13,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import gold
-from ..operators.parse import is_clean, parse_alerts, spread
+from ..operators.parse import DQ, clean_rows, flagged, parse_alerts, quarantine_rows
 from ..operators.upsert import to_silver, upsert, upsert_bucketed
+from ..schemas import BRONZE, SILVER
 from ..sources.ingest import to_bronze
 from ..sources.store import LayerStore
 
-DQ = "_dq"
 # Silver files come out hash-partitioned by id (the upsert's shuffle), so every
 # file spans every date. Sorting rows by effective date inside each file gives
 # the parquet row groups tight min/max statistics: the ledger's pushed-down
@@ -39,7 +40,7 @@ def commit_silver(store: LayerStore, clean: DataFrame, tag: str | None = None,
     the batch rather than to the table.
     """
     if buckets is None:
-        target = store.read("silver") if store.exists("silver") else None
+        target = store.read("silver", schema=SILVER) if store.exists("silver") else None
         return store.write(upsert(target, to_silver(clean)), "silver", tag=tag, sort_within=SILVER_SORT)
     if store.exists("silver"):
         merged = upsert_bucketed(store.read_bucketed("silver", "id", buckets), clean, buckets)
@@ -54,15 +55,18 @@ def bronze_to_silver(landing: DataFrame, store: LayerStore, source: str = "landi
                      silver_buckets: int | None = None) -> dict[str, int]:
     """E1 for one batch of landing rows; returns the committed version numbers."""
     out = {"bronze": store.write(to_bronze(landing, source, now), "bronze", tag=tag)}
-    parsed = parse_alerts(spread(store.read("bronze")), now)
-    flagged = parsed.withColumn(DQ, F.when(is_clean(), F.lit("clean")).otherwise(F.lit("quarantine")))
-    out["parsed"] = store.write(flagged, "parsed", tag=tag, partition_by=[DQ])
-    committed = store.read("parsed")
-    clean = committed.filter(F.col(DQ) == "clean").drop(DQ)
+    parsed = flagged(parse_alerts(store.read("bronze", schema=BRONZE), now))
+    out["parsed"] = store.write(parsed, "parsed", tag=tag, partition_by=[DQ])
+    clean = clean_rows(store.read("parsed", schema=parsed.schema))
     out["silver"] = commit_silver(store, clean, tag=tag, buckets=silver_buckets)
     return out
 
 
+def parsed_schema(store: LayerStore) -> StructType:
+    """Schema of the flagged parsed layer (nothing is run for it)."""
+    return flagged(parse_alerts(store.spark.createDataFrame([], BRONZE), F.lit(None).cast("timestamp_ntz"))).schema
+
+
 def silver_to_gold(store: LayerStore, landing: DataFrame | None = None,
                    tag: str | None = None, parallel: bool = True) -> dict[str, int]:
     """The four gold tables from the committed silver / quarantine / landing.
@@ -71,10 +75,9 @@ def silver_to_gold(store: LayerStore, landing: DataFrame | None = None,
     together from a small thread pool so the scheduler can run their tasks
     side by side (each is small next to the cluster at gold sizes).
     """
-    silver = store.read("silver")
-    parsed = store.read("parsed")
-    quarantine = parsed.filter(F.col(DQ) == "quarantine").drop(DQ)
-    landing = store.read("bronze") if landing is None else landing
+    silver = store.read("silver", schema=SILVER)
+    quarantine = quarantine_rows(store.read("parsed", schema=parsed_schema(store)))
+    landing = store.read("bronze", schema=BRONZE) if landing is None else landing
     jobs = {
         "gold_daily": lambda: store.write(gold.daily_summary(silver), "gold_daily", tag=tag),
         "gold_merchant": lambda: store.write(gold.merchant_summary(silver), "gold_merchant", tag=tag),
@@ -95,12 +98,12 @@ def silver_to_gold(store: LayerStore, landing: DataFrame | None = None,
 
 def layers(store: LayerStore) -> dict[str, DataFrame]:
     """The committed layers by their reference names (for KPIs and counts)."""
-    parsed = store.read("parsed")
+    parsed = store.read("parsed", schema=parsed_schema(store))
     out = {
-        "bronze": store.read("bronze"),
-        "silver_clean": parsed.filter(F.col(DQ) == "clean").drop(DQ),
-        "silver_quarantine": parsed.filter(F.col(DQ) == "quarantine").drop(DQ),
-        "silver": store.read("silver"),
+        "bronze": store.read("bronze", schema=BRONZE),
+        "silver_clean": clean_rows(parsed),
+        "silver_quarantine": quarantine_rows(parsed),
+        "silver": store.read("silver", schema=SILVER),
     }
     for name in ("gold_daily", "gold_merchant", "gold_recon", "gold_failures"):
         if store.exists(name):

@@ -10,7 +10,9 @@ exactly in integer cents and rounded half-up to 6 places like Spark).
 
 from __future__ import annotations
 
+from ..functions import patterns as P
 from ..sources import fixtures as fx
+from .registry import LOOKUP_IDS, TRAPS
 
 BRONZE_NOW = f"TIMESTAMP '{fx.BRONZE_NOW}'"
 SILVER_NOW = f"TIMESTAMP '{fx.SILVER_NOW}'"
@@ -375,7 +377,10 @@ WHERE effective_ts < TIMESTAMP '2001-07-01 12:00:00'
 ORDER BY effective_ts DESC NULLS LAST, id DESC NULLS LAST LIMIT {fx.PAGE_SIZE}"""),
     "ledger_csv": with_ledger(f"""
 SELECT effective_ts, id, bank, txn_type, direction, amount, currency, counterparty, vpa, txn_ref
-FROM ledger WHERE effective_date BETWEEN {START} AND {END}"""),
+FROM ledger"""),
+    "ledger_by_id": with_ledger(f"""
+SELECT effective_ts, id, bank, txn_type, direction, amount, currency, counterparty, vpa, txn_ref
+FROM ledger WHERE id IN ({", ".join(f"'{x}'" for x in LOOKUP_IDS)})"""),
 })
 
 # --------------------------------------------------------------------------- quarantine views
@@ -391,6 +396,17 @@ LIMIT 500"""),
                     'SELECT txn_date AS "Date", reason AS "Reason", failure_count AS "Count" FROM gfail',
 })
 
+ORACLES["quarantine_today"] = with_alerts(f"""
+SELECT event_time AS "When", id AS "ID", sender AS "Sender", subject AS "Subject", reasons AS "Reasons",
+  amount AS "Amount", direction AS "Dir", txn_type AS "Type"
+FROM xquar WHERE CAST(event_time AS DATE) = {AS_OF}
+ORDER BY event_time DESC, id DESC NULLS LAST, amount DESC NULLS LAST, reasons ASC,
+  sender ASC NULLS LAST, direction ASC, txn_type ASC
+LIMIT 500""")
+ORACLES["failures_today"] = (f"WITH {ALERTS},{FAILURES}\n"
+                             'SELECT txn_date AS "Date", reason AS "Reason", failure_count AS "Count" FROM gfail '
+                             f"WHERE txn_date = {AS_OF}")
+
 _REASONS = ["mandatory_field_missing:id", "mandatory_field_missing:sender", "mandatory_field_missing:event_time",
             "mandatory_field_missing:body_and_snippet", "invalid_amount", "invalid_direction"]
 _PAIRS = ", ".join(
@@ -420,6 +436,11 @@ ORACLES.update({
                        "SELECT r.run_id, r.job_id, r.start_time, r.state, r.duration_s, c.txn_date, "
                        "c.ingested_count, c.processed_count, c.failed_count, c.duplicates_dropped, c.pass_rate_pct "
                        "FROM runs r LEFT JOIN recon c ON CAST(r.start_time AS DATE) = c.txn_date",
+    "runs_last10": f"WITH {ALERTS},{RECON},{_RUNS},\n"
+                   "newest AS (SELECT * FROM runs WHERE job_id IN (0, 1, 3) ORDER BY start_time DESC, run_id DESC LIMIT 10)\n"
+                   "SELECT r.run_id, r.job_id, r.start_time, r.state, r.duration_s, c.txn_date, "
+                   "c.ingested_count, c.processed_count, c.failed_count, c.duplicates_dropped, c.pass_rate_pct "
+                   "FROM newest r LEFT JOIN recon c ON CAST(r.start_time AS DATE) = c.txn_date",
     "runs_fallback": f"WITH {ALERTS},{RECON}\n"
                      "SELECT CAST(NULL AS BIGINT) AS run_id, CAST(NULL AS BIGINT) AS job_id, "
                      "CAST(NULL AS TIMESTAMP) AS start_time, CAST(NULL AS VARCHAR) AS state, "
@@ -449,14 +470,99 @@ FROM conversations
 WHERE (conv_id + turn) % 10 = 0 OR (conv_id + turn) % 15 = 0""",
 })
 
+_MESSAGES = """
+m AS (
+  SELECT conv_id, turn, conv_id + turn AS n, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
+    role AS sender, text AS body, conv_id || '/' || (turn // 4) AS body_id,
+    (conv_id + turn // 4) % 9 = 0 AS cut
+  FROM conversations WHERE (conv_id + turn) % 10 <> 0
+)"""
+ORACLES.update({
+    "ingest_seen": """
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id FROM conversations
+WHERE turn = 0 OR (conv_id % 3 = 0 AND conv_id % 2 = 0)""",
+    "json_body_append": f"""WITH {_MESSAGES}
+SELECT body_id, id, sender, body, {_NOW_TS} AS event_time FROM m WHERE NOT cut AND n % 15 <> 0""",
+    "json_body_reject": f"""WITH {_MESSAGES}
+SELECT body_id, 'malformed' AS reason, CAST(1 AS BIGINT) AS records FROM m WHERE cut GROUP BY body_id
+UNION ALL
+SELECT body_id, 'schema_mismatch', COUNT(*) FROM m WHERE NOT cut AND n % 15 = 0 GROUP BY body_id""",
+})
+
+# --------------------------------------------------------------------------- free text, by this engine's own regex
+def _free_text(table: str, key: str, number: str, sender: str) -> str:
+    traps = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TRAPS))
+
+    def got(pattern: str) -> str:
+        return f"nullif(regexp_extract(t, '{pattern}', 1), '')"
+
+    def money(*patterns: str) -> str:
+        return f"TRY_CAST(replace(COALESCE({', '.join(map(got, patterns))}), ',', '') AS DECIMAL(18,2))"
+
+    def label(column: str, tests: list[tuple[str, str]], default: str) -> str:
+        cases = " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{x}'" for p, x in tests)
+        return f"CASE {cases} ELSE '{default}' END"
+
+    return f"""
+WITH raw AS (
+  SELECT {key} AS id, {sender} AS sender, text,
+    substr(text, 1, 40) || ' ' || CASE ({number}) % {len(TRAPS)} {traps} END || ' ' || text AS body
+  FROM {table}
+),
+norm AS (SELECT id, sender, regexp_replace(COALESCE(body, '') || ' ' || COALESCE(text, '') || ' ',
+                                           '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t, body, text FROM raw),
+parsed AS (
+  SELECT id, {label("COALESCE(sender, '')", P.BANK_TESTS, P.BANK_DEFAULT)} AS bank,
+    {label("t", P.TXN_TYPE_TESTS, P.TXN_TYPE_DEFAULT)} AS txn_type,
+    {label("t", P.DIRECTION_TESTS, P.DIRECTION_DEFAULT)} AS direction,
+    {money(P.AMOUNT_ANCHORED, P.AMOUNT_POSTFIX, P.AMOUNT_GENERIC)} AS amount,
+    {label("t", P.CURRENCY_TESTS, P.CURRENCY_DEFAULT)} AS currency,
+    {got(P.REF)} AS txn_ref, {got(P.VPA)} AS vpa, trim({got(P.COUNTERPARTY)}) AS counterparty,
+    COALESCE({got(P.CARD_ENDING)}, {got(P.CARD_STARS)}) AS card_last4, {got(P.ACCOUNT)} AS account_last4,
+    {got(P.CITY)} AS location_city, trim({got(P.PLACE)}) AS location_place, {money(P.BALANCE)} AS available_balance,
+    TRY_STRPTIME({got(P.LOCAL_DT)}, '%d-%m-%Y %H:%M:%S') AS txn_datetime_local, sender, body, text
+  FROM norm
+)
+SELECT id, bank, txn_type, direction, amount, currency, txn_ref, vpa, counterparty, card_last4, account_last4,
+  location_city, location_place, available_balance, txn_datetime_local,
+  concat_ws(',', CASE WHEN id IS NULL THEN '{P.REASON_ID}' END, CASE WHEN sender IS NULL THEN '{P.REASON_SENDER}' END,
+    CASE WHEN body IS NULL AND text IS NULL THEN '{P.REASON_BODY}' END,
+    CASE WHEN amount IS NULL OR amount <= 0 THEN '{P.REASON_AMOUNT}' END,
+    CASE WHEN direction NOT IN ('DEBIT', 'CREDIT') THEN '{P.REASON_DIRECTION}' END) AS reasons
+FROM parsed"""
+
+
+ORACLES["parse_documents"] = _free_text("documents", "CAST(doc_id AS VARCHAR)", "doc_id", "source")
+ORACLES["parse_conversations"] = _free_text("conversations", "conv_id || '-' || turn", "conv_id + turn", "role")
+
 # --------------------------------------------------------------------------- change feed / mirror
-_CHG_COLS = "id, bank, txn_type, direction, amount, counterparty, vpa, txn_datetime_local, event_time, effective_date"
+_CHANGE = {c: c for c in ("id", "thread_id", "sender")} | {
+    "recipient": "'me@example.com'", "subject": "'Transaction alert'"} | {
+    c: c for c in ("bank", "txn_type", "direction", "amount", "currency", "txn_ref", "vpa", "counterparty")} | {
+    c: "CAST(NULL AS VARCHAR)" for c in ("card_last4", "account_last4", "location_city", "location_place")} | {
+    "available_balance": "CAST(NULL AS DECIMAL(18,2))", "txn_datetime_local": "txn_datetime_local",
+    "event_time": "event_time", "ingestion_time": "event_time", "_bronze_ingested_at": "event_time + INTERVAL 1 DAY",
+    "_silver_processed_at": "event_time + INTERVAL 1 DAY", "effective_ts": "effective_ts",
+    "effective_date": "effective_date"}
+_CHG_COLS = ", ".join(_CHANGE)
+
+
+def _image(**changed: str) -> str:
+    return ", ".join(f"{e} AS {c}" for c, e in (_CHANGE | changed).items())
+
+
+_AMOUNT = "CASE WHEN okey % 10 = 2 THEN CAST(amount + 1 AS DECIMAL(18,2)) ELSE amount END"
 _PAIR = f"""
-bef AS (SELECT {_CHG_COLS} FROM ledger WHERE okey % 10 <> 0),
-aft AS (SELECT id, bank, txn_type, direction,
-          CASE WHEN okey % 10 = 2 THEN CAST(amount + 1 AS DECIMAL(18,2)) ELSE amount END AS amount,
-          counterparty, vpa, txn_datetime_local, event_time, effective_date
-        FROM ledger WHERE okey % 10 <> 1)"""
+bef AS (SELECT {_image()} FROM ledger WHERE okey % 10 <> 0),
+aft AS (SELECT {_image(amount=_AMOUNT)} FROM ledger WHERE okey % 10 <> 1),
+xs AS (SELECT {_image(amount=_AMOUNT, event_time="CASE WHEN okey % 10 = 3 THEN event_time + INTERVAL 1 DAY ELSE event_time END",
+                      vpa="CASE WHEN okey % 10 = 3 THEN NULL ELSE vpa END")}
+       FROM ledger WHERE okey % 10 NOT IN (1, 4))"""
+GOLD_MERCHANT = """
+SELECT counterparty, vpa, txn_type, direction, currency, COUNT(*) AS txn_count,
+  CAST(SUM(amount) AS DECIMAL(28,2)) AS total_amount, MIN(event_time) AS first_seen, MAX(event_time) AS last_seen
+FROM xs WHERE counterparty IS NOT NULL AND counterparty <> ''
+GROUP BY 1, 2, 3, 4, 5"""
 
 ORACLES.update({
     "change_feed": f"WITH {LEDGER},{_PAIR}\n" + f"""
@@ -465,13 +571,20 @@ FROM aft WHERE id NOT IN (SELECT id FROM bef)
 UNION ALL
 SELECT {_CHG_COLS}, 'delete', CAST(1 AS BIGINT) FROM bef WHERE id NOT IN (SELECT id FROM aft)
 UNION ALL
-SELECT a.id, a.bank, a.txn_type, a.direction, a.amount, a.counterparty, a.vpa, a.txn_datetime_local,
-  a.event_time, a.effective_date, 'update', CAST(1 AS BIGINT)
+SELECT {", ".join(f"a.{c}" for c in _CHANGE)}, 'update', CAST(1 AS BIGINT)
 FROM aft a JOIN bef b ON a.id = b.id WHERE a.amount <> b.amount""",
     "mirror_apply": f"WITH {LEDGER},{_PAIR}\nSELECT * FROM aft",
     "stream_mirror": f"WITH {LEDGER},{_PAIR}\nSELECT * FROM aft",
+    "mirror_out_of_order": f"WITH {LEDGER},{_PAIR}\nSELECT * FROM aft",
+    "mirror_silver": f"WITH {LEDGER},{_PAIR}\nSELECT * FROM xs",
+    "mirror_gold_daily": f"WITH {LEDGER},{_PAIR}\n{GOLD_DAILY}",
+    "mirror_gold_merchant": f"WITH {LEDGER},{_PAIR}\n{GOLD_MERCHANT}",
+    "mixed_layer": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "stream_restarted": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "stream_gold_merchant": with_alerts(GOLD_MERCHANT),
+    "stream_gold_daily": with_alerts(GOLD_DAILY),
     "stream_silver": with_alerts(silver_select("xs", SILVER_NOW)),
-    "stream_gold_daily": """
+    "stream_events_daily": """
 SELECT CAST(ts AS DATE) AS txn_date, event_type, COUNT(*) AS event_count,
   CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total_value
 FROM events GROUP BY 1, 2""",

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import normalised_text, reasons_text, timestamp_micros
 from ..operators import changes, gold, ledger, ops
-from ..operators.parse import clean_rows, parse_alerts, quarantine_rows, spread
-from ..operators.upsert import newest_per_key, to_silver, upsert
-from ..session import configure, scratch_dir, shared_dir
+from ..operators.parse import DQ, clean_rows, flagged, parse_alerts, quarantine_rows
+from ..operators.upsert import newest_per_key, to_silver, upsert, upsert_bucketed
+from ..schemas import SILVER, conform
+from ..session import configure, scratch_dir
 from ..sources import export, fixtures as fx
-from ..sources.ingest import append_json, ingest_messages, records_to_json, to_bronze
+from ..sources.ingest import (append_json, commit_ingest, ingest_messages, records_to_json, split_json_array,
+                              to_bronze)
+from ..sources.store import LayerStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,30 +37,33 @@ PARSED_VIEW = ["id", "thread_id", "sender", "recipient", "subject", "bank", "txn
 def _bronze(spark: SparkSession, sf_dir: str, alerts: DataFrame | None = None) -> DataFrame:
     configure(spark)
     a = fx.alerts_from_orders(spark, sf_dir) if alerts is None else alerts
-    return to_bronze(spread(a), "landing", fx.ntz(fx.BRONZE_NOW))
+    return to_bronze(a, "landing", fx.ntz(fx.BRONZE_NOW))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW))
 
 
-def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert(None, to_silver(clean_rows(_parsed(spark, sf_dir))))
+def _committed(spark: SparkSession, bronze: DataFrame, now: str) -> DataFrame:
+    """The flagged parse of ``bronze``, written once as a layer and read back: splits, dates and counts read
+    only the columns they need, and no filter runs a pattern again."""
+    store = LayerStore(spark, scratch_dir(spark, "parsed"))
+    parsed = flagged(parse_alerts(bronze, fx.ntz(now)))
+    store.write(parsed, "parsed", partition_by=[DQ])
+    return store.read("parsed", schema=parsed.schema)
+
 
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _committed(spark, _bronze(spark, sf_dir), fx.SILVER_NOW)
 
-def _checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialise once in the session's checkpoint folder (a lineage cut).
 
-    Used where one parse feeds several branches of a plan (clean, quarantine,
-    silver): without it each branch would re-run the regexes.
-    """
-    shared_dir(spark)  # make sure a checkpoint folder is registered
-    return df.checkpoint(eager=True)
+def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert(None, to_silver(clean_rows(_flagged(spark, sf_dir))))
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     bronze = _bronze(spark, sf_dir)
-    parsed = _checkpointed(spark, parse_alerts(bronze, fx.ntz(fx.SILVER_NOW)))
+    parsed = _committed(spark, bronze, fx.SILVER_NOW)
     clean, quarantine = clean_rows(parsed), quarantine_rows(parsed)
     silver = upsert(None, to_silver(clean))
     return {"bronze": bronze, "parsed": parsed, "silver_clean": clean, "silver_quarantine": quarantine,
@@ -77,7 +83,7 @@ def _runs(spark: SparkSession, sf_dir: str, split: int) -> DataFrame:
 
 def _silver_run(spark: SparkSession, sf_dir: str, split: int, now: str) -> DataFrame:
     bronze = _bronze(spark, sf_dir, _runs(spark, sf_dir, split))
-    return to_silver(clean_rows(parse_alerts(bronze, fx.ntz(now))))
+    return to_silver(clean_rows(_committed(spark, bronze, now)))
 
 
 # ----------------------------------------------------------------- sources / parser
@@ -116,39 +122,43 @@ def q_quality_flags(spark, sf_dir):
 
 
 def q_silver_clean(spark, sf_dir):
-    return clean_rows(_parsed(spark, sf_dir)).select(*PARSED_VIEW)
+    return clean_rows(_flagged(spark, sf_dir)).select(*PARSED_VIEW)
 
 
 def q_silver_quarantine(spark, sf_dir):
-    return quarantine_rows(_parsed(spark, sf_dir)).select(*PARSED_VIEW, reasons_text().alias("reasons"))
+    return quarantine_rows(_flagged(spark, sf_dir)).select(*PARSED_VIEW, reasons_text().alias("reasons"))
 
 
 def q_dedup_latest(spark, sf_dir):
-    return newest_per_key(clean_rows(_parsed(spark, sf_dir))).select(*PARSED_VIEW)
+    return newest_per_key(clean_rows(_flagged(spark, sf_dir))).select(*PARSED_VIEW)
 
 
 def q_upsert_first(spark, sf_dir):
     return upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW))
 
 
+def _upserted(spark, sf_dir, runs):
+    """Silver after committing the runs one by one."""
+    store = LayerStore(spark, scratch_dir(spark, "upserts"))
+    first, second = (_silver_run(spark, sf_dir, split, now) for split, now in zip(runs, (fx.SILVER_NOW, fx.SILVER_NOW_2), strict=True))
+    store.write(upsert(None, first), "silver")
+    return upsert(store.read("silver", schema=SILVER), second)
+
+
 def q_upsert_newer_wins(spark, sf_dir):
-    first = upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW))
-    return upsert(first, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2))
+    return _upserted(spark, sf_dir, (0, 1))
 
 
 def q_upsert_bucketed(spark, sf_dir):
     """J2 on bucketed silver: run 0 committed bucketed by id, then run 1 merged (batch-only shuffle)."""
-    from ..operators.upsert import upsert_bucketed
-    from ..sources.store import LayerStore
     store = LayerStore(spark, scratch_dir(spark, "upsert-bucketed"))
-    store.write_bucketed(upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW)), "silver", "id", 16)
-    target = store.read_bucketed("silver", "id", 16)
-    return upsert_bucketed(target, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2), 16)
+    store.write_bucketed(upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW)), "silver", "id", 8)
+    target = store.read_bucketed("silver", "id", 8)
+    return upsert_bucketed(target, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2), 8)
 
 
 def q_upsert_older_kept(spark, sf_dir):
-    first = upsert(None, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW))
-    return upsert(first, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW_2))
+    return _upserted(spark, sf_dir, (1, 0))
 
 
 # ----------------------------------------------------------------- gold
@@ -166,7 +176,7 @@ def q_gold_recon(spark, sf_dir):
 
 
 def q_gold_failures(spark, sf_dir):
-    return gold.failure_reason_counts(quarantine_rows(_parsed(spark, sf_dir)))
+    return gold.failure_reason_counts(quarantine_rows(_flagged(spark, sf_dir)))
 
 
 def q_gold_daily_recent(spark, sf_dir):
@@ -234,11 +244,11 @@ def q_latest_five(spark, sf_dir):
 
 
 def q_quarantine_grid(spark, sf_dir):
-    return ledger.quarantine_grid(quarantine_rows(_parsed(spark, sf_dir)))
+    return ledger.quarantine_grid(quarantine_rows(_flagged(spark, sf_dir)))
 
 
 def q_failure_list(spark, sf_dir):
-    return ledger.failure_list(gold.failure_reason_counts(quarantine_rows(_parsed(spark, sf_dir))))
+    return ledger.failure_list(gold.failure_reason_counts(quarantine_rows(_flagged(spark, sf_dir))))
 
 
 LEDGER_PAGE = 2
@@ -254,13 +264,70 @@ def q_ledger_keyset(spark, sf_dir):
 
 
 def q_ledger_csv(spark, sf_dir):
-    rows = ledger.in_range(_ledger(spark, sf_dir), "effective_date", fx.RANGE_START, fx.RANGE_END)
-    view = rows.select(*ledger.LEDGER_COLUMNS)
+    view = _ledger(spark, sf_dir).select(*ledger.LEDGER_COLUMNS)
     path = scratch_dir(spark, "ledger-csv")
     export.export_csv(view, path)
     return export.read_csv(spark, path, view.schema)
 
 
+LOOKUP_IDS = ["msg-1", "msg-7", "msg-100", "msg-2001", "no such id"]
+
+
+def q_ledger_by_id(spark, sf_dir):
+    return ledger.by_id(_ledger(spark, sf_dir), LOOKUP_IDS)
+
+
+# ----------------------------------------------------------------- "today" views
+def q_quarantine_today(spark, sf_dir):
+    """The grid of one processing day; rows arrive (and are processed) on their event day here."""
+    q = quarantine_rows(_flagged(spark, sf_dir)).withColumn("_silver_processed_at", F.col("event_time"))
+    return ledger.quarantine_grid(q, as_of=fx.AS_OF, today_only=True)
+
+
+def q_failures_today(spark, sf_dir):
+    return ledger.failure_list(gold.failure_reason_counts(quarantine_rows(_flagged(spark, sf_dir))), fx.AS_OF,
+                               today_only=True)
+
+
+# ----------------------------------------------------------------- free text (differential oracle)
+# Alert phrases and near misses, woven into documents and turns of conversations.
+TRAPS = ["Rs.1,234.50 has been debited from account 12345 to VPA a.b@upi BIG SHOP on 12-03-24. UPI ref no: AB12",
+         "Donation 12-03-2024 10:11:12 of Rs 55 credited by VPA x@y Some One on 1 May",
+         "ATM withdrawal for Rs 900 in PUNE at BRANCH 7 on 31-02-2024 10:00:00. Card ending 4321. Available balance is Rs 7,000.5",
+         "spent Rs ,,, at A&B CO. on 3rd; ref# ; USD 5; purchase of Rs. 12.345 using Debit Card ** 9876",
+         "Carrs 12 credited; reference number is zz9 NEFT refund $3 on 01-01-2024 23:59:59",
+         "no alert here"]
+
+
+def _woven(text, number):
+    """Text with a trap after its first 40 characters."""
+    trap = F.element_at(F.array(*map(F.lit, TRAPS)), (number % len(TRAPS) + 1).cast("int"))
+    return F.concat(F.substring(text, 1, 40), F.lit(" "), trap, F.lit(" "), text)
+
+
+def _free_text(spark, sf_dir, name, key, number, sender):
+    configure(spark)
+    t = fx.table(spark, sf_dir, name)
+    stamp = fx.ntz(fx.BRONZE_NOW)
+    none = F.lit(None).cast("string")
+    landing = t.select(key.alias("id"), none.alias("thread_id"), none.alias("subject"), sender.alias("sender"),
+                       none.alias("recipient"), _woven(F.col("text"), number).alias("body"), F.col("text").alias("snippet"),
+                       stamp.alias("event_time"), stamp.alias("ingestion_time"))
+    return parse_alerts(to_bronze(landing, name, stamp), fx.ntz(fx.SILVER_NOW)).select(
+        "id", "bank", "txn_type", "direction", "amount", "currency", "txn_ref", "vpa", "counterparty", "card_last4",
+        "account_last4", "location_city", "location_place", "available_balance", "txn_datetime_local",
+        reasons_text().alias("reasons"))
+
+
+def q_parse_documents(spark, sf_dir):
+    return _free_text(spark, sf_dir, "documents", F.col("doc_id").cast("string"), F.col("doc_id"), F.col("source"))
+
+
+def q_parse_conversations(spark, sf_dir):
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return _free_text(spark, sf_dir, "conversations", key, F.col("conv_id") + F.col("turn"), F.col("role"))
+
+
 # ----------------------------------------------------------------- operations
 def _recon(spark, sf_dir):
     L = _layers(spark, sf_dir)
@@ -275,8 +342,13 @@ def q_runs_fallback(spark, sf_dir):
     return ops.runs_with_recon(None, _recon(spark, sf_dir))
 
 
+def q_runs_last10(spark, sf_dir):
+    """The newest ten runs of the configured jobs."""
+    return ops.runs_with_recon(fx.runs_from_nation(spark, sf_dir), _recon(spark, sf_dir), job_ids=[0, 1, 3], latest=10)
+
+
 def q_quarantine_with_counts(spark, sf_dir):
-    q = _checkpointed(spark, quarantine_rows(_parsed(spark, sf_dir)))
+    q = quarantine_rows(_flagged(spark, sf_dir))
     out = ops.quarantine_with_counts(q, gold.failure_reason_counts(q))
     pair = F.transform("reason_counts", lambda s: F.concat(s["reason"], F.lit(":"),
                                                            s["failure_count"].cast("string")))
@@ -330,15 +402,46 @@ def q_json_reject(spark, sf_dir):
     return append_json(_json_payload(spark, sf_dir))[1].select("request_id", "reason")
 
 
-# ----------------------------------------------------------------- change feed / mirror
-_CHANGE_COLUMNS = ["id", "bank", "txn_type", "direction", "amount", "counterparty", "vpa",
-                   "txn_datetime_local", "event_time", "effective_date"]
+def q_ingest_seen(spark, sf_dir):
+    """The ids remembered after two committed runs, the second over a mailbox with nothing new."""
+    configure(spark)
+    threads, messages, seen = fx.mail_threads(spark, sf_dir)
+    store = LayerStore(spark, scratch_dir(spark, "ingest"))
+    store.append(seen, "seen", tag="start")
+    for run in ("run-1", "run-1", "run-2"):  # the first is delivered twice
+        commit_ingest(store, threads, messages, NOW_MICROS, run)
+    return store.read("seen")
+
+
+def _json_bodies(spark, sf_dir):
+    """POST bodies: up to four turns of a conversation as a JSON array; bodies of one record are bare objects,
+    every 9th body is cut short."""
+    one = _json_payload(spark, sf_dir).withColumn("conv", F.substring_index("request_id", "-", 1).cast("long"))
+    turn = F.substring_index("request_id", "-", -1).cast("long")
+    body = one.filter("NOT value RLIKE '[^}]$'").groupBy("conv", F.floor(turn / 4).alias("part")).agg(
+        F.sort_array(F.collect_list("value")).alias("records"))
+    text = F.when(F.size("records") == 1, F.col("records")[0]).otherwise(F.concat(F.lit("["), F.array_join("records", ","), F.lit("]")))
+    cut = (F.col("conv") + F.col("part")) % 9 == 0
+    return body.withColumn("v", text).select(
+        F.concat_ws("/", F.col("conv").cast("string"), F.col("part").cast("string")).alias("body_id"),
+        F.when(cut, F.expr("substring(v, 1, length(v) - 2)")).otherwise(F.col("v")).alias("value"))
+
 
+def q_json_body_append(spark, sf_dir):
+    return append_json(split_json_array(_json_bodies(spark, sf_dir)))[0].select("body_id", "id", "sender", "body", "event_time")
+
+
+def q_json_body_reject(spark, sf_dir):
+    rejected = append_json(split_json_array(_json_bodies(spark, sf_dir)))[1]
+    return rejected.groupBy("body_id", "reason").agg(F.count("*").alias("records"))
+
+
+# ----------------------------------------------------------------- change feed / mirror
 
 def _pair(spark, sf_dir):
     configure(spark)
     before, after = fx.change_pair(spark, sf_dir)
-    return before.select(*_CHANGE_COLUMNS), after.select(*_CHANGE_COLUMNS)
+    return conform(before, SILVER), conform(after, SILVER)
 
 
 def q_change_feed(spark, sf_dir):
@@ -351,6 +454,59 @@ def q_mirror_apply(spark, sf_dir):
     return changes.apply_changes(before, changes.change_feed(before, after, "id"), "id")
 
 
+def _three_commits(spark, sf_dir):
+    """The ledger at three commits: changed and deleted rows, then rows that move to another day and merchant."""
+    before, after = _pair(spark, sf_dir)
+    n = F.substring_index("id", "-", -1).cast("long")
+    moved = n % 10 == 3
+    last = (after.filter(n % 10 != 4)
+            .withColumn("event_time", F.when(moved, F.col("event_time") + F.make_dt_interval(F.lit(1))).otherwise(F.col("event_time")))
+            .withColumn("vpa", F.when(moved, F.lit(None).cast("string")).otherwise(F.col("vpa"))))
+    return before, after, last
+
+
+def _mirror(spark, sf_dir, view, key):
+    """A mirror of ``view(ledger)`` fed with two commits, the first of them delivered again at the end."""
+    states = [view(x) for x in _three_commits(spark, sf_dir)]
+    feeds = [changes.change_feed(states[i], states[i + 1], key, version=i + 1) for i in range(2)]
+    store = LayerStore(spark, scratch_dir(spark, "mirror"))
+    store.write(changes.mirror_of(states[0]), "mirror")
+    for feed in (*feeds, feeds[0]):
+        store.write(changes.replay(store.read("mirror"), feed, key), "mirror")
+    return changes.visible(store.read("mirror"))
+
+
+def q_mirror_silver(spark, sf_dir):
+    return _mirror(spark, sf_dir, lambda silver: silver, "id")
+
+
+def q_mirror_gold_daily(spark, sf_dir):
+    return _mirror(spark, sf_dir, gold.daily_summary, list(gold.daily().keys))
+
+
+def q_mirror_gold_merchant(spark, sf_dir):
+    return _mirror(spark, sf_dir, gold.merchant_summary, list(gold.merchant().keys))
+
+
+def q_mirror_out_of_order(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_mirror_out_of_order(spark, sf_dir)
+
+
+# ----------------------------------------------------------------- layers with versions and segments
+def q_mixed_layer(spark, sf_dir):
+    """A refresh, an append without rows, an append, then a replayed append: all rows, each once."""
+    configure(spark)
+    events = fx.table(spark, sf_dir, "events")
+    store = LayerStore(spark, scratch_dir(spark, "mixed"))
+    store.append(events.limit(3), "events")  # replaced by the refresh
+    store.write(events.filter("event_id % 3 = 0"), "events")
+    store.append(events.limit(0), "events", tag="empty")
+    for tag in ("one", "two", "two"):
+        store.append(events.filter(f"event_id % 3 = {1 if tag == 'one' else 2}"), "events", tag=tag)
+    return store.read("events", schema=events.schema)
+
+
 # ----------------------------------------------------------------- streaming
 def q_stream_silver(spark, sf_dir):
     from ..streaming import jobs
@@ -363,6 +519,21 @@ def q_stream_gold_failures(spark, sf_dir):
 
 
 def q_stream_gold_daily(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_alert_stream_gold(spark, sf_dir, "gold_daily")
+
+
+def q_stream_gold_merchant(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_alert_stream_gold(spark, sf_dir, "gold_merchant")
+
+
+def q_stream_restarted(spark, sf_dir):
+    from ..streaming import jobs
+    return jobs.run_restarted_stream(spark, sf_dir)
+
+
+def q_stream_events_daily(spark, sf_dir):
     from ..streaming import jobs
     return jobs.run_events_daily_stream(spark, sf_dir)
 

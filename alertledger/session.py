@@ -20,12 +20,6 @@ SQL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
-    # The parser projects ~15 regex-derived columns; inferring constraints over
-    # them (and again through every window / union built on top) makes the
-    # optimizer's work grow combinatorially — an upsert over two parsed runs
-    # ran the driver out of heap while *planning*. The filters it would infer
-    # (IsNotNull on derived columns) buy nothing here.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -57,12 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors for layers and checkpoints.
 
     Read from the session (``spark.checkpoint.dir`` or the SparkContext's
-    checkpoint dir); set a private one only when neither is present.
+    checkpoint dir); a private one is made only in local mode when neither is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="alertledger-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -2,9 +2,11 @@
 
 Streams read a folder of parquet files with ``readStream`` and a fixed schema
 and process each micro-batch with ``foreachBatch``. Every batch commit is
-tagged with the batch id in the ``LayerStore``, so a replayed batch (after a
-driver restart the last batch is re-delivered) is a no-op: exactly-once on top
-of an at-least-once sink. Checkpoints live in the shared folder.
+tagged in the ``LayerStore`` with the id of the streaming query (which lives in
+its checkpoint) and the batch number, so a replayed batch (after a driver
+restart the last batch is re-delivered) is a no-op: exactly-once on top of an
+at-least-once sink. A new checkpoint is a new query, whose batches are new.
+Checkpoints live in the shared folder.
 
 The registered queries simulate arrivals the way the scheduled job sees them:
 one split of the input lands, a run-once (``availableNow``) trigger processes
@@ -14,22 +16,23 @@ what is new, the next split lands, and so on. ``continuous=True`` runs the same
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import changes, gold
-from ..operators.parse import is_clean, parse_alerts, spread
+from ..operators.parse import DQ, clean_rows, flagged, parse_alerts, quarantine_rows
 from ..operators.upsert import newest_per_key
+from ..schemas import BRONZE, SILVER
 from ..session import configure, scratch_dir
 from ..sources import fixtures as fx
 from ..sources.ingest import to_bronze
 from ..plans.medallion import commit_silver
 from ..sources.store import LayerStore
 
-DQ = "_dq"
-BatchFn = Callable[[DataFrame, int], None]
+BatchFn = Callable[[DataFrame, str], None]  # rows of a micro-batch, tag of the batch
 
 
 # ----------------------------------------------------------------- generic runner
@@ -38,10 +41,21 @@ def stream_layer(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.readStream.schema(schema).parquet(f"{path}/*")
 
 
+def _tagged(fn: BatchFn, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """``fn`` as a foreachBatch body: the tag is the query id in the checkpoint's metadata and the batch number."""
+    query: list[str] = []
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        if not query:
+            query.append(json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        fn(batch, f"{query[0]}-{batch_id}")
+    return process
+
+
 def run_once(stream: DataFrame, fn: BatchFn, checkpoint: str, continuous: bool = False,
              interval: str = "10 seconds"):
     """Process what is available now (or keep running with a processing-time trigger)."""
-    writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(_tagged(fn, checkpoint)).option("checkpointLocation", checkpoint)
     if continuous:
         return writer.trigger(processingTime=interval).start()
     query = writer.trigger(availableNow=True).start()
@@ -67,24 +81,44 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
     reads committed files (no recomputation of the source) and runs once; the
     flagged rows are written once, split into clean / quarantine folders.
     """
-    def process(batch: DataFrame, batch_id: int) -> None:
-        tag = str(batch_id)
+    def process(batch: DataFrame, tag: str) -> None:
         store.append(to_bronze(batch, source, bronze_now), "bronze", tag=tag)
-        parsed = parse_alerts(spread(store.read_tag("bronze", tag)), silver_now)
-        flagged = parsed.withColumn(DQ, F.when(is_clean(), F.lit("clean")).otherwise(F.lit("quarantine")))
-        store.append(flagged, "parsed", tag=tag, partition_by=[DQ])
-        committed = store.read_tag("parsed", tag)
-        clean = committed.filter(F.col(DQ) == "clean").drop(DQ)
+        parsed = flagged(parse_alerts(store.read_tag("bronze", tag, BRONZE), silver_now))
+        store.append(parsed, "parsed", tag=tag, partition_by=[DQ])
+        committed = store.read_tag("parsed", tag, parsed.schema)
+        clean = clean_rows(committed)
         if not store.has_tag("silver", tag):
             commit_silver(store, clean, tag=tag, buckets=silver_buckets)
+        follow_silver(store, clean.select("id").distinct(), tag)
         if not store.has_tag("gold_failures", tag):
-            batch_counts = gold.failure_reason_counts(committed.filter(F.col(DQ) == "quarantine").drop(DQ))
+            batch_counts = gold.failure_reason_counts(quarantine_rows(committed))
             previous = store.read("gold_failures") if store.exists("gold_failures") else None
             store.write(add_counts(previous, batch_counts, ["txn_date", "reason"], "failure_count"),
                         "gold_failures", tag=tag)
     return process
 
 
+GOLD = {"gold_daily": gold.daily, "gold_merchant": gold.merchant}
+
+
+def follow_silver(store: LayerStore, ids: DataFrame, tag: str) -> None:
+    """T5: the daily and merchant gold after the silver commit ``tag`` of rows with these ids.
+
+    Old images come from the version before, so a transaction that moved to another day or merchant
+    leaves its old group. Work is the groups that the batch touched.
+    """
+    number = store.version_of("silver", tag)
+    after = store.read("silver", number, SILVER)
+    before = store.read("silver", number - 1, SILVER) if number > 1 else None
+    touched = after.join(ids, "id", "left_semi")
+    if before is not None:
+        touched = touched.unionByName(before.join(ids, "id", "left_semi"))
+    for name, roll_up in GOLD.items():
+        if not store.has_tag(name, tag):
+            gold_now = store.read(name) if store.exists(name) else None
+            store.write(roll_up().refresh(gold_now, after, touched), name, tag=tag)
+
+
 def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], measure: str) -> DataFrame:
     """T5 (failures): additive counts maintained per batch — old + new, summed per key.
 
@@ -98,7 +132,7 @@ def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], me
 
 
 def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4,
-                     silver_buckets: int | None = 16) -> LayerStore:
+                     silver_buckets: int | None = 8) -> LayerStore:
     """The alerts arrive in ``splits`` parts; silver is kept bucketed by id so each
     micro-batch shuffles only itself."""
     configure(spark)
@@ -119,6 +153,23 @@ def run_alert_stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_alert_stream(spark, sf_dir).read("silver")
 
 
+def run_alert_stream_gold(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """T5: ``gold_daily`` or ``gold_merchant`` as the alert stream keeps it."""
+    return run_alert_stream(spark, sf_dir).read(name)
+
+
+def run_restarted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: a stream whose checkpoint is lost starts again over new files; its batch 0 is not the old batch 0."""
+    configure(spark)
+    root = scratch_dir(spark, "restarted")
+    store = LayerStore(spark, f"{root}/layers")
+    events = fx.table(spark, sf_dir, "events")
+    for i in range(2):
+        feed_in_arrivals(spark, f"{root}/run{i}", [events.filter(F.col("event_id") % 2 == i)], events.schema,
+                         dedup_sink_fn(store, "events_once", "event_id"))
+    return store.read("events_once")
+
+
 def run_alert_stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_alert_stream(spark, sf_dir).read("gold_failures")
 
@@ -132,13 +183,12 @@ def daily_events(stream: DataFrame) -> DataFrame:
 
 def keyed_replace_fn(store: LayerStore, name: str, keys: list[str]) -> BatchFn:
     """Update-mode sink: batch rows replace the stored rows with the same key."""
-    def process(batch: DataFrame, batch_id: int) -> None:
-        tag = str(batch_id)
+    def process(batch: DataFrame, tag: str) -> None:
         if store.has_tag(name, tag):
             return
-        fresh = batch.withColumn("_seq", F.lit(batch_id).cast("long"))
+        fresh = batch.withColumn("_seq", F.lit(1))
         if store.exists(name):
-            fresh = store.read(name).withColumn("_seq", F.lit(-1).cast("long")).unionByName(fresh)
+            fresh = store.read(name).withColumn("_seq", F.lit(0)).unionByName(fresh)
         merged = newest_per_key(fresh, keys, [F.col("_seq").desc()]).drop("_seq")
         store.write(merged, name, tag=tag)
     return process
@@ -160,7 +210,7 @@ def run_events_daily_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -
     for i, frame in enumerate(arrivals):
         frame.write.mode("overwrite").parquet(f"{inbox}/arrival={i:04d}")
         agg = daily_events(stream_layer(spark, inbox, events.schema))
-        q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+        q = (agg.writeStream.outputMode("update").foreachBatch(_tagged(sink, checkpoint))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         q.awaitTermination()
     return store.read("gold_events_daily")
@@ -169,11 +219,10 @@ def run_events_daily_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -
 # ----------------------------------------------------------------- T4: exactly-once ingest
 def dedup_sink_fn(store: LayerStore, name: str, key: str) -> BatchFn:
     """Append only ids never seen before (within the batch and across batches)."""
-    def process(batch: DataFrame, batch_id: int) -> None:
-        tag = str(batch_id)
+    def process(batch: DataFrame, tag: str) -> None:
         if store.has_tag(name, tag):
             return
-        fresh = batch.dropDuplicates([key])
+        fresh = newest_per_key(batch, key, [])  # of copies that differ, always the same one
         if store.exists(name):
             fresh = fresh.join(store.read(name).select(key), key, "left_anti")
         store.append(fresh, name, tag=tag)
@@ -198,11 +247,10 @@ def run_events_dedup_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -
 
 # ----------------------------------------------------------------- T7: mirror refresh
 def mirror_fn(store: LayerStore, name: str, key: str) -> BatchFn:
-    def process(batch: DataFrame, batch_id: int) -> None:
-        tag = str(batch_id)
+    def process(batch: DataFrame, tag: str) -> None:
         if store.has_tag(name, tag):
             return
-        store.write(changes.apply_changes(store.read(name), batch, key), name, tag=tag)
+        store.write(changes.replay(store.read(name), batch, key), name, tag=tag)
     return process
 
 
@@ -213,9 +261,24 @@ def run_mirror_stream(spark: SparkSession, sf_dir: str, splits: int = 2) -> Data
     root = scratch_dir(spark, "mirror")
     store = LayerStore(spark, f"{root}/layers")
     before, after = _pair(spark, sf_dir)
-    store.write(before, "mirror")
+    store.write(changes.mirror_of(before), "mirror")
     feed = changes.change_feed(before, after, "id")
-    bucket = F.abs(F.xxhash64("id")) % splits
+    bucket = F.pmod(F.xxhash64("id"), F.lit(splits))
     arrivals = [feed.filter(bucket == i) for i in range(splits)]
     feed_in_arrivals(spark, root, arrivals, feed.schema, mirror_fn(store, "mirror", "id"))
-    return store.read("mirror")
+    return changes.visible(store.read("mirror"))
+
+
+def run_mirror_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of the second commit arrives first, the first one's late, and the second's once more."""
+    from ..plans.registry import _pair
+    configure(spark)
+    root = scratch_dir(spark, "mirror-late")
+    store = LayerStore(spark, f"{root}/layers")
+    before, after = _pair(spark, sf_dir)
+    middle = after.withColumn("amount", (F.col("amount") + 5).cast("decimal(18,2)"))
+    store.write(changes.mirror_of(before), "mirror")
+    one = changes.change_feed(before, middle, "id", version=1)
+    two = changes.change_feed(middle, after, "id", version=2)
+    feed_in_arrivals(spark, root, [two, one, two], one.schema, mirror_fn(store, "mirror", "id"))
+    return changes.visible(store.read("mirror"))
