@@ -24,7 +24,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from alertledger.operators import changes, gold, ledger, ops  # noqa: E402
 from alertledger.plans import medallion  # noqa: E402
-from alertledger.plans.registry import QUERIES  # noqa: E402
+from alertledger.operators.parse import clean_rows  # noqa: E402
+from alertledger.plans.registry import QUERIES, _committed  # noqa: E402
 from alertledger.session import build_session, scratch_dir  # noqa: E402
 from alertledger.sources import fixtures as fx  # noqa: E402
 from alertledger.sources.store import LayerStore  # noqa: E402
@@ -97,10 +98,9 @@ def main() -> None:
         log(name, round(times[name], 3))
 
     # ---- one more commit of a small batch (the resends) into the full silver, both layouts ----
-    from alertledger.operators.parse import clean_rows, parse_alerts  # noqa: E402
-    resends = clean_rows(parse_alerts(fx.alerts_from_orders(spark, SF_DIR, keep_parts=True)
-                                      .filter(F.col("r") == 1).drop("o_orderkey", "o_custkey", "r", "k"),
-                                      fx.ntz(fx.SILVER_NOW_2)))
+    resent = (fx.alerts_from_orders(spark, SF_DIR, keep_parts=True).filter(F.col("r") == 1)
+              .drop("o_orderkey", "o_custkey", "r", "k"))
+    resends = clean_rows(_committed(spark, resent, fx.SILVER_NOW_2))
     for label, buckets in (("upsert_commit_plain", None), ("upsert_commit_bucketed", 16)):
         layout = LayerStore(spark, scratch_dir(spark, f"bench-{label}"))
         medallion.commit_silver(layout, L["silver_clean"], buckets=buckets)
@@ -108,10 +108,16 @@ def main() -> None:
         log(label, round(times[label], 3))
 
     # ---- lazy end-to-end queries straight from the driver tables ----
-    for name in ("gold_daily", "upsert_newer_wins", "quality_flags", "gold_recon"):
+    for name in ("gold_daily", "upsert_newer_wins", "quality_flags", "gold_recon", "ingest_messages",
+                 "json_body_append"):
         times[f"lazy_{name}"] = median_of(lambda n=name: run(QUERIES[n](spark, SF_DIR)))
         log(name, round(times[f"lazy_{name}"], 3))
 
+    # ---- streams: all arrivals, once ----
+    for name in ("stream_gold_daily", "stream_dedup"):
+        times[name] = timed(lambda n=name: run(QUERIES[n](spark, SF_DIR)))
+        log(name, round(times[name], 3))
+
     total = sum(times.values())
     alerts = rows.get("bronze", 0)
     out = {

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertledger.operators import gold, ledger
-from alertledger.operators.parse import clean_rows, parse_alerts
+from alertledger.operators.parse import clean_rows
+from alertledger.plans.registry import _committed
 from alertledger.operators.upsert import newest_per_key, to_silver, upsert
 from alertledger.sources import fixtures as fx
 
@@ -21,7 +22,7 @@ def _hot_alerts(spark):
 
 
 def test_hot_id_newest_wins(spark):
-    clean = to_silver(clean_rows(parse_alerts(_hot_alerts(spark))))
+    clean = to_silver(clean_rows(_committed(spark, _hot_alerts(spark), fx.SILVER_NOW)))
     n_hot = clean.filter(F.col("id") == "hot").count()
     assert n_hot > clean.count() / 4                    # the hot key really is hot
     newest = newest_per_key(clean).filter(F.col("id") == "hot").collect()

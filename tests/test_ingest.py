@@ -7,7 +7,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from alertledger.sources import fixtures as fx
+from alertledger.session import scratch_dir
+from alertledger.sources import export, fixtures as fx
 from alertledger.sources.ingest import append_json, ingest_messages, records_to_json, split_json_array
 
 from conftest import SF_SMALL
@@ -40,6 +41,33 @@ def test_json_round_trip_and_array_payload(spark):
     assert got == want
 
 
+def test_every_body_is_counted(spark):
+    good = '{"id":"a","event_time":5,"ingestion_time":5}'
+    bodies = [(1, f"[{good},{good}]"), (2, good), (3, f"[{good},"), (4, "[]"), (5, "{}"), (6, '{"id":"x","extra":1}'),
+              (7, "not json"), (8, '[{"id":"c","event_time":"soon"}, 5]'), (9, None)]
+    ok, bad = append_json(split_json_array(spark.createDataFrame(bodies, "body int, value string")))
+    assert sorted(r.body for r in ok.collect()) == [1, 1, 2]
+    assert sorted((r.body, r.reason) for r in bad.collect()) == [
+        (3, "malformed"), (5, "empty_record"), (6, "unknown_field"), (7, "malformed"), (8, "malformed"),
+        (8, "schema_mismatch"), (9, "malformed")]
+
+
+def test_csv_keeps_every_cell(spark):
+    rows = [(1, "line one\nline two\r\n", dt.datetime(2024, 1, 1, 2, 3, 4, 567891)), (2, "", None), (3, None, None),
+            (4, ' a "quoted", \\ cell ', dt.datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "i int, t string, at timestamp_ntz")
+    path = export.export_csv(df, scratch_dir(spark, "test-csv"))
+    assert sorted(tuple(r) for r in export.read_csv(spark, path, df.schema).collect()) == rows
+
+
+def test_ids_twice_in_one_run_are_sent_once(spark):
+    threads = spark.createDataFrame([("t", "ALERT", True)], "thread_id string, label string, is_unread boolean")
+    one = ("m1", "t", "s", "a", "b", "text")
+    messages = spark.createDataFrame([one, one], "id string, thread_id string, subject string, sender string, recipient string, body string")
+    records, _ = ingest_messages(threads, messages, spark.createDataFrame([], "id string"), NOW)
+    assert records.count() == 1
+
+
 def test_json_rejects(spark):
     good = '{"id":"a","event_time":5,"ingestion_time":5}'
     raw = spark.createDataFrame([(1, good), (2, good[:15]), (3, '{"id":"c","event_time":"soon"}')],

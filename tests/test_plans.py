@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 
 from alertledger.operators import ledger
-from alertledger.operators.parse import clean_rows
+from alertledger.operators.parse import EXTRACTS, clean_rows, parse_alerts
 from alertledger.operators.upsert import newest_per_key
-from alertledger.plans.registry import QUERIES, _parsed
+from alertledger.plans.registry import QUERIES, _flagged
 from alertledger.session import scratch_dir
 from alertledger.sources import fixtures as fx
 from alertledger.sources.store import LayerStore
@@ -20,12 +20,37 @@ def plan(df) -> str:
 
 
 def test_newest_per_key_has_partial_group_limit(spark):
-    p = plan(newest_per_key(clean_rows(_parsed(spark, SF_SMALL))))
+    p = plan(newest_per_key(clean_rows(_flagged(spark, SF_SMALL))))
     # one limit before the exchange (per map task) and one after it
     assert p.count("WindowGroupLimit") == 2
     assert "Partial" in p and "Final" in p
 
 
+def _stored_parse(spark):
+    path = scratch_dir(spark, "test-landing")
+    fx.alerts_from_orders(spark, SF_SMALL).write.parquet(path)
+    return parse_alerts(spark.read.parquet(path), fx.ntz(fx.SILVER_NOW))
+
+
+def test_parse_lets_filters_and_pruning_through(spark):
+    parsed = _stored_parse(spark)
+    late = formatted(spark, parsed.filter("event_time > timestamp_ntz'2000-01-01'"))
+    pushed = [ln for ln in late.splitlines() if ln.startswith("PushedFilters")][0]
+    assert "GreaterThan(event_time" in pushed
+
+    def extracts(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
+
+    assert extracts(parsed) == len(EXTRACTS) == 13       # each pattern once
+    assert extracts(parsed.select("id", "txn_ref")) == 1
+
+
+def test_committed_split_runs_no_pattern(spark):
+    text = formatted(spark, clean_rows(_flagged(spark, SF_SMALL)))
+    assert "regexp_extract" not in text
+    assert "PartitionFilters: [isnotnull(_dq" in text
+
+
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not n.startswith("stream_")
                                   and n != "ledger_csv"])
 def test_no_pairwise_joins(spark, name):

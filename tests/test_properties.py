@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertledger.operators import changes, gold
-from alertledger.operators.parse import clean_rows, parse_alerts, quarantine_rows
+from alertledger.operators.parse import clean_rows, parse_alerts, quarantine_rows, with_counters
 from alertledger.operators.upsert import newest_per_key, to_silver, upsert
 from alertledger.schemas import LANDING, SILVER
 from alertledger.sources import fixtures as fx
@@ -108,9 +108,32 @@ def test_empty_input(spark):
 def test_quality_counters_come_with_the_write(spark):
     from pyspark.sql import Observation
     obs = Observation("alert_dq_test")
-    parsed = parse_alerts(fx.alerts_from_orders(spark, SF_SMALL), fx.ntz(fx.SILVER_NOW), observation=obs)
-    parsed.write.format("noop").mode("overwrite").save()      # the one action
+    parsed = parse_alerts(fx.alerts_from_orders(spark, SF_SMALL), fx.ntz(fx.SILVER_NOW))
+    with_counters(parsed, obs).write.format("noop").mode("overwrite").save()      # the one action
     counts = obs.get
     assert counts["rows"] == parsed.count()
     assert counts["clean_rows"] == clean_rows(parsed).count()
     assert 0 < counts["rows_with_amount"] <= counts["rows"]
+    assert counts["invalid_amount"] == parsed.filter("array_contains(failure_reasons, 'invalid_amount')").count() > 0
+
+
+def test_null_key_and_composite_keys(spark):
+    schema = "k string, l int, v int"
+    before = spark.createDataFrame([(None, 1, 1), ("a", None, 1), ("b", 2, 1)], schema)
+    after = spark.createDataFrame([(None, 1, 2), ("a", None, 1), ("c", 2, 1)], schema)
+    feed = changes.change_feed(before, after, ["k", "l"])
+    assert sorted((r["_change_type"], r["k"], r["v"]) for r in feed.collect()) == \
+        [("delete", "b", 1), ("insert", "c", 1), ("update", None, 2)]
+    assert _bag(changes.apply_changes(before, feed, ["k", "l"])) == _bag(after)
+
+
+def test_late_and_replayed_changes_lose(spark):
+    mirror = changes.mirror_of(spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"))
+    schema = "id string, v int, _change_type string, _commit_version long"
+    one = spark.createDataFrame([("a", 10, "update", 1), ("b", 10, "update", 1)], schema)
+    two = spark.createDataFrame([("a", 20, "update", 2), ("b", 1, "delete", 2)], schema)
+    for order in ((one, two), (two, one), (two, one, two, one)):
+        state = mirror
+        for feed in order:
+            state = changes.replay(state, feed)
+        assert [tuple(r) for r in changes.visible(state).collect()] == [("a", 20)]

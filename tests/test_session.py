@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from alertledger.session import SQL_CONF, configure, scratch_dir, shared_dir
 
 
@@ -13,6 +15,19 @@ def test_shared_dir_follows_the_session(spark):
     assert a != b and a.startswith(base + "/alertledger/") and b.startswith(base + "/alertledger/")
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Cluster:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_configure_sets_library_settings(spark):
     configure(spark)
     for key, value in SQL_CONF.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertledger.plans import medallion
@@ -31,15 +32,32 @@ def test_versions_and_tags(spark):
     assert store.append(df, "a", tag="0") == 1          # replay: no new segment
     assert store.append(df, "a", tag="1") == 2
     assert store.read("a").count() == 10
+    store.write(df, "a")                                # a refresh replaces, later segments add to it
+    store.append(df.limit(2), "a")
+    assert store.read("a").count() == 7
+
+
+def test_empty_batch_and_taken_folder(spark):
+    store = LayerStore(spark, scratch_dir(spark, "test-empty"))
+    empty = fx.alerts_from_orders(spark, SF_SMALL).limit(0)
+    medallion.bronze_to_silver(empty, store, now=fx.ntz(fx.SILVER_NOW))
+    medallion.silver_to_gold(store)
+    assert all(df.count() == 0 for df in medallion.layers(store).values())
+    jobs.alert_batch_fn(store, silver_now=fx.ntz(fx.SILVER_NOW))(empty, "q-0")
+    df = spark.range(3)
+    df.write.parquet(f"{store.root}/two/v=000001")      # another writer's version 1
+    store._next = lambda name: 1
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        store.write(df, "two")
 
 
 def test_replayed_batch_is_a_no_op(spark):
     store = LayerStore(spark, scratch_dir(spark, "test-replay"))
     alerts = fx.alerts_from_orders(spark, SF_SMALL)
     fn = jobs.alert_batch_fn(store, bronze_now=fx.ntz(fx.BRONZE_NOW), silver_now=fx.ntz(fx.SILVER_NOW))
-    fn(alerts, 0)
+    fn(alerts, "q-0")
     first = _bag(store.read("silver"))
-    fn(alerts, 0)                                       # the same batch delivered again
+    fn(alerts, "q-0")                                       # the same batch delivered again
     assert _bag(store.read("silver")) == first
     assert store.read("bronze").count() == alerts.count()
 
