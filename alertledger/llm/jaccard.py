@@ -31,13 +31,14 @@ an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, map_batches, semi_join, stored
+from .common import components, map_batches, semi_join, ship, stored
 from .hashing import shingles, word_hashes
 
 BUCKETS = 1 << 17  # of the frequency histogram
@@ -53,15 +54,22 @@ def _sid(s: np.ndarray) -> int:
 
 def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     """Class of every hash bucket: 0 for ordinary buckets, then by powers of two of the excess over the median."""
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [s for s in _sets(batch["text"], size) if len(s)]
-        if not found:
-            return None
-        bucket, n = np.unique((np.concatenate(found) >> np.uint64(47)).astype(np.int32), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+    ship(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BUCKETS, np.int64)  # of the whole task
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for s in _sets(batch.slice(at, 500)["text"], size):
+                    own += np.bincount((s >> np.uint64(47)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 16 else 0
+                    if 0 < len(s) <= BUCKETS // 16:
+                        np.add.at(own, (s >> np.uint64(47)).astype(np.int64), 1)
+        used = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(own[used])], names=["bucket", "n"])
 
     totals = np.zeros(BUCKETS, np.int64)
-    for r in map_batches(texts, count, "bucket int, n long", 10_000).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    counts = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for r in counts.collect():  # BUCKETS rows at most
         totals[r["bucket"]] = r["n"]
     usual = float(np.median(totals))
     return np.log2(np.maximum(1, (totals - usual) / (3 * math.sqrt(usual) + 1))).astype(np.int8)
