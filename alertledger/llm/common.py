@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, made from ``name``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _shipped: set[str] = set()
 
 
@@ -79,20 +87,19 @@ def semi_join(big: DataFrame, keys: DataFrame, on: str, limit: int = 500_000) ->
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of the nodes of ``edges`` (a, b longs).
 
-    Each round every node takes the smallest component among its neighbours, then the component of that
-    component, so the rounds grow with the logarithm of the longest chain. Only minima by key are shuffled.
+    Each round every node takes the smallest component among its own and its neighbours', then the component
+    of that component, so the rounds grow with the logarithm of the longest chain. Only minima by key are
+    shuffled, so a node with very many neighbours is no hot task.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), label)
-    now = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("component")), label)
-    while True:
-        near = (both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("near")))
-        step = (now.join(near, now["node"] == near["a"])
-                .select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
-        step = stored(step, label)
-        up = step.select(F.col("node").alias("c"), F.col("component").alias("up"))
-        jumped = stored(step.join(up, step["component"] == up["c"])
-                        .select("node", "was", F.least("component", "up").alias("component")), label)
-        now = jumped.select("node", "component")
-        if jumped.filter("component <> was").isEmpty():
-            return now
+    now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
+    now = stored(now.withColumn("was", F.col("node")), label)
+    while not now.filter("component <> was").isEmpty():
+        here = now.select("node", "component")
+        heard = both.join(here, both["b"] == here["node"]).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+        own = here.select("node", "component", F.col("component").alias("was"))
+        least = heard.union(own).groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
+        up = here.select(F.col("node").alias("c"), F.col("component").alias("up"))
+        now = stored(least.join(up, least["component"] == up["c"])
+                     .select("node", F.least("component", "up").alias("component"), "was"), label)
+    return now.select("node", "component")

@@ -36,12 +36,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import components, map_batches, semi_join, ship, stored
+from .common import components, fresh, map_batches, ship, stored
 from .hashing import shingles, word_hashes
 
 BUCKETS = 1 << 17  # of the frequency histogram
+FIRST_TRIES = 6  # members of a star that a set near its leader is compared with first; later, all if need be
 
 
 def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -88,20 +89,23 @@ def _fits(m: Column, n: Column, percent: int) -> Column:
     return (m * 100 >= n * percent) & (n * 100 >= m * percent)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``common``: the size of the intersection of their sets."""
+def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``common``: the size of the intersection of their sets, made from ``texts`` (sid, text).
+
+    Texts travel, not sets: they are about half as large. Each side is joined with the texts of that side only.
+    """
     own = pairs.schema
-    one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a"))
-    two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
+    one = texts.filter("first").select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
+    two = texts.filter("second").select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
 
     def intersect(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                  for x, y in zip(batch["tokens_a"].to_pylist(), batch["tokens_b"].to_pylist(), strict=True)]
+        common = [len(np.intersect1d(x, y, assume_unique=True))
+                  for x, y in zip(_sets(batch["text_a"], size), _sets(batch["text_b"], size), strict=True)]
         return pa.RecordBatch.from_arrays([*(batch[f.name] for f in own), pa.array(common, pa.int64())],
                                           names=[*(f.name for f in own), "common"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return stored(map_batches(pairs.join(one, "a").join(two, "b"), intersect, f"{schema}, common long"), "verified")
+    return stored(map_batches(pairs.join(two, "b").join(one, "a"), intersect, f"{schema}, common long", 250), "verified")
 
 
 def _links(verified: DataFrame, percent: int) -> DataFrame:
@@ -117,18 +121,15 @@ class _Join:
         self.links: DataFrame | None = None
         self.comp: DataFrame | None = None
 
-    def sets_of(self, sids: DataFrame) -> DataFrame:
-        """sid, tokens of the given sets, recomputed from one text of each."""
-        size = self.size
-        keys = self.rows.join(sids.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
-
-        def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = _sets(batch["text"], size)
-            return pa.RecordBatch.from_arrays([pa.array([_sid(s) for s in found], pa.int64()),
-                                               pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "tokens"])
-
-        texts = semi_join(self.texts, stored(keys.select("row"), "rows"), "row")
-        return stored(map_batches(texts, tokens, "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
+    def texts_of(self, pairs: DataFrame) -> DataFrame:
+        """sid, text, first, second: a text of each set in ``pairs``, and on which side (a, b) it is."""
+        sides = (pairs.select(F.col("a").alias("sid"), F.lit(True).alias("first"), F.lit(False).alias("second"))
+                 .union(pairs.select("b", F.lit(False), F.lit(True)))
+                 .groupBy("sid").agg(F.max("first").alias("first"), F.max("second").alias("second")))
+        keys = stored(self.rows.join(sides, "sid").groupBy("sid", "first", "second").agg(F.min("row").alias("row")), "rows")
+        small = keys.count() <= 500_000  # then it is sent to every executor and the texts are not shuffled
+        return stored(self.texts.join(F.broadcast(keys) if small else keys, "row")
+                      .select("sid", "text", "first", "second"), "texts")
 
     def add(self, links: DataFrame) -> None:
         self.links = stored(links if self.links is None else self.links.union(links), "links")
@@ -138,33 +139,33 @@ class _Join:
         comp = self.comp.select(F.col("node").alias(sid), F.col("component").alias(name))
         return df.join(comp, sid, "left").withColumn(name, F.coalesce(name, sid))
 
-    def compare_members(self, star_pairs: DataFrame, stars: DataFrame, most: int | None) -> None:
-        """Compare members of pairs of stars (l, k, distance) until their components meet or all (``most`` a
-        side) have been tried; with the triangle inequality on the leaders' distance."""
-        stars = stars.withColumn("rank", F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / float(1 << 30) * F.col("members"))
+    def member_pairs(self, star_pairs: DataFrame, stars: DataFrame, low: int, high: int) -> DataFrame:
+        """Pairs (a, b, na, nb) of the first ``high`` members a side of pairs of stars (l, k, distance), without
+        those among the first ``low``, and without those that the triangle inequality rules out."""
+        def side(star: str, sid: str) -> DataFrame:
+            return stars.filter(F.col("rank") < high).select(
+                F.col("star").alias(star), F.col("sid").alias(sid), F.col("n").alias(f"n{sid}"),
+                F.col("d").alias(f"d{sid}"), F.col("rank").alias(f"r{sid}"))
+
+        reach = (F.col("distance") - F.col("da") - F.col("db")) * (100 + self.percent) \
+            <= (F.col("na") + F.col("nb")) * (100 - self.percent)
+        new = (F.col("ra") >= low) | (F.col("rb") >= low)
+        return (star_pairs.join(side("l", "a"), "l").join(side("k", "b"), "k")
+                .filter(reach & new & _fits(F.col("na"), F.col("nb"), self.percent)).select("a", "b", "na", "nb"))
+
+    def compare_members(self, star_pairs: DataFrame, stars: DataFrame) -> None:
+        """Compare members of pairs of stars (l, k, distance) until their components meet or all have been tried."""
         largest = stars.agg(F.max("members")).first()[0] or 0
-        low, high = 0, 4
-        left = star_pairs
+        low, high, left = 0, FIRST_TRIES, star_pairs
         while True:
-            x = stars.select(F.col("star").alias("l"), F.col("sid").alias("a"), F.col("n").alias("na"),
-                             F.col("d").alias("da"), F.col("rank").alias("ra"))
-            y = stars.select(F.col("star").alias("k"), F.col("sid").alias("b"), F.col("n").alias("nb"),
-                             F.col("d").alias("db"), F.col("rank").alias("rb"))
-            reach = (F.col("distance") - F.col("da") - F.col("db")) * (100 + self.percent) \
-                <= (F.col("na") + F.col("nb")) * (100 - self.percent)
-            tried = (F.col("ra") >= low) | (F.col("rb") >= low)
-            tries = (left.join(x.filter(F.col("ra") < high), "l").join(y.filter(F.col("rb") < high), "k")
-                     .filter(reach & tried & _fits(F.col("na"), F.col("nb"), self.percent))
-                     .select("a", "b", "na", "nb"))
-            tries = stored(tries, "tries")
+            tries = stored(self.member_pairs(left, stars, low, high), "tries")
             if not tries.isEmpty():
-                sets = self.sets_of(tries.select(F.col("a").alias("sid")).union(tries.select("b")))
-                found = _links(verify(tries, sets), self.percent)
+                found = _links(verify(tries, self.texts_of(tries), self.size), self.percent)
                 if not found.isEmpty():
                     self.add(found)
-            if high >= largest or (most and high >= most):
+            if high >= largest:
                 return
-            low, high = high, high * 4
+            low, high = high, high * 8
             left = self.with_component(self.with_component(left, "l", "cl"), "k", "ck").filter("cl <> ck").drop("cl", "ck")
             left = stored(left, "star-pairs")
             if left.isEmpty():
@@ -174,7 +175,7 @@ class _Join:
 def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id that links reach, its own included),
-    row and sid (hashes of the row and of its set)."""
+    row (hash of id and text) and class (hash that names the component; NULL for empty sets)."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     texts = df.select(F.col(id_col).alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     classes = frequency_classes(texts.select("text"), size)
@@ -190,13 +191,14 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
         return pa.RecordBatch.from_arrays([batch["id"], batch["row"], pa.array(sids, pa.int64()), pa.array(ns, pa.int64()),
                                            pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "row", "sid", "n", "prefix"])
 
-    rows = stored(map_batches(texts, summarise, f"id {kind}, row long, sid long, n long, prefix array<long>"), "set-rows")
+    rows = stored(map_batches(texts, summarise, f"id {kind}, row long, sid long, n long, prefix array<long>", 500), "set-rows")
     join = _Join(texts, rows.select("row", "sid"), size, percent)
 
     entries = rows.filter("n > 0").select("sid", "n", F.posexplode("prefix").alias("p", "token"))
-    lists = entries.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("m"))
-    index = entries.join(lists.filter("low <> high").select("token", "m"), "token")
+    lists = entries.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
+    index = entries.join(stored(lists.select("token"), "shared-tokens"), "token")
     index = stored(index.dropDuplicates(["token", "sid"]), "index")  # lists of two sets or more
+    index = index.join(index.groupBy("token").agg(F.count("*").alias("m")), "token")
 
     # leaders: the set whose tokens are in the longest lists
     central = index.join(index.groupBy("sid").agg(F.sum("m").alias("score")), "sid")
@@ -208,11 +210,8 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     best = (votes.filter(worth).groupBy("a").agg(F.max(F.struct("votes", "b", "na", "nb")).alias("x"))
             .select("a", "x.b", "x.na", "x.nb"))
     best = stored(best, "best-leaders")
-    sets = join.sets_of(best.select(F.col("a").alias("sid")).union(best.select("b")))
-    led = verify(best, sets).withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("common"))
+    led = verify(best, join.texts_of(best), size).withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("common"))
     led = led.withColumn("linked", F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
-    join.add(led.filter("linked").select("a", "b"))
-
     # a star: a leader and the sets that are linked to it; every other set is a star of its own
     member = led.filter("linked").select(F.col("a").alias("sid"), F.col("b").alias("star"), "d")
     known = index.select("sid", "n").distinct()
@@ -221,56 +220,76 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     star_size = stars.groupBy("star").agg(F.count("*").alias("members"), F.max("d").alias("radius"),
                                           F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     star_size = stored(star_size, "star-sizes")
-    stars = stored(stars.join(star_size.select("star", "members"), "star"), "stars")
-    near = stored(led.filter("NOT linked").select(F.col("b").alias("l"), F.col("a").alias("k"), F.col("d").alias("distance")),
-                  "near-leaders")
-    join.compare_members(near, stars, most=16)
+    rank = F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
+    stars = stored(stars.join(star_size.select("star", "members"), "star").withColumn("rank", rank), "stars")
+    # a set that is not similar to its best leader may be to some of the leader's star: a few are tried now
+    near = led.filter("NOT linked").select(F.col("b").alias("l"), F.col("a").alias("k"), F.col("d").alias("distance"))
+    tries = stored(join.member_pairs(near, stars, 0, FIRST_TRIES), "tries")
+    tried = verify(tries, join.texts_of(tries), size)
+    join.add(led.filter("linked").select("a", "b").union(_links(tried, percent)))
 
     # lists of stars: pairs of different components that share a token
+    of_star = star_size.select("star", "radius", F.col("n_min").alias("n0"), F.col("n_max").alias("n1"))
     entry = (index.join(stars.select("sid", "star"), "sid")
-             .groupBy("token", "star").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("p").alias("p0"),
-                                           F.max("p").alias("p1"), F.max(F.col("n") - F.col("p")).alias("rest")))
+             .groupBy("token", "star").agg(F.max("p").alias("p1"), F.max(F.col("n") - F.col("p")).alias("rest"))
+             .join(of_star, "star"))
     entry = stored(join.with_component(entry, "star", "comp"), "star-index")
     several = entry.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     entry = stored(entry.join(several.select("token"), "token"), "star-index")
-    x = entry.select("token", *(F.col(c).alias(f"{c}_x") for c in ("star", "n0", "n1", "p1", "rest", "comp")))
-    y = entry.select("token", *(F.col(c).alias(f"{c}_y") for c in ("star", "n0", "n1", "p1", "rest", "comp")))
+    x = entry.select("token", *(F.col(c).alias(f"{c}_x") for c in ("star", "n0", "n1", "p1", "rest", "comp", "radius")))
+    y = entry.select("token", *(F.col(c).alias(f"{c}_y") for c in ("star", "n0", "n1", "p1", "rest", "comp", "radius")))
     fits = (F.col("n1_x") * 100 >= F.col("n0_y") * percent) & (F.col("n1_y") * 100 >= F.col("n0_x") * percent)
     reach = (F.least("p1_x", "p1_y") + F.least("rest_x", "rest_y")) * (100 + percent) \
         >= _need(F.col("n0_x"), F.col("n0_y"), percent)
     met = (x.join(y, "token").filter((F.col("star_x") < F.col("star_y")) & (F.col("comp_x") != F.col("comp_y")) & fits & reach)
-           .groupBy(F.col("star_x").alias("a"), F.col("star_y").alias("b")).agg(F.count("*").alias("shared")))
-    info = star_size.withColumn("later", F.col("n_max") - (F.col("n_max") - F.ceil(F.col("n_max") * percent / 100) + 1))
-    met = (met.join(info.select(*(F.col(c).alias(f"{c}_x") for c in info.columns)), F.col("a") == F.col("star_x"))
-           .join(info.select(*(F.col(c).alias(f"{c}_y") for c in info.columns)), F.col("b") == F.col("star_y")))
-    # single sets: beyond the shared prefix tokens at most the rest of a set can be common
-    single = (F.col("members_x") == 1) & (F.col("members_y") == 1)
-    possible = (F.col("shared") + F.greatest("later_x", "later_y")) * (100 + percent) \
-        >= _need(F.col("n_min_x"), F.col("n_min_y"), percent)
-    met = met.filter(~single | possible).select("a", "b", "members_x", "members_y", "radius_x", "radius_y", "n_max_x", "n_max_y")
+           .groupBy(F.col("star_x").alias("a"), F.col("star_y").alias("b"), "radius_x", "radius_y", "n0_x", "n0_y")
+           .agg(F.count("*").alias("shared")))
+    # stars of one set (radius 0): beyond the shared prefix tokens at most the rest of a set, without its prefix, can be common
+    single = (F.col("radius_x") == 0) & (F.col("radius_y") == 0)
+    rest = [F.ceil(F.col(n) * percent / 100) - 1 for n in ("n0_x", "n0_y")]
+    possible = (F.col("shared") + F.greatest(*rest)) * (100 + percent) >= _need(F.col("n0_x"), F.col("n0_y"), percent)
+    met = met.filter(~single | possible).select("a", "b")
+    of_star = star_size.select("star", "radius", "n_max")
+    met = (met.join(of_star.select(*(F.col(c).alias(f"{c}_x") for c in of_star.columns)), F.col("a") == F.col("star_x"))
+           .join(of_star.select(*(F.col(c).alias(f"{c}_y") for c in of_star.columns)), F.col("b") == F.col("star_y"))
+           .drop("star_x", "star_y"))
     leader_n = rows.select("sid", "n").distinct()
     met = (met.join(leader_n.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a")
            .join(leader_n.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b"))
     met = stored(met, "star-pairs")
     if not met.isEmpty():
-        sets = join.sets_of(met.select(F.col("a").alias("sid")).union(met.select("b")))
-        met = verify(met, sets)
+        met = verify(met, join.texts_of(met), size)
         found = _links(met, percent)
         if not found.isEmpty():
             join.add(found)
         distance = F.col("na") + F.col("nb") - 2 * F.col("common")
         within = (distance - F.col("radius_x") - F.col("radius_y")) * (100 + percent) \
             <= (F.col("n_max_x") + F.col("n_max_y")) * (100 - percent)
-        open_ = met.filter("members_x > 1 OR members_y > 1").filter(within) \
+        open_ = met.filter("radius_x > 0 OR radius_y > 0").filter(within) \
             .select(F.col("a").alias("l"), F.col("b").alias("k"), distance.alias("distance"))
         open_ = join.with_component(join.with_component(open_, "l", "cl"), "k", "ck").filter("cl <> ck").drop("cl", "ck")
         open_ = stored(open_, "open-stars")
         if not open_.isEmpty():
-            join.compare_members(open_, stars, most=None)
+            join.compare_members(open_, stars)
 
     first = stored(join.with_component(rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("first")), "sid", "comp"), "first")
     smallest = first.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = first.join(smallest, "comp").select("sid", "component_id")
+    named = first.join(smallest, "comp").select("sid", "component_id", F.col("comp").alias("class"))
     return (rows.select("id", "row", "sid", "n").join(named, "sid", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "row", "sid"))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "row", "class"))
+
+
+def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each class the row of smallest id stays. Empty texts all stay."""
+    found = stored(link_components(df, size, percent, id_col, text_col)
+                   .select(F.col(id_col).alias("id"), "row", "class"), "classes")
+    stays = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = found.filter("class IS NOT NULL").groupBy("class").agg(stays.alias("kept"))
+    row, nth = fresh(df, "copy_row"), fresh(df, "copy_nth")
+    kept = kept.select(F.col("kept.row").alias(row), F.lit(True).alias(nth))
+    empty = found.filter("class IS NULL").select(F.col("row").alias(row), F.lit(False).alias(nth)).distinct()
+    rows = df.withColumn(row, F.xxhash64(F.col(id_col), F.col(text_col))).join(kept.union(empty), row)
+    order = Window.partitionBy(row).orderBy(F.lit(0))
+    return (rows.withColumn(nth, F.when(F.col(nth), F.row_number().over(order)).otherwise(1)).filter(F.col(nth) == 1)
+            .select(*(F.col(f"`{c}`") for c in df.columns)))

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 FAN = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -142,11 +142,9 @@ def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     Rows with equal id, source and text are one row here, repeated by the sum of their copies.
     """
     mixed = mix_sources(df, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    copies = mixed.groupBy(F.col("hash").alias("_mix_hash")).agg(F.sum("copies").alias("_mix_copies")) \
-        .filter("_mix_copies > 0")
-    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed))
-    rows = df.withColumn("_mix_hash", key).withColumn(
-        "_mix_n", F.row_number().over(Window.partitionBy("_mix_hash").orderBy(F.lit(0)))).filter("_mix_n = 1")
-    return (rows.join(copies, "_mix_hash")
-            .withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-            .select(*df.columns))
+    key, copies, nth = (fresh(df, name) for name in ("mix_hash", "mix_copies", "mix_nth"))
+    taken = mixed.groupBy(F.col("hash").alias(key)).agg(F.sum("copies").alias(copies)).filter(F.col(copies) > 0)
+    rows = df.withColumn(key, F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed)))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    return (rows.join(taken, key).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+            .select(*(F.col(f"`{c}`") for c in df.columns)))

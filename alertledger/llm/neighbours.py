@@ -159,11 +159,11 @@ def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
     """a, b, d: the nearest neighbours of each node found. ``nodes``: node long, dim int, v (packed doubles), code (rounded)."""
-    first = None
+    first = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("d")).limit(0)
     for dim in sorted(r["dim"] for r in nodes.select("dim").distinct().collect()):
         for tree in range(trees):
             part = _start(nodes.filter(F.col("dim") == dim).select("node", "v"), dim, tree, degree)
-            first = part if first is None else first.union(part)
+            first = first.union(part)
     graph = stored(_nearest(first, degree), "graph")
     total = graph.count()
     for _ in range(rounds):

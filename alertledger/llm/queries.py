@@ -55,8 +55,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all ``documents`` that repeat an earlier line, up to one edit: how many go, and what is left."""
     marked = lines.mark_duplicate_lines(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-                         F.size("_drop").cast("long").alias("n_removed"),
-                         F.sha2(lines.without_lines(F.col("text"), F.col("_drop")), 256).alias("kept_sha256"))
+                         F.size("drop_lines").cast("long").alias("n_removed"),
+                         F.sha2(lines.without_lines(F.col("text"), F.col("drop_lines")), 256).alias("kept_sha256"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
