@@ -9,7 +9,7 @@ then position) stays and the others go. The join is built from DataFrame functio
   edits leave at least one segment of a similar line untouched;
 * each line probes the index for the lengths it can reach, with the substrings at the
   positions that the segment can have moved to (bounded from both ends of the line);
-* counts of eight letters rule out most pairs inside the join: an edit changes them by
+* counts of a few letters rule out most pairs inside the join: an edit changes them by
   two in all at most;
 * what is left is verified by bit-parallel edit distance in a band around the diagonal
   that ends in the corner: one machine word per column.
@@ -27,9 +27,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, semi_join, stored
+from .common import components, fresh, semi_join, stored
 
-LETTERS = "etaonisr"  # the letters that are counted; any would be right, frequent ones rule out more
+LETTERS = "ean"  # the letters that are counted; any would be right, frequent ones rule out more
 
 
 def _row(id_col: str, text_col: str) -> Column:
@@ -37,10 +37,10 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """id, row, pos, line, lid of the lines that take part."""
+    """id, row, pos, line, chars (its length), lid of the lines that take part."""
     lines = df.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("row"),
                       F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return lines.filter(F.char_length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
+    return lines.withColumn("chars", F.char_length("line")).filter(F.col("chars") >= min_chars).withColumn("lid", F.xxhash64("line"))
 
 
 def _first() -> Column:
@@ -56,7 +56,7 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
 def _letter_counts(line: Column) -> Column:
     counts = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        n = (F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
         counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
     return counts
 
@@ -75,14 +75,14 @@ def _entry(line: Column, start: Column, n: Column, length: Column, i: int) -> Co
 
 
 def index_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    k, length = max_edits + 1, F.char_length("line")
+    k, length = max_edits + 1, F.col("chars")
     keys = [_entry(F.col("line"), *_segment(length, i, k), length, i) for i in range(k)]
     return lines.select("lid", _letter_counts(F.col("line")).alias("letters"), F.explode(F.array(*keys)).alias("key"))
 
 
 def probe_entries(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """Keys of all substrings of a line that can equal a segment of a similar line that is not longer."""
-    k, own, keys = max_edits + 1, F.char_length("line"), []
+    k, own, keys = max_edits + 1, F.col("chars"), []
     for shorter in range(max_edits + 1):
         length = own - shorter
         for i in range(k):
@@ -134,7 +134,7 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: int, min_chars:
     few = first.count() <= 500_000  # sent to every executor only up to that many rows
     repeated = F.broadcast(first) if few else first
     one_each = (lines.join(repeated, "lid", "left")
-                .filter("first IS NULL OR (first.row = row AND first.pos = pos)").select("lid", "line"))
+                .filter("first IS NULL OR (first.row = row AND first.pos = pos)").select("lid", "line", "chars"))
     index = index_entries(one_each, max_edits).select(F.col("lid").alias("b"), F.col("letters").alias("letters_b"), "key")
     probes = probe_entries(one_each, max_edits, min_chars).select(F.col("lid").alias("a"), "letters", "key", "shorter")
     other = ((F.col("shorter") > 0) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
@@ -145,12 +145,14 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: int, min_chars:
     texts = stored(semi_join(one_each, needed, "lid").dropDuplicates(["lid"]), "line-texts")
     both = (pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
             .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b"))
-    return both.filter(edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
+    # the verdict is a stored column, not a filter: the optimizer would reason about so large a condition for minutes
+    near = edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits).alias("near")
+    return stored(both.select("a", "b", near), "line-verdicts").filter("near").select("a", "b")
 
 
 def mark_duplicate_lines(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """``df`` with ``_drop``: positions (from 0) of the lines that an earlier line of their class repeats."""
+                         text_col: str = "text", drop_col: str = "drop_lines") -> DataFrame:
+    """``df`` with ``drop_col``: positions (from 0) of the lines that an earlier line of their class repeats."""
     lines = _lines(df, id_col, text_col, min_chars)
     occurrences = stored(lines.select("id", "row", "pos", "lid"), "line-occurrences")
     first = occurrences.groupBy("lid").agg(F.count("*").alias("n"), _first().alias("first"))
@@ -162,10 +164,11 @@ def mark_duplicate_lines(df: DataFrame, max_edits: int = 1, min_chars: int = 20,
     kept = in_class.join(class_first, "component").select("lid", F.col("class_first").alias("first"))
     # every line that is not alone, with the occurrence of its class that stays
     kept = stored(kept.union(repeated.join(classes, "lid", "left_anti").select("lid", "first")), "line-firsts")
+    row = fresh(df, "line_row")
     drops = (occurrences.join(kept, "lid").filter("NOT (first.row = row AND first.pos = pos)")
-             .groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_drop")))
-    return (df.withColumn("_row", _row(id_col, text_col)).join(drops, "_row", "left").drop("_row")
-            .select(*df.columns, F.coalesce("_drop", F.array().cast("array<int>")).alias("_drop")))
+             .groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(drop_col)))
+    return (df.withColumn(row, _row(id_col, text_col)).join(drops, row, "left")
+            .select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(drop_col, F.array().cast("array<int>")).alias(drop_col)))
 
 
 def without_lines(text: Column, drop: Column) -> Column:
@@ -176,6 +179,7 @@ def without_lines(text: Column, drop: Column) -> Column:
 def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``df`` with the duplicate lines of its texts removed, without documents that lost all their text."""
-    marked = mark_duplicate_lines(df, max_edits, min_chars, id_col, text_col)
-    marked = marked.withColumn(text_col, without_lines(F.col(text_col), F.col("_drop")))
-    return marked.filter((F.size("_drop") == 0) | F.col(text_col).rlike(r"\S")).drop("_drop")
+    drop = fresh(df, "drop_lines")
+    marked = mark_duplicate_lines(df, max_edits, min_chars, id_col, text_col, drop)
+    marked = marked.withColumn(text_col, without_lines(F.col(text_col), F.col(drop)))
+    return marked.filter((F.size(drop) == 0) | F.col(text_col).rlike(r"\S")).drop(drop)
