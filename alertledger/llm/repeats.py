@@ -178,13 +178,14 @@ def _strings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def _back(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """Join ``counted`` back to the rows. It is stored first: a join of two plain scans is one whose hot keys Spark splits."""
     return rows.join(counted, on)
 
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
     """doc, p1, p2: start positions (inclusive) of strings that occur elsewhere. ``texts``: doc long, text."""
     runs = stored(map_batches(texts, _run_rows, "doc long, anchor long, p1 long, p2 long, gram long, whole long"), "runs")
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    shared = stored(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "shared-grams")
     runs = stored(_back(runs, shared, ["gram"]), "shared-runs")
 
     wholes = runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min_by(
@@ -193,7 +194,7 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     same = _back(runs, wholes.filter("n > 1").select("gram", "whole"), ["gram", "whole"]).select("doc", "p1", "p2")
 
     # groups in which different runs meet; one of each distinct run goes on
-    mixed = wholes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    mixed = stored(wholes.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"), "mixed-grams")
     open_runs = (_back(wholes, mixed, ["gram"])
                  .select(F.col("one.doc").alias("doc"),
                          F.struct("gram", F.least("n", F.lit(2)).alias("weight"), "one.anchor", "one.p1", "one.p2").alias("run"))
@@ -207,6 +208,7 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
              .agg(F.sum("weight").alias("n"), F.min("full").alias("low"), F.max("full").alias("high"),
                   F.count_if(F.col("full").isNull()).alias("cut"))
              .filter("n > 1").select("gram", "j", "core", F.expr("cut = 0 AND low = high").alias("equal")))
+    cores = stored(cores, "shared-cores")
     blocks = stored(_back(blocks, cores, ["gram", "j", "core"]), "shared-blocks")
     equal = blocks.filter("equal").select("doc", (F.col("anchor") - F.col("j") * BLOCK - (BLOCK - 1)).alias("p1"),
                                           (F.col("anchor") - F.col("j") * BLOCK).alias("p2"))
@@ -214,6 +216,7 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     listed = blocks.filter("NOT equal").groupBy("doc", "anchor").agg(F.sort_array(F.collect_list("j")).alias("blocks"))
     names = stored(map_batches(around.join(listed, ["doc", "anchor"]), _strings, f"{kinds}, o long, name long"), "strings")
     again = names.groupBy("gram", "o", "name").agg(F.sum("weight").alias("n")).filter("n > 1").select("gram", "o", "name")
+    again = stored(again, "shared-strings")
     single = _back(names, again, ["gram", "o", "name"]).select("doc", (F.col("anchor") - F.col("o")).alias("p1"))
     return same.unionByName(equal).unionByName(single.withColumn("p2", F.col("p1")))
 
