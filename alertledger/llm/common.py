@@ -25,6 +25,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
@@ -54,7 +55,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    # rows of long texts go to Python in small batches, so that neither side holds many of them at once
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    before = spark.conf.get(key, usual)
+    spark.conf.set(key, min(int(before) or BATCH_ROWS, BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -104,11 +104,10 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     """
     width = 2 * max_edits + 1
     full = (1 << width) - 1
-    rows, columns = F.split(a, ""), F.split(b, "")
     extra = F.char_length(a) - F.char_length(b)
 
     def column(state: Column, j: Column) -> Column:
-        c = F.get(columns, j - 1)
+        rows, c = state["rows"], F.get(state["columns"], j - 1)  # in the state, or each step would split the strings
         same = F.lit(0).cast("long")
         for r in range(width):
             same = same + F.when(F.get(rows, j - 1 - max_edits + r) == c, F.lit(1 << r)).otherwise(F.lit(0)).cast("long")
@@ -120,10 +119,12 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
         return F.struct(
             left.bitwiseOR(F.bitwise_not(below.bitwiseOR(right)).bitwiseAND(F.lit(full))).alias("up"),
             below.bitwiseAND(right).alias("down"),
-            (state["distance"] + 1 - F.getbit(free, (extra + max_edits).cast("int"))).alias("distance"))
+            (state["distance"] + 1 - F.getbit(free, state["end"])).alias("distance"),
+            state["end"].alias("end"), rows.alias("rows"), state["columns"].alias("columns"))
 
     start = F.struct(F.lit(full & ~((1 << max_edits) - 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"),
-                     extra.cast("long").alias("distance"))
+                     extra.cast("long").alias("distance"), (extra + max_edits).cast("int").alias("end"),
+                     F.split(a, "").alias("rows"), F.split(b, "").alias("columns"))
     steps = F.when(F.char_length(b) > 0, F.sequence(F.lit(1), F.char_length(b))).otherwise(F.array().cast("array<int>"))
     end = F.aggregate(steps, start, column, lambda s: s["distance"])
     return F.when(extra.between(0, max_edits), end <= max_edits).otherwise(F.lit(False))
