@@ -14,7 +14,7 @@ bucket's largest length, is the cosine a candidate must reach there:
 What is left is verified by its product. The buckets are independent, so there is one
 task for each pair of a bucket and a query block.
 
-Defined results: vectors that are NULL or hold a NULL or non-finite component take no
+Defined results: rows without id, and vectors that are NULL or hold a NULL or non-finite component, take no
 part; vectors of different dimension are not compared; ties go to the smaller id; equal
 vectors are all candidates; a query has fewer than ``k`` rows if there are fewer
 candidates; extra columns are not read. Components must be below 2**40 in size.
@@ -131,7 +131,7 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 2
                  vector_col: str = "embedding", bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The ``k`` rows of largest integer product for the rows that ``queries`` marks: query_id, rank, id, score."""
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    rows = (vectors.filter(usable(F.col(vector_col)))
+    rows = (vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), queries.alias("is_query")))
     rows = rows.withColumn("dim", F.size("v")).withColumn(
         "length", F.aggregate("v", F.lit(0.0), lambda n, x: n + x * x))

@@ -14,8 +14,8 @@ nearest ``beam`` pool members that are not expanded yet, through neighbours in b
 directions, until no step changes a pool. Every row is indexed; results carry exact
 distances. Recall is measured against brute force in the tests.
 
-Defined results: vectors that are NULL or zero or hold a NULL or non-finite component
-take no part; equal vectors are all candidates, the smaller ids first; a query has
+Defined results: rows without id, and vectors that are NULL or zero or hold a NULL or
+non-finite component, take no part; equal vectors are all candidates, the smaller ids first; a query has
 fewer than ``k`` rows if there are fewer candidates; vectors of another dimension than
 the query's are not compared; extra columns are not read.
 """
@@ -213,7 +213,7 @@ def nearest_rows(vectors: DataFrame, queries: Column, k: int = 10, id_col: str =
                  beam: int = BEAM) -> DataFrame:
     """The ``k`` nearest rows found for the rows that ``queries`` marks: query_id, rank, id, score (distance)."""
     wide = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = (vectors.filter(usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0))
+    rows = (vectors.filter(usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), wide.alias("w"), queries.alias("is_query")))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:

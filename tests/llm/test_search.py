@@ -8,7 +8,7 @@ from alertledger.llm.inner_product import search_bucket, top_products
 from alertledger.llm.neighbours import nearest_rows
 
 NAN, INF = float("nan"), float("inf")
-ODD = [(9001, None), (9002, [None, 1.0, 0.0, 0.0]), (9003, [NAN] * 4), (9004, [INF, 0.0, 0.0, 0.0]), (9050, []), (9100, None)]
+ODD = [(9001, None), (9002, [None, 1.0, 0.0, 0.0]), (9003, [NAN] * 4), (9004, [INF, 0.0, 0.0, 0.0]), (9050, []), (9100, None), (None, [9.0, 9.0, 9.0, 9.0])]
 
 
 def frame(spark, rows):
