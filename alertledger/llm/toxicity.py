@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches
+from .common import map_batches, stored
 
 STEMS = (4, 5)  # lengths of the word beginnings
 FOLDS = 5
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
     # the labelled sample is bounded by max_rows, so it may be sent to all executors
     sample = docs.select(id_col, text_col).join(F.broadcast(rows.select(id_col).distinct()), id_col, "left_semi")
-    counted = map_batches(sample, words, f"`{id_col}` {kind}, words array<struct<f:string,n:int>>")
+    counted = stored(map_batches(sample, words, f"`{id_col}` {kind}, words array<struct<f:string,n:int>>"), "labelled-words")
     ys = known.columns[1:]
     one_each = counted.join(F.broadcast(rows), id_col).select(
         F.struct(id_col, F.xxhash64("words")).alias("row"), *ys, F.explode_outer("words").alias("w"))
