@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import map_batches, stored
 
 SIZE, END = 1024, 2
-NUMBER_GROUP = 20_000  # pieces that one task numbers together
+NUMBER_GROUP = 4_000  # pieces that one task numbers together
 _CACHE_LIMIT = 500_000
 _encoders: dict[str, ChunkEncoder] = {}
 
