@@ -198,10 +198,10 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     lists = entries.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
     index = entries.join(stored(lists.select("token"), "shared-tokens"), "token")
     index = stored(index.dropDuplicates(["token", "sid"]), "index")  # lists of two sets or more
-    index = index.join(index.groupBy("token").agg(F.count("*").alias("m")), "token")
 
     # leaders: the set whose tokens are in the longest lists
-    central = index.join(index.groupBy("sid").agg(F.sum("m").alias("score")), "sid")
+    long_lists = index.join(index.groupBy("token").agg(F.count("*").alias("m")), "token")
+    central = stored(index.join(long_lists.groupBy("sid").agg(F.sum("m").alias("score")), "sid"), "central")
     leader = central.groupBy("token").agg(F.max(F.struct("score", "sid", "n")).alias("lead"))
     votes = (central.join(leader, "token").filter("sid <> lead.sid")
              .groupBy(F.col("sid").alias("a"), F.col("lead.sid").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))

@@ -25,6 +25,8 @@ extra columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, fresh, semi_join, stored
@@ -95,6 +97,11 @@ def probe_entries(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame
             .filter("k IS NOT NULL").select("lid", "letters", "k.key", "k.shorter"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, inside a function of higher order too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     """True if the edit distance of two strings, ``a`` the longer or as long, is at most ``max_edits`` (30 at most).
 
@@ -108,19 +115,22 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
 
     def column(state: Column, j: Column) -> Column:
         rows, c = state["rows"], F.get(state["columns"], j - 1)  # in the state, or each step would split the strings
+        up, down = state["up"], state["down"]
         same = F.lit(0).cast("long")
         for r in range(width):
             same = same + F.when(F.get(rows, j - 1 - max_edits + r) == c, F.lit(1 << r)).otherwise(F.lit(0)).cast("long")
-        up, down = state["up"], state["down"]
-        free = ((same.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(same).bitwiseOR(down).bitwiseAND(F.lit(full))
-        right = down.bitwiseOR(F.bitwise_not(free.bitwiseOR(up)).bitwiseAND(F.lit(full)))
-        left = free.bitwiseAND(up)
-        below = F.shiftright(free, 1)
-        return F.struct(
-            left.bitwiseOR(F.bitwise_not(below.bitwiseOR(right)).bitwiseAND(F.lit(full))).alias("up"),
-            below.bitwiseAND(right).alias("down"),
-            (state["distance"] + 1 - F.getbit(free, state["end"])).alias("distance"),
-            state["end"].alias("end"), rows.alias("rows"), state["columns"].alias("columns"))
+
+        def steps(free: Column) -> Column:
+            right = down.bitwiseOR(F.bitwise_not(free.bitwiseOR(up)).bitwiseAND(F.lit(full)))
+            left, below = free.bitwiseAND(up), F.shiftright(free, 1)
+            return F.struct(
+                left.bitwiseOR(F.bitwise_not(below.bitwiseOR(right)).bitwiseAND(F.lit(full))).alias("up"),
+                below.bitwiseAND(right).alias("down"),
+                (state["distance"] + 1 - F.getbit(free, state["end"])).alias("distance"),
+                state["end"].alias("end"), rows.alias("rows"), state["columns"].alias("columns"))
+
+        return _let(same, lambda same: _let(
+            (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(F.lit(full)), steps))
 
     start = F.struct(F.lit(full & ~((1 << max_edits) - 1)).cast("long").alias("up"), F.lit(0).cast("long").alias("down"),
                      extra.cast("long").alias("distance"), (extra + max_edits).cast("int").alias("end"),
@@ -148,7 +158,8 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: int, min_chars:
             .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b"))
     # the verdict is a stored column, not a filter: the optimizer would reason about so large a condition for minutes
     near = edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits).alias("near")
-    return stored(both.select("a", "b", near), "line-verdicts").filter("near").select("a", "b")
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes but some work each
+    return stored(both.repartition(tasks).select("a", "b", near), "line-verdicts").filter("near").select("a", "b")
 
 
 def mark_duplicate_lines(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id",
