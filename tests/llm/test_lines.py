@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from alertledger.llm.lines import dedup_lines, edit_distance_within, mark_duplicate_lines
+from alertledger.llm.lines import characters, dedup_lines, edit_distance_within, mark_duplicate_lines
 
 
 def edits(text, n):
@@ -66,9 +66,9 @@ def test_bit_parallel_distance(spark):
         a = "".join(random.choice("abé") for _ in range(random.randint(0, 14)))
         b = edits(a, random.randint(0, 5))
         pairs.append((a, b) if len(a) >= len(b) else (b, a))
-    df = spark.createDataFrame(pairs, "a string, b string")
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({"x": characters(F.col("a")), "y": characters(F.col("b"))})
     for k in (1, 2, 4):
-        wrong = df.filter(edit_distance_within(F.col("a"), F.col("b"), k) != (F.levenshtein("a", "b") <= k))
+        wrong = df.filter(edit_distance_within(F.col("x"), F.col("y"), k) != (F.levenshtein("a", "b") <= k))
         assert wrong.count() == 0
 
 
