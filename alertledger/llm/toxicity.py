@@ -109,10 +109,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
     # the labelled sample is bounded by max_rows, so it may be sent to all executors
     sample = docs.select(id_col, text_col).join(F.broadcast(rows.select(id_col).distinct()), id_col, "left_semi")
-    counted = stored(map_batches(sample, words, f"`{id_col}` {kind}, words array<struct<f:string,n:int>>"), "labelled-words")
+    counted = map_batches(sample, words, f"`{id_col}` {kind}, words array<struct<f:string,n:int>>")
+    # the hash that tells rows of one id apart is stored: beside explode it would be made again for every word
+    counted = stored(counted.withColumn("words_hash", F.xxhash64("words")), "labelled-words")
     ys = known.columns[1:]
     one_each = counted.join(F.broadcast(rows), id_col).select(
-        F.struct(id_col, F.xxhash64("words")).alias("row"), *ys, F.explode_outer("words").alias("w"))
+        F.struct(id_col, "words_hash").alias("row"), *ys, F.explode_outer("words").alias("w"))
     one_each = one_each.select("row", *ys, F.col("w.f").alias("f"), F.col("w.n").alias("n"))
     per_feature = one_each.filter("f IS NOT NULL").groupBy("f").agg(
         F.count("*").alias("docs"), *(F.sum(y).alias(y) for y in ys))
