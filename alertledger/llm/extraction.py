@@ -2,15 +2,15 @@
 
 A page is read as a tree of elements. Every subtree gets a hash of its tags and
 text; Spark counts, per host, on how many different pages each hash occurs, and
-subtrees that recur on many pages of a host are its template (menus, notices,
-share bars) and are deleted. Inside an article, paragraphs, headings, lists and
+subtrees that recur on ``least`` pages of a host, however many pages it has, are its
+template (menus, notices, share bars, adverts) and are deleted. Inside an article, paragraphs, headings, lists and
 other prose are never taken for template: an article may quote or be copied.
 Elements whose name, role, class or id says what they are (nav, form, "sidebar",
 "comments") go by that alone. If a page has an article or main element, only its
 content counts.
 
-The templates of a host are few: each is on at least ``share`` of its pages, so
-there are at most (subtrees of a page) / ``share``.
+A page gets only the template hashes that it holds, so what is joined to it does not
+grow with its host.
 
 Defined results: NULL or empty html gives the empty text; a NULL url has no host
 and no template; pages with equal html count once towards a template; repeated
@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, semi_join, stored
 
 # Element names of HTML by what they mean for a page's text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -172,31 +172,33 @@ def main_text(source: str, template: set[int]) -> str:
     return "\n\n".join(t for t, _, around in blocks if not template.intersection(around))
 
 
-def site_templates(pages: DataFrame, share: float, least: int) -> DataFrame:
-    """host, template: hashes of subtrees on at least ``least`` different pages and ``share`` of the host's."""
+def site_templates(pages: DataFrame, least: int) -> DataFrame:
+    """host, page, template: of each different page, the hashes of its subtrees that are on ``least`` pages of the host."""
     def subtrees(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sources = [x or "" for x in batch["html"].to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch["host"], pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in sources], pa.int64()),
-             pa.array([read_page(x)[1] for x in sources], pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
+            [batch["host"], batch["page"], pa.array([read_page(x or "")[1] for x in batch["html"].to_pylist()],
+                                                    pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
 
-    found = map_batches(pages.filter("host IS NOT NULL").select("host", "html"), subtrees,
+    found = map_batches(pages.filter("host IS NOT NULL").select("host", "page", "html"), subtrees,
                         "host string, page long, subtrees array<long>")
     found = stored(found.dropDuplicates(["host", "page"]), "subtrees")
-    size = found.groupBy("host").agg(F.count("*").alias("pages"))
-    times = found.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    often = times.filter(F.col("n") >= least).join(size, "host").filter(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    # a hash of a host as one number, so that the frequent ones can be sent to the pages
+    parts = (found.select("host", "page", F.explode("subtrees").alias("hash"))
+             .withColumn("part", F.xxhash64("host", "hash")))
+    often = parts.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("part")
+    return (semi_join(parts, stored(often, "template-parts"), "part")
+            .groupBy("host", "page").agg(F.collect_list("hash").alias("template")))
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.2,
-            least: int = 5, broadcast_limit: int = 50_000) -> DataFrame:
-    """One row per input row: id, url, text. ``share``, ``least``: how often a subtree of a template occurs on its host."""
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 5,
+            broadcast_limit: int = 50_000) -> DataFrame:
+    """One row per input row: id, url, text. ``least``: on how many different pages of its host a subtree of a template occurs."""
     host = F.nullif(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
-    pages = df.select(F.col(id_col), F.col(url_col), host.alias("host"), F.col(html_col).alias("html"))
-    templates = stored(site_templates(pages, share, least), "templates")
-    hosts = templates.count()  # one row per host; sent to every executor only up to broadcast_limit rows
-    pages = pages.join(F.broadcast(templates) if hosts <= broadcast_limit else templates, "host", "left")
+    pages = df.select(F.col(id_col), F.col(url_col), host.alias("host"), F.col(html_col).alias("html"),
+                      F.xxhash64(F.coalesce(F.col(html_col), F.lit(""))).alias("page"))
+    templates = stored(site_templates(pages, least), "templates")
+    few = templates.count() <= broadcast_limit  # one row per page; sent to every executor only up to that many
+    pages = pages.join(F.broadcast(templates) if few else templates, ["host", "page"], "left")
 
     def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [main_text(x or "", set(t or ())) for x, t in zip(batch["html"].to_pylist(), batch["template"].to_pylist(),

@@ -46,3 +46,15 @@ def test_equal_subtrees_have_equal_hashes():
     _, one = read_page("<div><p>same  text</p></div>")
     _, two = read_page("<section><div>\n<p>same text</p></div></section>")
     assert one and set(one) & set(two)
+
+
+def test_template_of_few_pages_of_a_large_host(spark):
+    """Unnamed boilerplate on 3 % of a host's pages goes; what is on fewer than five pages stays."""
+    def page(i):
+        extra = "<div><span>offer of the week</span></div>" if i % 33 == 0 else "<div>seen four times</div>" if i % 75 == 1 else ""
+        return (i, f"https://large.example/p{i}", f"<body>{extra}<div><p>text {i}</p></div></body>")
+
+    out = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([page(i) for i in range(300)],
+                                                                         "page_id long, url string, html string")).collect()}
+    assert {out[i] for i in range(0, 300, 33)} == {f"text {i}" for i in range(0, 300, 33)}
+    assert out[1] == "seen four times\n\ntext 1"
