@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: a graph built by NN-descent, searched greedily.
 
 Equal vectors are one node of the graph. The graph starts from random projections:
-nodes are sorted along them and cut into small blocks, and each node takes its
-nearest block mates. NN-descent then improves it by joins: every node gathers its
+nodes are sorted along them (a tree of hyperplanes, deep enough for leaves of about a
+block) and cut into small blocks, and each node takes its nearest block mates. NN-descent then improves it by joins: every node gathers its
 neighbours and the nodes that have it as neighbour (``degree`` of each, the nearest),
 all pairs that meet at a node are measured, and each node keeps the ``degree`` nearest
-it has heard of. Rounds end when few neighbours change. These joins carry vectors rounded
+it has heard of. Rounds end when at most ``SETTLED`` of the neighbours change; a graph that
+does not settle in ``MAX_ROUNDS`` is an error, not a result. These joins carry vectors rounded
 to 8 bits a component; the search measures the originals.
 
 A query that is a row of the table enters the graph at its own node (others would
@@ -22,6 +23,7 @@ the query's are not compared; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import map_batches, ship, stored
 from .inner_product import usable
 
-DEGREE, TREES, BLOCK, ROUNDS, BEAM, STEPS = 32, 6, 1024, 3, 128, 12
+DEGREE, TREES, BLOCK, MAX_ROUNDS, BEAM, STEPS = 32, 6, 1024, 60, 128, 12
+SETTLED = 0.01  # rounds go on while more than this share of the neighbours changes
 PART_ROWS = 12_288  # nodes that one task sorts and cuts into blocks
 
 
@@ -89,16 +92,22 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield rest
 
 
-def _start(nodes: DataFrame, dim: int, tree: int, degree: int) -> DataFrame:
+def tree_depth(n: int, block: int) -> int:
+    """Hyperplanes that cut ``n`` nodes into leaves of about ``block``."""
+    return max(0, math.ceil(math.log2(n / block))) if n else 0
+
+
+def _start(nodes: DataFrame, dim: int, tree: int, degree: int, block: int) -> DataFrame:
     """Neighbours within blocks along random projections: a, b, d."""
     n = nodes.count()
-    planes = np.random.default_rng(1000 + tree).normal(size=(dim, 12))
+    depth = tree_depth(n, block)
+    planes = np.random.default_rng(1000 + tree).normal(size=(dim, depth + 1))
 
     def project(batch: pa.RecordBatch) -> pa.RecordBatch:
         side = _vectors(batch["v"]) @ planes
         # order of a binary tree of hyperplanes, and along one more direction within its leaves
-        code = ((side[:, :6] > 0) @ (1 << np.arange(6))[::-1]).astype(np.float64)
-        spot = code + 1 / (1 + np.exp(-side[:, 6] / (np.abs(side[:, 6]).mean() + 1e-12)))
+        code = ((side[:, :depth] > 0) @ (1 << np.arange(depth))[::-1]).astype(np.float64)
+        spot = code + 1 / (1 + np.exp(-side[:, depth] / (np.abs(side[:, depth]).mean() + 1e-12)))
         return pa.RecordBatch.from_arrays([batch["node"], batch["v"], pa.array(spot)], names=["node", "v", "spot"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +116,8 @@ def _start(nodes: DataFrame, dim: int, tree: int, degree: int) -> DataFrame:
             return
         t = pa.Table.from_batches(own).sort_by([("spot", "ascending"), ("node", "ascending")])
         ids, v = t["node"].to_numpy(), _vectors(t["v"])
-        for at in range(0, len(ids), BLOCK):
-            stop = at + BLOCK if len(ids) - at >= 2 * BLOCK or at + BLOCK >= len(ids) else len(ids)
+        for at in range(0, len(ids), block):
+            stop = at + block if len(ids) - at >= 2 * block or at + block >= len(ids) else len(ids)
             a, b, d = _block_neighbours(ids[at:stop], v[at:stop], degree)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
             if stop == len(ids):
@@ -157,22 +166,22 @@ def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     return gathered.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(pairs, "a long, b long, d double")
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, max_rounds: int = MAX_ROUNDS,
+                block: int = BLOCK) -> DataFrame:
     """a, b, d: the nearest neighbours of each node found. ``nodes``: node long, dim int, v (packed doubles), code (rounded)."""
     first = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("d")).limit(0)
     for dim in sorted(r["dim"] for r in nodes.select("dim").distinct().collect()):
         for tree in range(trees):
-            part = _start(nodes.filter(F.col("dim") == dim).select("node", "v"), dim, tree, degree)
+            part = _start(nodes.filter(F.col("dim") == dim).select("node", "v"), dim, tree, degree, block)
             first = first.union(part)
     graph = stored(_nearest(first, degree), "graph")
-    total = graph.count()
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         better = stored(_nearest(graph.union(_descend(nodes, graph, degree)), degree), "graph")
         changed = better.join(graph, ["a", "b"], "left_anti").count()
         graph = better
-        if changed <= 0.01 * total:
-            break
-    return graph
+        if changed <= SETTLED * graph.count():
+            return graph
+    raise RuntimeError(f"the neighbour graph did not settle in {max_rounds} rounds: {changed} neighbours changed in the last")
 
 
 def _measure(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -210,7 +219,7 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam:
 
 
 def nearest_rows(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-                 beam: int = BEAM) -> DataFrame:
+                 beam: int = BEAM, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest rows found for the rows that ``queries`` marks: query_id, rank, id, score (distance)."""
     wide = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = (vectors.filter(usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull())
@@ -237,7 +246,7 @@ def nearest_rows(vectors: DataFrame, queries: Column, k: int = 10, id_col: str =
     listed = (copies.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
               .select(F.col("node").alias("b"), "id"))
     asked = copies.filter("is_query").select(F.col("node").alias("q"), F.col("id").alias("query_id"))
-    graph = build_graph(nodes)
+    graph = build_graph(nodes, block=block)
     found = greedy_search(graph, nodes, stored(asked.select("q").distinct(), "query-nodes"), max(beam, k + 1))
     own = asked.select("q").distinct().select("q", F.col("q").alias("b"), F.lit(0.0).alias("d"))
     place = Window.partitionBy("query_id").orderBy("score", "id")

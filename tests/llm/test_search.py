@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertledger.llm.inner_product import search_bucket, top_products
-from alertledger.llm.neighbours import nearest_rows
+from alertledger.llm.neighbours import _rounded, build_graph, nearest_rows, tree_depth
 
 NAN, INF = float("nan"), float("inf")
 ODD = [(9001, None), (9002, [None, 1.0, 0.0, 0.0]), (9003, [NAN] * 4), (9004, [INF, 0.0, 0.0, 0.0]), (9050, []), (9100, None), (None, [9.0, 9.0, 9.0, 9.0])]
@@ -84,3 +84,26 @@ def test_neighbours_of_few_rows(spark):
     out = nearest_rows(frame(spark, few), F.col("vec_id") == 0).collect()
     assert sorted((r["rank"], r["vec_id"]) for r in out) == [(1, 2), (2, 1)]
     assert nearest_rows(frame(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+def test_descent_is_exercised_and_settles(spark):
+    """Small blocks, so that the start is far from exact and the rounds have to find the neighbours."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 12)).astype(np.float32)
+    out = nearest_rows(frame(spark, [(i, [float(c) for c in r]) for i, r in enumerate(x)]), F.col("vec_id") % 100 == 0, block=32)
+    found, hits = out.collect(), 0
+    for q in range(0, 4000, 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hits / 400 >= 0.95
+
+    wide = x[:1500].astype(float)
+    nodes = spark.createDataFrame([(i, 12, v.tobytes(), c) for i, (v, c) in enumerate(zip(wide, _rounded(wide), strict=True))],
+                                  "node long, dim int, v binary, code binary")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        build_graph(nodes, degree=8, trees=2, max_rounds=1, block=16)  # two trees: one alone gives closed blocks
+
+
+def test_depth_follows_the_size():
+    assert [tree_depth(n, 1024) for n in (0, 5, 1024, 2048, 10**6, 10**7)] == [0, 0, 0, 1, 10, 14]
