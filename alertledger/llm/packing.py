@@ -28,7 +28,7 @@ from .common import map_batches, stored
 SIZE, END = 1024, 2
 NUMBER_GROUP = 4_000  # pieces that one task numbers together
 _CACHE_LIMIT = 500_000
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -37,19 +37,26 @@ class ChunkEncoder:
     Byte-level BPE never merges across the start of " x" (a space before a non-space) or across a line end
     between two non-spaces, so a text cut there encodes part by part. Texts with other white space are
     encoded whole. The vocabulary is read from ``path``: ``*.tiktoken`` holds the ranks of the same name's
-    ``.json``; the ids are the same and are found several times faster.
+    ``.json``; the ids are the same and are found several times faster. With ``added``, the added tokens of the
+    ``.json`` are one id each where a text holds them, as in ``tokenizers``; such texts are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                         special_tokens={}).encode_ordinary
+        self._added: dict[str, int] = {}
+        if added:
+            with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+                self._added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                     special_tokens=self._added)
+        self._encode, self._encode_added = encoding.encode_ordinary, encoding.encode
         self._cache: dict[str, bytes | None] = {}
 
     def _packed(self, text: str) -> bytes:
@@ -63,6 +70,9 @@ class ChunkEncoder:
         return self._packed(chunk if inner is not chunk else " " + chunk)
 
     def __call__(self, text: str) -> bytes:
+        if any(x in text for x in self._added):
+            ids = self._encode_added(text, allowed_special="all")
+            return struct.pack(f"<{len(ids)}I", *ids)
         first, *chunks = text.replace("\n", " \n").split(" ")
         cache = self._cache
         found = list(map(cache.get, chunks))
@@ -81,10 +91,10 @@ class ChunkEncoder:
         return self._packed(first) + b"".join(found)
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = False) -> ChunkEncoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = ChunkEncoder(path, added)
+    return _encoders[path, added]
 
 
 def default_vocabulary() -> str:
@@ -101,7 +111,7 @@ def cut_pieces(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     kinds += [("ids", pa.binary())] * with_ids
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(vocabulary or default_vocabulary())
+        encode = encoder(vocabulary or default_vocabulary(), added=True)
         rows, out = [], [[] for _ in kinds]
         for row, text in enumerate(batch[1].to_pylist()):
             ids = encode(text or "") + tail

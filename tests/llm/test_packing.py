@@ -27,6 +27,19 @@ def test_chunks_encode_like_the_tokenizer():
         assert encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
 
 
+def test_added_tokens_are_one_id(docs):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is read: added tokens match in text
+    random.seed(9)
+    pieces = ["word", " ", "  ", "\n", "\t", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "it's", "é", "12"]
+    texts = ["hello <|endoftext|> world", *("".join(random.choices(pieces, k=random.randint(1, 9))) for _ in range(300))]
+    encode = encoder(default_vocabulary(), added=True)
+    for text in texts:
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+    row = pack(docs([(1, texts[0])]), with_ids=True).collect()[0]
+    assert struct.unpack(f"<{row['length']}I", bytes(row["ids"])) == (31373, 220, 50256, 995, 2)
+
+
 def test_plan_uses_every_piece_once():
     random.seed(5)
     for _ in range(20):
