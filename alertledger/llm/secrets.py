@@ -28,10 +28,10 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_MIN = 12
 KINDS = ["assign", "access", "hex", "password"]  # also the order of spans that start together
 
-# Credential context of the guess-cost test: a credential word, a link, a value. Values of letters alone read as
-# prose ("the password is wrong") and are left to the base patterns.
+# Credential context of the guess-cost test: a credential word, a link, a value. After "is", values of letters alone
+# read as prose ("the password is wrong") and are left to the base patterns; after a sign the cost decides.
 CONTEXT = (r"(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|credentials?|login)"
-           r"[\"']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is:?\x20+)[\"']?([!#-&(-~]+)")
+           r"[\"']?(?:\x20*(?:=>|[:=])\x20*|\x20+is:\x20+|\x20+(is)\x20+)[\"']?([!#-&(-~]+)")
 
 # Words that people use in passwords or as placeholders, most common first (the rank is the cost).
 WORDS = ["password", "the", "admin", "welcome", "love", "monkey", "dragon", "login", "master", "hello", "secret",
@@ -41,7 +41,14 @@ WORDS = ["password", "the", "admin", "welcome", "love", "monkey", "dragon", "log
          "not", "for", "this", "that", "with", "from", "value", "string", "name", "insert", "enter", "code", "access",
          "private", "public", "company", "family", "freedom", "killer", "soccer", "hockey", "ranger", "tiger",
          "pepper", "cookie", "cheese", "coffee", "computer", "internet", "server", "database", "system", "super",
-         "magic", "star", "blue", "green", "black", "white", "red", "silver", "gold", "one", "two", "three"]
+         "magic", "star", "blue", "green", "black", "white", "red", "silver", "gold", "one", "two", "three",
+         "required", "optional", "invalid", "incorrect", "wrong", "expired", "missing", "unknown", "forgotten", "forgot",
+         "changed", "protected", "hidden", "removed", "redacted", "masked", "encrypted", "empty", "undefined", "anonymous",
+         "administrator", "username", "account", "security", "settings", "management", "manager", "authentication",
+         "authorization", "failed", "failure", "success", "successful", "successfully", "please", "should", "must",
+         "never", "always", "cannot", "contains", "number", "letters", "characters", "numeric", "placeholder",
+         "generated", "generator", "refresh", "bearer", "request", "response", "function", "variable", "parameter",
+         "environment", "configuration", "strong", "basic", "reset", "available", "disabled", "enabled"]
 RANK = {word: rank for rank, word in enumerate(WORDS, 1)}
 LONGEST = max(map(len, WORDS))
 WALKS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz"]
@@ -111,9 +118,11 @@ def find_spans(text: str, min_cost: float, min_length: int) -> list[tuple[int, i
     found += [(m.start(), 2, m.end(), None) for m in _hex.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
         for m in _context.finditer(text):
-            value = m[1].rstrip(".,;:!?)>]}")
-            if len(value) >= min_length and not value.isalpha() and (cost := guess_cost(value)) >= min_cost:
-                found.append((m.start(1), 3, m.start(1) + len(value), cost))
+            value = m[2].rstrip(".,;:!?)>]}")
+            if m[1] and value.isalpha():
+                continue
+            if len(value) >= min_length and (cost := guess_cost(value)) >= min_cost:
+                found.append((m.start(2), 3, m.start(2) + len(value), cost))
     return sorted(found)
 
 

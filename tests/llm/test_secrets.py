@@ -38,6 +38,13 @@ def test_context_values():
     assert [text[a:b] for a, k, b in spans(text) if k == 3] == ["q8Zt!p0w#r", "x9K!mq2Lw0"]
 
 
+def test_values_of_letters_alone():
+    text = ("password: kQzvWbxRtm, pwd=hGtRvXqz passphrase => wXkjqZvbn login = 'qZxvKjwpL' credentials: rTkWqZxvb\n"
+            "the password is incomprehensible; token: required, Password: Administrator, secret = changeme")
+    found = [text[a:b] for a, k, b in spans(text) if k == 3]
+    assert found == ["kQzvWbxRtm", "hGtRvXqz", "wXkjqZvbn", "qZxvKjwpL", "rTkWqZxvb"]
+
+
 def test_odd_rows(docs, odd_rows):
     secret = "k: token = abcdefghijkl"
     out = secret_digest(scan_secrets(docs([*odd_rows, (8, secret)]))).collect()
