@@ -1,19 +1,20 @@
 """Removal of duplicate lines, equal or within a few edits, by a segment-partition join.
 
-Every line of at least ``min_chars`` characters belongs to a class of lines linked by
-an edit distance of at most ``max_edits``; the first occurrence of a class (by id,
-then position) stays and the others go. The join is built from DataFrame functions:
+Lines are linked by an edit distance of at most what the length of the shorter one allows
+(``EDITS``: by bands of length, or one number for all); the first occurrence of a class
+(by id, then position) stays and the others go. The join is built from DataFrame functions:
 
-* each distinct line is cut into ``max_edits`` + 1 segments of even length, and every
-  segment is an index entry under (line length, segment number, content). ``max_edits``
-  edits leave at least one segment of a similar line untouched;
+* each distinct line is cut into one segment more than the edits allowed at its length, all
+  of even length, and every segment is an index entry under (line length, segment number,
+  content). That many edits leave at least one segment of a similar line untouched;
 * each line probes the index for the lengths it can reach, with the substrings at the
   positions that the segment can have moved to (bounded from both ends of the line);
 * counts of a few letters rule out most pairs inside the join: an edit changes them by
   two in all at most;
 * what is left is verified: Spark's levenshtein with a threshold (a banded table) rules
   out, and bit-parallel edit distance in a band around the diagonal that ends in the
-  corner, one machine word per column, decides.
+  corner, one machine word per column, decides on what two lines do not share at their
+  beginnings and ends.
 
 Equal lines are one line from the start, so a line in a third of all documents is one
 index entry.
@@ -32,9 +33,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, fresh, semi_join, stored
 
+# Edits allowed by length of the shorter line: (from so many characters, edits).
+EDITS = ((20, 1), (40, 2), (80, 3), (120, 4), (160, 5), (200, 6))
+Edits = int | tuple[tuple[int, int], ...]
 LETTERS = "ean"  # the letters that are counted; any would be right, frequent ones rule out more
 
 
+def _bands(max_edits: Edits, min_chars: int) -> list[tuple[int, int, int]]:
+    """(from, below, edits) of the bands of line length that take part."""
+    starts = [(min_chars, max_edits)] if isinstance(max_edits, int) else sorted(max_edits)
+    ends = [start for start, _ in starts[1:]] + [1 << 31]
+    return [(max(start, min_chars), end, k) for (start, k), end in zip(starts, ends, strict=True) if end > min_chars]
+
+
 def _row(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
@@ -50,7 +61,7 @@ def _first() -> Column:
     return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos"))
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, k: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment ``i`` of ``k``: the last ones are one longer."""
     base, more = F.floor(length / k).cast("int"), (length % k).cast("int")
     return base * i + F.greatest(F.lit(0), i - (k - more)), base + F.when(more >= k - i, 1).otherwise(0)
@@ -73,29 +84,41 @@ def _letters_apart(x: Column, y: Column) -> Column:
     return total
 
 
-def _entry(line: Column, start: Column, n: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(line, start + 1, n), length, F.lit(i))
+def _entry(line: Column, start: Column, n: Column, length: Column, i: Column) -> Column:
+    return F.xxhash64(F.substring(line, start + 1, n), length, i)
 
 
-def index_entries(lines: DataFrame, max_edits: int) -> DataFrame:
-    k, length = max_edits + 1, F.col("chars")
-    keys = [_entry(F.col("line"), *_segment(length, i, k), length, i) for i in range(k)]
-    return lines.select("lid", _letter_counts(F.col("line")).alias("letters"), F.explode(F.array(*keys)).alias("key"))
+def index_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
+    length, out = F.col("chars"), None
+    for start, end, edits in bands:
+        part = (lines.filter((length >= start) & (length < end))
+                .select("lid", "line", "chars", _letter_counts(F.col("line")).alias("letters"),
+                        F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")))
+        key = _entry(F.col("line"), *_segment(length, F.col("i"), edits + 1), length, F.col("i"))
+        part = part.select("lid", "letters", key.alias("key"))
+        out = part if out is None else out.union(part)
+    return out
 
 
-def probe_entries(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+def probe_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
     """Keys of all substrings of a line that can equal a segment of a similar line that is not longer."""
-    k, own, keys = max_edits + 1, F.col("chars"), []
-    for shorter in range(max_edits + 1):
-        length = own - shorter
-        for i in range(k):
-            start, n = _segment(length, i, k)
-            for moved in range(max(-i, shorter - (max_edits - i)), min(i, shorter + max_edits - i) + 1):
-                fits = (length >= min_chars) & (start + moved >= 0) & (start + moved + n <= own)
-                keys.append(F.when(fits, F.struct(_entry(F.col("line"), start + moved, n, length, i).alias("key"),
-                                                  F.lit(shorter).alias("shorter"))))
-    return (lines.select("lid", _letter_counts(F.col("line")).alias("letters"), F.explode(F.array(*keys)).alias("k"))
-            .filter("k IS NOT NULL").select("lid", "letters", "k.key", "k.shorter"))
+    own, out = F.col("chars"), None
+    for start, end, edits in bands:  # of the shorter line
+        spots = [f"named_struct('shorter', {shorter}, 'i', {i}, 'moved', {moved})"
+                 for shorter in range(edits + 1) for i in range(edits + 1)
+                 for moved in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
+        part = (lines.filter((own >= start) & (own < end + edits))
+                .select("lid", "line", "chars", _letter_counts(F.col("line")).alias("letters"),
+                        F.explode(F.expr(f"array({', '.join(spots)})")).alias("k"))
+                .select("lid", "line", "chars", "letters", "k.*"))
+        length = own - F.col("shorter")
+        at, n = _segment(length, F.col("i"), edits + 1)
+        at = at + F.col("moved")
+        part = (part.filter((length >= start) & (length < end) & (at >= 0) & (at + n <= own))
+                .select("lid", "letters", _entry(F.col("line"), at, n, length, F.col("i")).alias("key"), "shorter",
+                        F.lit(edits).alias("edits")))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -107,9 +130,18 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def edit_distance_within(rows: Column, columns: Column, max_edits: int) -> Column:
+def _shared(x: Column, y: Column) -> Column:
+    """How many characters two strings share at their beginnings (of lines above 131,071 maybe fewer)."""
+    most = F.least(F.char_length(x), F.char_length(y))
+    steps = F.array(*(F.lit(1 << i) for i in range(16, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (n + step <= most) & (F.substring(x, n + 1, step) == F.substring(y, n + 1, step)), n + step).otherwise(n))
+
+
+def edit_distance_within(rows: Column, columns: Column, max_edits: int, limit: Column | None = None) -> Column:
     """True if the edit distance of two strings, the first the longer or as long, is at most ``max_edits`` (30 at most).
 
+    With ``limit``, at most that (and ``max_edits``, the width of the band).
     The strings are arrays of characters in columns of their own: an expression here would be computed in each step.
     Bit r of a word stands for row j - max_edits + r of column j of the distance table; ``up`` and ``down`` hold
     the vertical steps of +1 and -1 there. The distance is followed along the diagonal that ends in the corner:
@@ -140,35 +172,46 @@ def edit_distance_within(rows: Column, columns: Column, max_edits: int) -> Colum
                      extra.cast("long").alias("distance"))
     steps = F.when(F.size(columns) > 0, F.sequence(F.lit(1), F.size(columns))).otherwise(F.array().cast("array<int>"))
     end = F.aggregate(steps, start, column, lambda s: s["distance"])
-    return F.when(extra.between(0, max_edits), end <= max_edits).otherwise(F.lit(False))
+    return F.when(extra.between(0, max_edits), end <= (max_edits if limit is None else limit)).otherwise(F.lit(False))
 
 
-def similar_lines(lines: DataFrame, first: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+def similar_lines(lines: DataFrame, first: DataFrame, max_edits: Edits, min_chars: int) -> DataFrame:
     """Links (a, b) between different lines. ``first``: lid, first of the lines that occur more than once."""
+    bands = _bands(max_edits, min_chars)
+    most = max(edits for _, _, edits in bands)
+    lines = lines.filter(F.col("chars") >= bands[0][0])
     few = first.count() <= 500_000  # sent to every executor only up to that many rows
     repeated = F.broadcast(first) if few else first
     one_each = (lines.join(repeated, "lid", "left")
                 .filter("first IS NULL OR (first.row = row AND first.pos = pos)").select("lid", "line", "chars"))
-    index = index_entries(one_each, max_edits).select(F.col("lid").alias("b"), F.col("letters").alias("letters_b"), "key")
-    probes = probe_entries(one_each, max_edits, min_chars).select(F.col("lid").alias("a"), "letters", "key", "shorter")
+    index = index_entries(one_each, bands).select(F.col("lid").alias("b"), F.col("letters").alias("letters_b"), "key")
+    probes = probe_entries(one_each, bands).select(F.col("lid").alias("a"), "letters", "key", "shorter", "edits")
     other = ((F.col("shorter") > 0) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
-    close = _letters_apart(F.col("letters"), F.col("letters_b")) <= 2 * max_edits
-    pairs = stored(probes.join(index, (probes["key"] == index["key"]) & other & close).select("a", "b").distinct(), "line-pairs")
+    close = _letters_apart(F.col("letters"), F.col("letters_b")) <= 2 * F.col("edits")
+    pairs = stored(probes.join(index, (probes["key"] == index["key"]) & other & close).select("a", "b", "edits").distinct(), "line-pairs")
 
     needed = stored(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "line-ids")
     texts = stored(semi_join(one_each, needed, "lid").dropDuplicates(["lid"]), "line-texts")
     both = (pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
             .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b"))
     # the bit-parallel form takes some 25 microseconds a character here, so Spark's banded levenshtein rules out first
-    both = both.filter(F.levenshtein("line_a", "line_b", max_edits) >= 0)
+    ruled_in = F.lit(False)
+    for edits in sorted({edits for _, _, edits in bands}):
+        ruled_in = F.when(F.col("edits") == edits, F.levenshtein("line_a", "line_b", edits) >= 0).otherwise(ruled_in)
+    both = both.filter(ruled_in)
     tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes but some work each
-    both = both.repartition(tasks).select("a", "b", characters(F.col("line_a")).alias("rows"), characters(F.col("line_b")).alias("columns"))
+    both = both.repartition(tasks)
+    for _ in range(2):  # without what they share at the beginnings, then, reversed, at the ends: the distance is the same
+        shared = _shared(F.col("line_a"), F.col("line_b")) + 1
+        both = both.withColumn("shared", shared).select("a", "b", "edits", *(
+            F.reverse(F.substring(c, F.col("shared"), F.char_length(c))).alias(c) for c in ("line_a", "line_b")))
+    both = both.select("a", "b", "edits", characters(F.col("line_a")).alias("rows"), characters(F.col("line_b")).alias("columns"))
     # the verdict is a stored column, not a filter: the optimizer would reason about so large a condition for minutes
-    near = edit_distance_within(F.col("rows"), F.col("columns"), max_edits).alias("near")
+    near = edit_distance_within(F.col("rows"), F.col("columns"), most, F.col("edits")).alias("near")
     return stored(both.select("a", "b", near), "line-verdicts").filter("near").select("a", "b")
 
 
-def mark_duplicate_lines(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id",
+def mark_duplicate_lines(df: DataFrame, max_edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id",
                          text_col: str = "text", drop_col: str = "drop_lines") -> DataFrame:
     """``df`` with ``drop_col``: positions (from 0) of the lines that an earlier line of their class repeats."""
     lines = _lines(df, id_col, text_col, min_chars)
@@ -194,7 +237,7 @@ def without_lines(text: Column, drop: Column) -> Column:
     return F.when(F.size(drop) == 0, text).otherwise(F.concat_ws("\n", kept))
 
 
-def dedup_lines(df: DataFrame, max_edits: int = 1, min_chars: int = 20, id_col: str = "doc_id",
+def dedup_lines(df: DataFrame, max_edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``df`` with the duplicate lines of its texts removed, without documents that lost all their text."""
     drop = fresh(df, "drop_lines")

@@ -52,7 +52,7 @@ def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all ``documents`` that repeat an earlier line, up to one edit: how many go, and what is left."""
+    """Lines of all ``documents`` that repeat an earlier line, up to the edits of its length: how many go, and what is left."""
     marked = lines.mark_duplicate_lines(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
                          F.size("drop_lines").cast("long").alias("n_removed"),

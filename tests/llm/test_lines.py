@@ -97,3 +97,28 @@ def test_odd_rows(docs, odd_rows):
     assert (1, None) in kept and (2, "") in kept and (3, " \n\t ") in kept and kept.count((7, "repeated row")) == 2
     assert (5, "same text in two rows") in kept and 6 not in {d for d, _ in kept}
     assert dedup_lines(docs([])).count() == 0
+
+
+def test_edits_grow_with_the_length(docs):
+    """The default, against brute force: a threshold by the length of the shorter line of a pair."""
+    random.seed(11)
+    allowed = lambda n: sum(n >= start for start in (20, 40, 80, 120, 160, 200))
+    base = ["".join(random.choice("abcdefghij klmé") for _ in range(n))
+            for n in (21, 30, 39, 41, 60, 79, 82, 119, 121, 158, 163, 199, 202, 260) for _ in range(2)]
+    rows = [(i, edits(x, n)) for i, (x, n) in enumerate((x, n) for x in base for n in (0, 1, 2, 3, 4, 6, 8))]
+    lines = sorted({x for _, x in rows if len(x) >= 20}, key=len)
+    near = {x: {x} for x in lines}
+    for i, b in enumerate(lines):
+        for a in lines[i + 1:]:
+            if len(a) - len(b) <= 6 and distance(a, b) <= allowed(len(b)):
+                near[a] |= near[b]
+                for x in near[a]:
+                    near[x] = near[a]
+    first = {}
+    for i, x in rows:
+        if x in near:
+            first.setdefault(id(near[x]), i)
+    out = mark_duplicate_lines(docs(rows), drop_col="gone").select("doc_id", "gone").collect()
+    want = {i: [0] if x in near and first[id(near[x])] != i else [] for i, x in rows}
+    assert {r["doc_id"]: r["gone"] for r in out} == want
+    assert sum(map(len, want.values())) > 60
