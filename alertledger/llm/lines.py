@@ -19,7 +19,10 @@ Lines are linked by an edit distance of at most what the length of the shorter o
 Equal lines are one line from the start, so a line in a third of all documents is one
 index entry.
 
-Defined results: NULL text stays NULL and empty text empty; shorter lines stay; NULL
+Equal lines go by their hash whatever their length; below the first band of ``EDITS`` only
+they do. Lines under ``min_chars`` characters and blank ones take no part.
+
+Defined results: NULL text stays NULL and empty text empty; blank lines stay; NULL
 ids come last; rows with equal id and text are treated alike; documents of which
 lines were removed and nothing but white space is left are dropped by ``dedup_lines``;
 extra columns are kept.
@@ -54,7 +57,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFra
     """id, row, pos, line, chars (its length), lid of the lines that take part."""
     lines = df.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("row"),
                       F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return lines.withColumn("chars", F.char_length("line")).filter(F.col("chars") >= min_chars).withColumn("lid", F.xxhash64("line"))
+    return lines.withColumn("chars", F.char_length("line")).filter((F.col("chars") >= min_chars) & F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
 
 
 def _first() -> Column:
@@ -211,7 +214,7 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: Edits, min_char
     return stored(both.select("a", "b", near), "line-verdicts").filter("near").select("a", "b")
 
 
-def mark_duplicate_lines(df: DataFrame, max_edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id",
+def mark_duplicate_lines(df: DataFrame, max_edits: Edits = EDITS, min_chars: int = 1, id_col: str = "doc_id",
                          text_col: str = "text", drop_col: str = "drop_lines") -> DataFrame:
     """``df`` with ``drop_col``: positions (from 0) of the lines that an earlier line of their class repeats."""
     lines = _lines(df, id_col, text_col, min_chars)
@@ -237,7 +240,7 @@ def without_lines(text: Column, drop: Column) -> Column:
     return F.when(F.size(drop) == 0, text).otherwise(F.concat_ws("\n", kept))
 
 
-def dedup_lines(df: DataFrame, max_edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id",
+def dedup_lines(df: DataFrame, max_edits: Edits = EDITS, min_chars: int = 1, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``df`` with the duplicate lines of its texts removed, without documents that lost all their text."""
     drop = fresh(df, "drop_lines")

@@ -122,3 +122,9 @@ def test_edits_grow_with_the_length(docs):
     want = {i: [0] if x in near and first[id(near[x])] != i else [] for i, x in rows}
     assert {r["doc_id"]: r["gone"] for r in out} == want
     assert sum(map(len, want.values())) > 60
+
+
+def test_short_lines_go_if_equal(docs):
+    rows = [(1, "Les.\nown text\n\n \nx"), (2, "Les.\nLes!\n\n \nx"), (3, "Les.")]
+    out = mark_duplicate_lines(docs(rows), drop_col="gone").select("doc_id", F.sort_array("gone").alias("gone")).collect()
+    assert {r["doc_id"]: r["gone"] for r in out} == {1: [], 2: [0, 4], 3: [0]}
