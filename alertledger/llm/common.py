@@ -82,16 +82,28 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def semi_join(big: DataFrame, keys: DataFrame, on: str, limit: int = 500_000) -> DataFrame:
-    """Rows of ``big`` whose ``on`` is in ``keys`` (stored, one column of longs).
+def semi_join(big: DataFrame, keys: DataFrame, on: str | list[str], limit: int = 500_000) -> DataFrame:
+    """Rows of ``big`` whose ``on`` is in ``keys`` (stored, a few columns of longs).
 
-    The keys are counted first: up to ``limit`` (4 MB of longs) they are sent to every
+    The keys are counted first: up to ``limit`` (4 MB a column) they are sent to every
     executor and ``big`` is not shuffled; beyond that it is a join by shuffle.
     """
     keys = keys.select(on).distinct()
     return big.join(F.broadcast(keys) if keys.count() <= limit else keys, on, "left_semi")
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, share: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``groups`` (stored, one row a key, never NULL, with the number of its rows in ``size``).
+
+    Groups of at least a ``share``-th of all rows, at most ``share`` of them, go to every task; the other rows
+    are joined by a shuffle in which no key has more. So a key with a third of all rows is no hot task.
+    """
+    least = max(2, -(-(groups.agg(F.sum(size)).first()[0] or 0) // share))
+    large = F.broadcast(groups.filter(F.col(size) >= least))
+    rest = rows.join(F.broadcast(groups.filter(F.col(size) >= least).select(*on)), on, "left_anti")
+    return rows.join(large, on).unionByName(rest.join(groups.filter(F.col(size) < least), on))
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of the nodes of ``edges`` (a, b longs).
 

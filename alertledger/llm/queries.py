@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extraction, inner_product, jaccard, lines, mixing, neighbours, packing, repeats, secrets, toxicity
-from .common import table
+from . import collocations, conversations, copies, extraction, inner_product, jaccard, lines, mixing, neighbours, packing, repeats, secrets, toxicity
+from .common import stored, table
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
@@ -74,4 +74,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_top_products, op3_nearest, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the row of its text that stays."""
+    return copies.exact_copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of each language of ``documents``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of ``conversations``, rebuilt with shared beginnings."""
+    turns, convs = conversations.ordered_turns(table(spark, sf_dir, "conversations"))
+    rebuilt = stored(conversations.with_shared_beginnings(turns, convs), "trie-input")
+    return conversations.prefix_trie(rebuilt, convs)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_top_products, op3_nearest, op4_mix_sources, op5_extract_text, op6_remove_repeats, op7_line_dedup, op8_jaccard_join, op9_pack, op10_secret_scan, op11_exact_dedup, op12_collocations, op13_conversation_trie)}
