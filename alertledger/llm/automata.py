@@ -135,10 +135,11 @@ class Grams:
 
 def union(parts: list[Grams]) -> Grams:
     """All sequences of the parts, weights of equal ones summed."""
-    every = pa.chunked_array([p.labels for p in parts], pa.binary())
-    labels = every.unique()
-    labels = labels.take(pc.sort_indices(labels))
-    renamed = [np.asarray(pc.index_in(p.labels, labels)).astype(np.int64) for p in parts]
+    coded = pa.concat_arrays([p.labels for p in parts]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    labels, rank = coded.dictionary.take(order), np.empty(len(order), np.int64)
+    rank[np.asarray(order)] = np.arange(len(order))
+    renamed = np.split(rank[np.asarray(coded.indices)], np.cumsum([len(p.labels) for p in parts])[:-1])
     levels, places = [], [np.zeros(1, np.int64) for _ in parts]
     for depth in range(max(len(p.levels) for p in parts)):
         here = [p.levels[depth] if depth < len(p.levels) else _empty() for p in parts]

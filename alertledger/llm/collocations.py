@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .automata import KEY, Automaton, Grams, Key, Level, compose, sum_by, union
-from .common import map_batches, ship, stored
+from .common import map_batches, numbered, ship, stored
 
 SHARD_WORDS = 1 << 20
 SLICE = 1 << 22          # bytes that are split into words at once
@@ -180,7 +180,8 @@ def count_ranges(docs: DataFrame, longest: int, min_count: int, shard_words: int
         return pa.table({"range": table["range"][:1], "counts": pa.array([Automaton.build(common).to_bytes()], pa.binary())})
 
     ship(docs.sparkSession)
-    parts = docs.mapInArrow(shard_parts, "range int, part binary")
+    # as many tasks as ranges: few ranges meet in one, however small their compressed parts look
+    parts = docs.mapInArrow(shard_parts, "range int, part binary").repartition(2 * len(bounds) + 1, "range")
     return stored(parts.groupBy("range").applyInArrow(unite, "range int, counts binary"), "phrase-counts"), bounds
 
 
@@ -283,8 +284,8 @@ def collocations(df: DataFrame, longest: int = 3, min_count: int = 10, cover_per
                                     for size in range(2, longest))))
         around = scored.select("lang", F.explode(parts).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("around"))
         kept = scored.join(around, ["lang", "phrase"], "left").filter(f"around IS NULL OR 100 * around < {int(cover_percent)} * a")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    ranked = numbered(kept, "lang", best, best, "phrase-ranks", ["lang", "phrase", "a", "l", "r", "score"]).filter(F.col("_place") <= top)
 
     def totals(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -297,4 +298,4 @@ def collocations(df: DataFrame, longest: int = 3, min_count: int = 10, cover_per
     n = stored(map_batches(counts, totals, "lang binary, n long", rows=1).groupBy(F.col("lang").cast("string").alias("lang"))
                .agg(F.sum("n").alias("n")), "phrase-totals")
     return stored(ranked, "phrase-ranked").join(n, "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+        "lang", F.col("_place").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_dir, shared_dir
 
@@ -104,6 +104,23 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, sh
     return rows.join(large, on).unionByName(rest.join(groups.filter(F.col(size) < least), on))
 
 
+def numbered(df: DataFrame, group: str, deal: list, order: list, label: str, keep: list) -> DataFrame:
+    """``keep`` columns of ``df`` (stored), ``_place`` of the row in its group (from 1, by ``order``) and ``_rows`` of the group.
+
+    Rows are dealt by ranges of (group, ``deal``), which must agree with ``order``; so a group of any size is in many
+    tasks. Ids that grow in that order give a row its place in its part of the group, counts of parts the rest.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, group, *deal).sortWithinPartitions(group, *order)
+    rows = stored(dealt.select(*keep, F.monotonically_increasing_id().alias("_seq"), F.spark_partition_id().alias("_part")), label)
+    parts = rows.groupBy(group, "_part").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    of_group = Window.partitionBy(group)
+    earlier = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored(parts.select(group, "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - 1).alias("_first"),
+                                F.sum("_n").over(of_group).alias("_rows")), f"{label}-parts")
+    return rows.join(parts, [group, "_part"]).select(*rows.columns[:-2], (F.col("_seq") - F.col("_first")).alias("_place"), "_rows")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of the nodes of ``edges`` (a, b longs).
 

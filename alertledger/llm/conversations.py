@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ship, spread_join, stored
+from .common import numbered, ship, spread_join, stored
 
 BLOCK = 8
 WIDTH = 512      # blocks of a conversation that one window runs over
@@ -39,24 +39,17 @@ def ordered_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
                   text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(conv, pos from 1, content, bytes) of all turns, and (conv, turns) of the conversations.
 
-    Rows are dealt by ranges of conversation and order, so a long conversation is in many tasks; ids that grow in
-    that order give each row its place in its part, and counts of parts the rest.
+    Rows are dealt by ranges of conversation and order, so a long conversation is in many tasks (``numbered``).
     """
     rows = df.filter(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
         *(F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in (("role", role_col), ("text", text_col))))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (rows.repartitionByRange(tasks, "conv", "turn", F.substring("role", 1, 64), F.substring("text", 1, 64))
-             .sortWithinPartitions("conv", "turn", "role", "text"))
     content = F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256))
-    turns = stored(dealt.select("conv", F.monotonically_increasing_id().alias("seq"), F.spark_partition_id().alias("part"),
-                                content.alias("content"), F.octet_length("text").cast("long").alias("bytes")), "trie-turns")
-    parts = turns.groupBy("conv", "part").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = stored(parts.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "trie-parts")
-    pos = F.col("seq") - F.col("first") + F.col("skip") + 1
-    placed = stored(turns.join(parts.drop("n"), ["conv", "part"]).select("conv", pos.alias("pos"), "content", "bytes"), "trie-places")
-    return placed, stored(parts.groupBy("conv").agg(F.sum("n").alias("turns")), "trie-conversations")
+    start = [F.substring(c, 1, 64) for c in ("role", "text")]  # keys of ranges go to the driver: no whole texts
+    placed = numbered(rows, "conv", ["turn", *start], ["turn", "role", "text"], "trie-turns",
+                      ["conv", content.alias("content"), F.octet_length("text").cast("long").alias("bytes")])
+    placed = stored(placed.withColumnRenamed("_place", "pos"), "trie-places")
+    return placed.drop("_rows"), placed.filter("pos = 1").select("conv", F.col("_rows").alias("turns"))
 
 
 def with_shared_beginnings(turns: DataFrame, convs: DataFrame, family: int = 5, most: int = 8) -> DataFrame:
