@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .automata import KEY, Automaton, Grams, Key, Level, compose, sum_by, union
 from .common import map_batches, numbered, ship, stored
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SLICE = 1 << 22          # bytes that are split into words at once
 RANGE_ENTRIES = 1 << 22  # n-grams of shards in a range, about
 MAX_RANGES = 1 << 16
