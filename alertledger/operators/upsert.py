@@ -98,3 +98,20 @@ def upsert_bucketed(target: DataFrame, source: DataFrame, buckets: int, key: str
     take_source = in_s & (~in_t | newer)
     return joined.select(*[F.when(take_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
                            for c in SILVER.fieldNames()])
+
+
+def changed_images(target: DataFrame | None, source: DataFrame, key: str = "id", buckets: int | None = None) -> DataFrame:
+    """What ``upsert`` of ``source`` into ``target`` changes: old rows with ``sign`` -1, the rows in their place or new with +1.
+
+    With ``buckets`` (the target's own number) the target is read as it is stored, and only the batch is shuffled.
+    """
+    src = newest_per_key(conform(source, SILVER) if set(SILVER.fieldNames()) <= set(source.columns) else to_silver(source), key)
+    if target is None:
+        return src.withColumn("sign", F.lit(1))
+    src = src if buckets is None else src.repartition(buckets, key)
+    t, s = conform(target, SILVER).select("*", F.lit(True).alias("_there")).alias("t"), src.alias("s")
+    both = s.join(t, F.col(f"t.{key}") == F.col(f"s.{key}"), "left")
+    there = F.col("t._there").isNotNull()
+    taken = both.filter(~there | F.coalesce(F.col("s.event_time") > F.col("t.event_time"), F.lit(False)))
+    new, old = (F.struct(*(F.col(f"{side}.{c}").alias(c) for c in SILVER.fieldNames()), F.lit(sign).alias("sign")) for side, sign in (("s", 1), ("t", -1)))
+    return taken.select(F.explode(F.when(there, F.array(new, old)).otherwise(F.array(new))).alias("image")).select("image.*")

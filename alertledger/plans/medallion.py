@@ -52,10 +52,13 @@ def commit_silver(store: LayerStore, clean: DataFrame, tag: str | None = None,
 
 def bronze_to_silver(landing: DataFrame, store: LayerStore, source: str = "landing",
                      now: Column | None = None, tag: str | None = None,
-                     silver_buckets: int | None = None) -> dict[str, int]:
-    """E1 for one batch of landing rows; returns the committed version numbers."""
+                     silver_buckets: int | None = None, parse_partitions: int | None = None) -> dict[str, int]:
+    """E1 for one batch of landing rows; returns the committed version numbers.
+
+    ``parse_partitions``: tasks that the raw rows are dealt over for the parse (see ``parse_alerts``).
+    """
     out = {"bronze": store.write(to_bronze(landing, source, now), "bronze", tag=tag)}
-    parsed = flagged(parse_alerts(store.read("bronze", schema=BRONZE), now))
+    parsed = flagged(parse_alerts(store.read("bronze", schema=BRONZE), now, parse_partitions))
     out["parsed"] = store.write(parsed, "parsed", tag=tag, partition_by=[DQ])
     clean = clean_rows(store.read("parsed", schema=parsed.schema))
     out["silver"] = commit_silver(store, clean, tag=tag, buckets=silver_buckets)

@@ -11,6 +11,7 @@ exactly in integer cents and rounded half-up to 6 places like Spark).
 from __future__ import annotations
 
 from ..functions import patterns as P
+from ..operators.ledger import LEDGER_COLUMNS
 from ..sources import fixtures as fx
 from .registry import LOOKUP_IDS, TRAPS
 
@@ -608,3 +609,29 @@ LIMIT 10"""),
 ORACLES["stream_gold_failures"] = f"WITH {ALERTS},{FAILURES}\nSELECT * FROM gfail"
 
 ORACLES["upsert_bucketed"] = ORACLES["upsert_newer_wins"]
+ORACLES["upsert_months"] = ORACLES["upsert_newer_wins"]
+
+# --------------------------------------------------------------------------- event time: gate, closed days
+ORACLES["stream_dedup_watermark"] = """
+WITH d AS (SELECT *, CAST(floor((day(ts) - 1) / 3) AS INT) + CASE WHEN event_id % 11 = 0 THEN 4 ELSE 0 END AS arr FROM events),
+arrived AS (SELECT * FROM d UNION ALL SELECT * REPLACE (arr + 1 AS arr) FROM d WHERE event_id % 3 = 0),
+newest AS (SELECT arr, max(ts) AS newest FROM arrived GROUP BY arr),
+clock AS (SELECT arr, max(newest) OVER (ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 4 DAY AS passed FROM newest),
+judged AS (SELECT event_id, ts, user_id, event_type, value, props, ts <= coalesce(passed, ts - INTERVAL 1 DAY) AS late
+           FROM arrived JOIN clock USING (arr))
+SELECT DISTINCT event_id, ts, user_id, event_type, value, props, 'events_once' AS layer FROM judged WHERE NOT late
+UNION ALL
+SELECT event_id, ts, user_id, event_type, value, props, 'events_late' FROM judged WHERE late"""
+
+_GATED = f"""{LEDGER},
+arrived AS (SELECT *, LEAST(LEAST(GREATEST(floor((year(event_time) - {fx.FIRST_YEAR}) / 2), 0), 3)
+                            + CASE WHEN okey % 17 = 0 THEN 1 ELSE 0 END, 3) AS arr FROM ledger),
+newest AS (SELECT arr, max(event_time) AS newest FROM arrived GROUP BY arr),
+clock AS (SELECT arr, max(newest) OVER (ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 30 DAY AS passed FROM newest),
+judged AS (SELECT *, event_time <= coalesce(passed, event_time - INTERVAL 1 DAY) AS late FROM arrived JOIN clock USING (arr)),
+xs AS (SELECT * FROM judged WHERE NOT late
+       AND CAST(event_time AS DATE) + INTERVAL 1 DAY <= (SELECT max(newest) FROM newest) - INTERVAL 30 DAY)"""
+ORACLES["stream_gold_daily_closed"] = f"WITH {_GATED}\n{GOLD_DAILY}"
+ORACLES["stream_ledger_late"] = f"WITH {_GATED}\nSELECT {', '.join(LEDGER_COLUMNS)} FROM judged WHERE late"
+ORACLES["stream_recon"] = f"""WITH {ALERTS},{RECON}
+SELECT * FROM recon WHERE txn_date + INTERVAL 1 DAY <= (SELECT max(event_time) FROM landing) - INTERVAL 30 DAY"""

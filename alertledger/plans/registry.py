@@ -40,15 +40,18 @@ def _bronze(spark: SparkSession, sf_dir: str, alerts: DataFrame | None = None) -
     return to_bronze(a, "landing", fx.ntz(fx.BRONZE_NOW))
 
 
+PARSE_PARTITIONS = 16  # tasks of the parse in the registered queries and the bench; a cluster's own jobs name theirs
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW))
+    return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW), PARSE_PARTITIONS)
 
 
 def _committed(spark: SparkSession, bronze: DataFrame, now: str) -> DataFrame:
     """The flagged parse of ``bronze``, written once as a layer and read back: splits, dates and counts read
     only the columns they need, and no filter runs a pattern again."""
     store = LayerStore(spark, scratch_dir(spark, "parsed"))
-    parsed = flagged(parse_alerts(bronze, fx.ntz(now)))
+    parsed = flagged(parse_alerts(bronze, fx.ntz(now), PARSE_PARTITIONS))
     store.write(parsed, "parsed", partition_by=[DQ])
     return store.read("parsed", schema=parsed.schema)
 
@@ -313,7 +316,7 @@ def _free_text(spark, sf_dir, name, key, number, sender):
     landing = t.select(key.alias("id"), none.alias("thread_id"), none.alias("subject"), sender.alias("sender"),
                        none.alias("recipient"), _woven(F.col("text"), number).alias("body"), F.col("text").alias("snippet"),
                        stamp.alias("event_time"), stamp.alias("ingestion_time"))
-    return parse_alerts(to_bronze(landing, name, stamp), fx.ntz(fx.SILVER_NOW)).select(
+    return parse_alerts(to_bronze(landing, name, stamp), fx.ntz(fx.SILVER_NOW), PARSE_PARTITIONS).select(
         "id", "bank", "txn_type", "direction", "amount", "currency", "txn_ref", "vpa", "counterparty", "card_last4",
         "account_last4", "location_city", "location_place", "available_balance", "txn_datetime_local",
         reasons_text().alias("reasons"))
@@ -543,6 +546,39 @@ def q_stream_dedup(spark, sf_dir):
     return jobs.run_events_dedup_stream(spark, sf_dir)
 
 
+def q_stream_dedup_watermark(spark, sf_dir):
+    """Events once by bounded state, and the late ones, each with the layer it is in."""
+    from ..streaming import eventtime
+    store, schema = eventtime.run_dedup_watermark(spark, sf_dir), fx.table(spark, sf_dir, "events").schema
+    once, late = (store.read(name, schema=schema).withColumn("layer", F.lit(name)) for name in ("events_once", "events_late"))
+    return once.unionByName(late)
+
+
+def q_stream_gold_daily_closed(spark, sf_dir):
+    from ..streaming import eventtime
+    return eventtime.run_closed_days(spark, sf_dir).read("gold_daily_closed")
+
+
+def q_stream_ledger_late(spark, sf_dir):
+    from ..streaming import eventtime
+    store = eventtime.run_gate(spark, sf_dir)
+    return store.read("ledger_late", schema=_ledger(spark, sf_dir).schema).select(*ledger.LEDGER_COLUMNS)
+
+
+def q_stream_recon(spark, sf_dir):
+    from ..streaming import eventtime
+    return eventtime.run_recon_stream(spark, sf_dir, _layers(spark, sf_dir)).read("gold_recon_closed")
+
+
+def q_upsert_months(spark, sf_dir):
+    """J2 on silver kept by month: two commits, the second delivered twice."""
+    from ..operators.months import MonthlySilver
+    silver = MonthlySilver(spark, scratch_dir(spark, "upsert-months"))
+    for split, now, tag in ((0, fx.SILVER_NOW, "one"), (1, fx.SILVER_NOW_2, "two"), (1, fx.SILVER_NOW_2, "two")):
+        silver.commit(_silver_run(spark, sf_dir, split, now), tag)
+    return silver.read()
+
+
 def q_stream_mirror(spark, sf_dir):
     from ..streaming import jobs
     return jobs.run_mirror_stream(spark, sf_dir)

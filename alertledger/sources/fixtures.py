@@ -20,6 +20,7 @@ WINDOW_DAYS = 30
 THRESHOLD = 1_000_000
 TOP_N = 7
 PAGE_SIZE = 25
+FIRST_YEAR = 1995  # of the orders
 
 # Fixed processing stamps so stamped outputs are reproducible.
 BRONZE_NOW = "2001-08-02 00:00:00"

@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import changes, gold
+from ..operators.months import MonthlySilver
 from ..operators.parse import DQ, clean_rows, flagged, parse_alerts, quarantine_rows
-from ..operators.upsert import newest_per_key
+from ..operators.upsert import changed_images, newest_per_key
 from ..schemas import BRONZE, SILVER
 from ..session import configure, scratch_dir
 from ..sources import fixtures as fx
@@ -33,6 +35,7 @@ from ..plans.medallion import commit_silver
 from ..sources.store import LayerStore
 
 BatchFn = Callable[[DataFrame, str], None]  # rows of a micro-batch, tag of the batch
+PARSE_PARTITIONS = 16  # of the registered streams
 
 
 # ----------------------------------------------------------------- generic runner
@@ -41,7 +44,7 @@ def stream_layer(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.readStream.schema(schema).parquet(f"{path}/*")
 
 
-def _tagged(fn: BatchFn, checkpoint: str) -> Callable[[DataFrame, int], None]:
+def tagged(fn: BatchFn, checkpoint: str) -> Callable[[DataFrame, int], None]:
     """``fn`` as a foreachBatch body: the tag is the query id in the checkpoint's metadata and the batch number."""
     query: list[str] = []
 
@@ -55,7 +58,7 @@ def _tagged(fn: BatchFn, checkpoint: str) -> Callable[[DataFrame, int], None]:
 def run_once(stream: DataFrame, fn: BatchFn, checkpoint: str, continuous: bool = False,
              interval: str = "10 seconds"):
     """Process what is available now (or keep running with a processing-time trigger)."""
-    writer = stream.writeStream.foreachBatch(_tagged(fn, checkpoint)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(tagged(fn, checkpoint)).option("checkpointLocation", checkpoint)
     if continuous:
         return writer.trigger(processingTime=interval).start()
     query = writer.trigger(availableNow=True).start()
@@ -74,22 +77,34 @@ def feed_in_arrivals(spark: SparkSession, root: str, arrivals: list[DataFrame],
 
 # ----------------------------------------------------------------- T1–T3: alerts → silver
 def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None, silver_now=None,
-                   silver_buckets: int | None = None) -> BatchFn:
+                   silver_buckets: int | None = None, parse_partitions: int | None = None,
+                   months: MonthlySilver | None = None) -> BatchFn:
     """foreachBatch body: bronze append → parse once → split → upsert silver.
 
     The batch is written to bronze first and re-read from there, so the parse
     reads committed files (no recomputation of the source) and runs once; the
     flagged rows are written once, split into clean / quarantine folders.
+
+    With ``months`` silver is kept by month there and a batch rewrites the months it touches; without, silver is a
+    layer of ``store``, rewritten per batch. Gold follows the images of what changed either way.
     """
     def process(batch: DataFrame, tag: str) -> None:
         store.append(to_bronze(batch, source, bronze_now), "bronze", tag=tag)
-        parsed = flagged(parse_alerts(store.read_tag("bronze", tag, BRONZE), silver_now))
+        parsed = flagged(parse_alerts(store.read_tag("bronze", tag, BRONZE), silver_now, parse_partitions))
         store.append(parsed, "parsed", tag=tag, partition_by=[DQ])
         committed = store.read_tag("parsed", tag, parsed.schema)
         clean = clean_rows(committed)
-        if not store.has_tag("silver", tag):
-            commit_silver(store, clean, tag=tag, buckets=silver_buckets)
-        follow_silver(store, clean.select("id").distinct(), tag)
+        if months is not None:
+            follow_images(store, months.commit(clean, tag), months.read, tag)
+        else:
+            if not store.has_tag("silver_images", tag):  # before the commit that they describe
+                target = None
+                if store.exists("silver"):
+                    target = store.read("silver", schema=SILVER) if silver_buckets is None else store.read_bucketed("silver", "id", silver_buckets)
+                store.append(changed_images(target, clean, buckets=silver_buckets), "silver_images", tag=tag)
+            if not store.has_tag("silver", tag):
+                commit_silver(store, clean, tag=tag, buckets=silver_buckets)
+            follow_images(store, store.read_tag("silver_images", tag), lambda: store.read("silver", schema=SILVER), tag)
         if not store.has_tag("gold_failures", tag):
             batch_counts = gold.failure_reason_counts(quarantine_rows(committed))
             previous = store.read("gold_failures") if store.exists("gold_failures") else None
@@ -101,22 +116,18 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
 GOLD = {"gold_daily": gold.daily, "gold_merchant": gold.merchant}
 
 
-def follow_silver(store: LayerStore, ids: DataFrame, tag: str) -> None:
-    """T5: the daily and merchant gold after the silver commit ``tag`` of rows with these ids.
-
-    Old images come from the version before, so a transaction that moved to another day or merchant
-    leaves its old group. Work is the groups that the batch touched.
-    """
-    number = store.version_of("silver", tag)
-    after = store.read("silver", number, SILVER)
-    before = store.read("silver", number - 1, SILVER) if number > 1 else None
-    touched = after.join(ids, "id", "left_semi")
-    if before is not None:
-        touched = touched.unionByName(before.join(ids, "id", "left_semi"))
-    for name, roll_up in GOLD.items():
+def follow_images(store: LayerStore, images: DataFrame, silver: Callable[[], DataFrame], tag: str) -> None:
+    """T5 by deltas: gold after the signed ``images`` of a commit. ``silver`` is read only for groups whose smallest or
+    largest value left (``RollUp.apply``)."""
+    def follow(name: str) -> None:
         if not store.has_tag(name, tag):
-            gold_now = store.read(name) if store.exists(name) else None
-            store.write(roll_up().refresh(gold_now, after, touched), name, tag=tag)
+            roll_up, gold_now = GOLD[name](), store.read(name) if store.exists(name) else None
+            store.append(roll_up.apply(gold_now, images), f"{name}_applied", tag=tag)
+            store.write(roll_up.finish(store.read_tag(f"{name}_applied", tag), silver()), name, tag=tag)
+
+    with ThreadPoolExecutor(len(GOLD)) as pool:  # independent tables
+        for done in [pool.submit(follow, name) for name in GOLD]:
+            done.result()
 
 
 def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], measure: str) -> DataFrame:
@@ -131,21 +142,24 @@ def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], me
             .agg(F.sum(measure).cast("long").alias(measure)))
 
 
-def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4,
-                     silver_buckets: int | None = 8) -> LayerStore:
-    """The alerts arrive in ``splits`` parts; silver is kept bucketed by id so each
-    micro-batch shuffles only itself."""
+def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4, silver_buckets: int | None = 8,
+                     by_month: bool = False) -> LayerStore:
+    """The alerts arrive in ``splits`` parts; silver is kept bucketed by id, so each micro-batch shuffles only
+    itself, or ``by_month``, so each rewrites only the months it touches."""
     configure(spark)
     root = scratch_dir(spark, "alert-stream")
     store = LayerStore(spark, f"{root}/layers")
     alerts = fx.alerts_from_orders(spark, sf_dir, keep_parts=True)
-    part = (F.col("o_orderkey") + F.col("r")) % splits
     landing_cols = [c for c in alerts.columns if c not in ("o_orderkey", "o_custkey", "r", "k")]
-    arrivals = [alerts.filter(part == i).select(*landing_cols) for i in range(splits)]
     schema = alerts.select(*landing_cols).schema
+    part = (F.col("o_orderkey") + F.col("r")) % splits
+    store.write(alerts.select(*landing_cols, part.alias("_arrival")), "outbox", partition_by=["_arrival"])
+    sent = store.read("outbox")
+    arrivals = [sent.filter(F.col("_arrival") == i).select(*landing_cols) for i in range(splits)]
     feed_in_arrivals(spark, root, arrivals, schema,
                      alert_batch_fn(store, bronze_now=fx.ntz(fx.BRONZE_NOW), silver_now=fx.ntz(fx.SILVER_NOW),
-                                    silver_buckets=silver_buckets))
+                                    silver_buckets=silver_buckets, parse_partitions=PARSE_PARTITIONS,
+                                    months=MonthlySilver(spark, f"{root}/silver") if by_month else None))
     return store
 
 
@@ -154,7 +168,7 @@ def run_alert_stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_alert_stream_gold(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """T5: ``gold_daily`` or ``gold_merchant`` as the alert stream keeps it."""
+    """T5: ``gold_daily`` or ``gold_merchant`` as the alert stream keeps it, by deltas."""
     return run_alert_stream(spark, sf_dir).read(name)
 
 
@@ -210,7 +224,7 @@ def run_events_daily_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -
     for i, frame in enumerate(arrivals):
         frame.write.mode("overwrite").parquet(f"{inbox}/arrival={i:04d}")
         agg = daily_events(stream_layer(spark, inbox, events.schema))
-        q = (agg.writeStream.outputMode("update").foreachBatch(_tagged(sink, checkpoint))
+        q = (agg.writeStream.outputMode("update").foreachBatch(tagged(sink, checkpoint))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         q.awaitTermination()
     return store.read("gold_events_daily")

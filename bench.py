@@ -25,7 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from alertledger.operators import changes, gold, ledger, ops  # noqa: E402
 from alertledger.plans import medallion  # noqa: E402
 from alertledger.operators.parse import clean_rows  # noqa: E402
-from alertledger.plans.registry import QUERIES, _committed  # noqa: E402
+from alertledger.plans.registry import PARSE_PARTITIONS, QUERIES, _committed  # noqa: E402
 from alertledger.session import build_session, scratch_dir  # noqa: E402
 from alertledger.sources import fixtures as fx  # noqa: E402
 from alertledger.sources.store import LayerStore  # noqa: E402
@@ -63,11 +63,11 @@ def main() -> None:
     # ---- batch chain: one warm-up run into a throwaway store, then the timed run into a fresh one ----
     landing = fx.alerts_from_orders(spark, SF_DIR)
     warm = LayerStore(spark, scratch_dir(spark, "bench-warmup"))
-    medallion.bronze_to_silver(landing, warm, now=fx.ntz(fx.SILVER_NOW))
+    medallion.bronze_to_silver(landing, warm, now=fx.ntz(fx.SILVER_NOW), parse_partitions=PARSE_PARTITIONS)
     medallion.silver_to_gold(warm)
     store = LayerStore(spark, scratch_dir(spark, "bench"))
     times["e2e_bronze_to_silver"] = timed(
-        lambda: medallion.bronze_to_silver(landing, store, now=fx.ntz(fx.SILVER_NOW)))
+        lambda: medallion.bronze_to_silver(landing, store, now=fx.ntz(fx.SILVER_NOW), parse_partitions=PARSE_PARTITIONS))
     times["e2e_silver_to_gold"] = timed(lambda: medallion.silver_to_gold(store))
     L = medallion.layers(store)
     rows.update({k: v.count() for k, v in L.items()})
