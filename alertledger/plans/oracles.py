@@ -635,3 +635,4 @@ ORACLES["stream_gold_daily_closed"] = f"WITH {_GATED}\n{GOLD_DAILY}"
 ORACLES["stream_ledger_late"] = f"WITH {_GATED}\nSELECT {', '.join(LEDGER_COLUMNS)} FROM judged WHERE late"
 ORACLES["stream_recon"] = f"""WITH {ALERTS},{RECON}
 SELECT * FROM recon WHERE txn_date + INTERVAL 1 DAY <= (SELECT max(event_time) FROM landing) - INTERVAL 30 DAY"""
+ORACLES["change_feed_digest"] = ORACLES["change_feed"]
