@@ -45,10 +45,10 @@ def op5_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all ``documents`` covered by repeated 400-byte strings, removed."""
-    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      "kept_sha256")
+                      "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
