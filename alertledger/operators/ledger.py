@@ -33,7 +33,7 @@ def _date(d: str | _dt.date | Column | None) -> Column:
     return F.lit(str(d)).cast("date")
 
 
-def _ensure_effective(df: DataFrame) -> DataFrame:
+def with_effective(df: DataFrame) -> DataFrame:
     if "effective_ts" in df.columns and "effective_date" in df.columns:
         return df
     eff = effective_ts()
@@ -48,7 +48,7 @@ def in_range(df: DataFrame, column: str, start, end) -> DataFrame:
 
 def trailing_window(df: DataFrame, as_of=None, days: int = 30) -> DataFrame:
     """Effective date ≥ as_of − days; deliberately no upper bound."""
-    return _ensure_effective(df).filter(F.col("effective_date") >= F.date_sub(_date(as_of), days))
+    return with_effective(df).filter(F.col("effective_date") >= F.date_sub(_date(as_of), days))
 
 
 # ----------------------------------------------------------------- KPIs
@@ -67,7 +67,7 @@ def kpis(bronze: DataFrame, clean: DataFrame, quarantine: DataFrame, silver: Dat
         return df.select(F.lit(tag).alias(_SRC), arrival, none_d.alias("effective_date"),
                          none_s.alias("direction"), none_m.alias("amount"))
 
-    s = _ensure_effective(silver)
+    s = with_effective(silver)
     money = s.select(F.lit(3).alias(_SRC), none_d.alias("arrival_date"), "effective_date", "direction",
                      F.col("amount").cast("decimal(18,2)").alias("amount"))
     u = counted(bronze, 0).unionByName(counted(clean, 1)).unionByName(counted(quarantine, 2)).unionByName(money)
@@ -143,7 +143,7 @@ def spend_calendar(spark: SparkSession, silver: DataFrame, as_of=None, days: int
     spine = spark.range(1).select(F.explode(F.sequence(lo, day)).alias("day"),
                                   F.lit(None).cast("decimal(18,2)").alias("amount"),
                                   F.lit(0).alias("_real"))
-    debits = (_ensure_effective(silver)
+    debits = (with_effective(silver)
               .filter((F.col("direction") == "DEBIT") & F.col("effective_date").between(lo, day))
               .select(F.col("effective_date").alias("day"),
                       F.col("amount").cast("decimal(18,2)").alias("amount"), F.lit(1).alias("_real")))
@@ -169,7 +169,7 @@ def threshold_summary(calendar: DataFrame, threshold: float = 400) -> DataFrame:
 
 def top_merchants(silver: DataFrame, start, end, n: int = 7) -> DataFrame:
     """A13 + L3: DEBIT totals by counterparty (W1b, W5), top n, name as tie-break."""
-    rows = (in_range(_ensure_effective(silver), "effective_date", start, end)
+    rows = (in_range(with_effective(silver), "effective_date", start, end)
             .filter(F.col("counterparty").isNotNull() & (F.col("direction") == "DEBIT")))
     return (rows.groupBy("counterparty")
             .agg(F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("txn_count"))
@@ -178,14 +178,14 @@ def top_merchants(silver: DataFrame, start, end, n: int = 7) -> DataFrame:
 
 
 # ----------------------------------------------------------------- latest / paging
-def _newest_first(df: DataFrame) -> list[Column]:
+def newest_first(df: DataFrame) -> list[Column]:
     return [F.col("effective_ts").desc_nulls_last(), F.col("id").desc_nulls_last()]
 
 
 def latest_one(silver: DataFrame) -> DataFrame:
     """L1: newest transaction with display labels."""
-    s = _ensure_effective(silver)
-    top = s.orderBy(*_newest_first(s)).limit(1)
+    s = with_effective(silver)
+    top = s.orderBy(*newest_first(s)).limit(1)
     d = F.upper(F.coalesce(F.col("direction"), F.lit("")))
     merchant = F.coalesce(F.nullif(F.col("counterparty"), F.lit("")), F.nullif(F.col("vpa"), F.lit("")),
                           F.lit("—"))
@@ -204,8 +204,8 @@ LEDGER_VIEW = [("effective_ts", "When"), ("bank", "Bank"), ("txn_type", "Type"),
 
 def latest_in_range(silver: DataFrame, start, end, n: int = 5) -> DataFrame:
     """L2: newest n in the effective-date range, display column names."""
-    s = in_range(_ensure_effective(silver), "effective_date", start, end)
-    return s.orderBy(*_newest_first(s)).limit(n).select(*[F.col(a).alias(b) for a, b in LEDGER_VIEW])
+    s = in_range(with_effective(silver), "effective_date", start, end)
+    return s.orderBy(*newest_first(s)).limit(n).select(*[F.col(a).alias(b) for a, b in LEDGER_VIEW])
 
 
 LEDGER_COLUMNS = ["effective_ts", "id", "bank", "txn_type", "direction", "amount", "currency",
@@ -214,13 +214,13 @@ LEDGER_COLUMNS = ["effective_ts", "id", "bank", "txn_type", "direction", "amount
 
 def by_id(silver: DataFrame, ids: list[str]) -> DataFrame:
     """Point lookup: the ledger rows of the given transaction ids (pushed to the scan)."""
-    return _ensure_effective(silver).filter(F.col("id").isin(list(ids))).select(*LEDGER_COLUMNS)
+    return with_effective(silver).filter(F.col("id").isin(list(ids))).select(*LEDGER_COLUMNS)
 
 
 def ledger_page(silver: DataFrame, page: int = 0, size: int = 25) -> DataFrame:
     """Page ``page`` (0-based) of the full ledger, newest first."""
-    s = _ensure_effective(silver)
-    return s.select(*LEDGER_COLUMNS).orderBy(*_newest_first(s)).offset(page * size).limit(size)
+    s = with_effective(silver)
+    return s.select(*LEDGER_COLUMNS).orderBy(*newest_first(s)).offset(page * size).limit(size)
 
 
 def ledger_after(silver: DataFrame, cursor_ts, cursor_id: str, size: int = 25) -> DataFrame:
@@ -228,10 +228,10 @@ def ledger_after(silver: DataFrame, cursor_ts, cursor_id: str, size: int = 25) -
 
     Cost does not grow with page depth: a filter plus a per-task top-k.
     """
-    s = _ensure_effective(silver)
+    s = with_effective(silver)
     ts = F.lit(str(cursor_ts)).cast("timestamp_ntz") if not isinstance(cursor_ts, Column) else cursor_ts
     after = (F.col("effective_ts") < ts) | ((F.col("effective_ts") == ts) & (F.col("id") < F.lit(cursor_id)))
-    return s.filter(after).select(*LEDGER_COLUMNS).orderBy(*_newest_first(s)).limit(size)
+    return s.filter(after).select(*LEDGER_COLUMNS).orderBy(*newest_first(s)).limit(size)
 
 
 # ----------------------------------------------------------------- quarantine views

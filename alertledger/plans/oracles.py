@@ -13,7 +13,7 @@ from __future__ import annotations
 from ..functions import patterns as P
 from ..operators.ledger import LEDGER_COLUMNS
 from ..sources import fixtures as fx
-from .registry import LOOKUP_IDS, TRAPS
+from .registry import DEEP_PAGE, LOOKUP_IDS, TRAPS
 
 BRONZE_NOW = f"TIMESTAMP '{fx.BRONZE_NOW}'"
 SILVER_NOW = f"TIMESTAMP '{fx.SILVER_NOW}'"
@@ -636,3 +636,10 @@ ORACLES["stream_ledger_late"] = f"WITH {_GATED}\nSELECT {', '.join(LEDGER_COLUMN
 ORACLES["stream_recon"] = f"""WITH {ALERTS},{RECON}
 SELECT * FROM recon WHERE txn_date + INTERVAL 1 DAY <= (SELECT max(event_time) FROM landing) - INTERVAL 30 DAY"""
 ORACLES["change_feed_digest"] = ORACLES["change_feed"]
+ORACLES["stream_progress"] = """
+SELECT event_id % 4 AS batch_id, COUNT(*) AS input_rows, COUNT(*) FILTER (WHERE event_type = 'error') AS errors, COUNT(user_id) AS users
+FROM events GROUP BY 1"""
+ORACLES["ledger_page_deep"] = with_ledger(f"""
+SELECT effective_ts, id, bank, txn_type, direction, amount, currency, counterparty, vpa, txn_ref
+FROM ledger ORDER BY effective_ts DESC NULLS LAST, id DESC NULLS LAST
+LIMIT {fx.PAGE_SIZE} OFFSET {DEEP_PAGE * fx.PAGE_SIZE}""")

@@ -262,6 +262,17 @@ def q_ledger_page(spark, sf_dir):
     return ledger.ledger_page(_ledger(spark, sf_dir), LEDGER_PAGE, fx.PAGE_SIZE)
 
 
+DEEP_PAGE = 40
+
+
+def q_ledger_page_deep(spark, sf_dir):
+    """A deep page from the order-statistics index: the one or two parts it lies in are read."""
+    from ..operators import paging
+    view, store = _ledger(spark, sf_dir), LayerStore(spark, scratch_dir(spark, "pages"))
+    paging.build_page_index(view, store, rows_per_part=500)
+    return paging.indexed_page(store, DEEP_PAGE, fx.PAGE_SIZE, paging.page_schema(view))
+
+
 def q_ledger_keyset(spark, sf_dir):
     return ledger.ledger_after(_ledger(spark, sf_dir), *KEYSET_CURSOR, size=fx.PAGE_SIZE)
 
@@ -590,6 +601,13 @@ def q_upsert_months(spark, sf_dir):
     return silver.read()
 
 
+def q_stream_progress(spark, sf_dir):
+    """Counts of each micro-batch, from the layer that the listener keeps."""
+    from ..streaming import progress
+    log = progress.run_counted_events(spark, sf_dir).read("stream_progress")
+    return log.select("batch_id", "input_rows", F.col("counters")["errors"].alias("errors"), F.col("counters")["users"].alias("users"))
+
+
 def q_stream_mirror(spark, sf_dir):
     from ..streaming import jobs
     return jobs.run_mirror_stream(spark, sf_dir)
