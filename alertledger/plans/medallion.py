@@ -39,17 +39,28 @@ def commit_silver(store: LayerStore, clean: DataFrame, tag: str | None = None,
     already partitioned), which is what keeps per-batch cost proportional to
     the batch rather than to the table.
     """
+    target, stored_buckets = silver_target(store, buckets)
     if buckets is None:
-        target = store.read("silver", schema=SILVER) if store.exists("silver") else None
         return store.write(upsert(target, to_silver(clean)), "silver", tag=tag, sort_within=SILVER_SORT)
-    if store.exists("silver"):
-        merged = upsert_bucketed(store.read_bucketed("silver", "id", buckets), clean, buckets)
+    if stored_buckets is not None:
+        merged = upsert_bucketed(target, clean, buckets)
+    elif target is not None:  # plain silver so far: this commit moves it into buckets
+        merged = upsert(target, to_silver(clean)).repartition(buckets, "id")
     else:
         # hash into the bucket layout first: the window reuses it and each task writes one bucket file
         merged = upsert(None, to_silver(clean).repartition(buckets, "id"))
     return store.write_bucketed(merged, "silver", "id", buckets, tag=tag, sort_within=SILVER_SORT)
 
 
+def silver_target(store: LayerStore, buckets: int | None) -> tuple[DataFrame | None, int | None]:
+    """The committed silver, if any, and its buckets if it can be read by them."""
+    if not store.exists("silver"):
+        return None, None
+    if buckets is None or not store.is_bucketed("silver"):
+        return store.read("silver", schema=SILVER), None
+    return store.read_bucketed("silver", "id", buckets), buckets
+
+
 def bronze_to_silver(landing: DataFrame, store: LayerStore, source: str = "landing",
                      now: Column | None = None, tag: str | None = None,
                      silver_buckets: int | None = None, parse_partitions: int | None = None) -> dict[str, int]:

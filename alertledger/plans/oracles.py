@@ -643,3 +643,4 @@ ORACLES["ledger_page_deep"] = with_ledger(f"""
 SELECT effective_ts, id, bank, txn_type, direction, amount, currency, counterparty, vpa, txn_ref
 FROM ledger ORDER BY effective_ts DESC NULLS LAST, id DESC NULLS LAST
 LIMIT {fx.PAGE_SIZE} OFFSET {DEEP_PAGE * fx.PAGE_SIZE}""")
+ORACLES["stream_ingest"] = ORACLES["ingest_messages"]

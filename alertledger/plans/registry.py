@@ -608,6 +608,12 @@ def q_stream_progress(spark, sf_dir):
     return log.select("batch_id", "input_rows", F.col("counters")["errors"].alias("errors"), F.col("counters")["users"].alias("users"))
 
 
+def q_stream_ingest(spark, sf_dir):
+    """S4 over the mailbox data source: three growing exports, one checkpoint."""
+    from ..streaming import jobs
+    return jobs.run_mailbox_stream(spark, sf_dir, NOW_MICROS).read("landing")
+
+
 def q_stream_mirror(spark, sf_dir):
     from ..streaming import jobs
     return jobs.run_mirror_stream(spark, sf_dir)

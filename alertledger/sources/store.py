@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 _VERSION = re.compile(r"^v=(\d+)(?:-t=(.+))?$")
 _SEGMENT = re.compile(r"^a=(\d+)(?:-t=(.+))?$")
+_BUCKET_FILE = re.compile(r"_\d{5}\.c\d+\.")
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -157,6 +158,13 @@ class LayerStore:
         writer.option("path", f"{self.root}/{name}/{folder}").saveAsTable(self._table(name, nxt))
         return nxt
 
+    def is_bucketed(self, name: str) -> bool:
+        """Whether the newest version was written by ``write_bucketed``: the bucket is in the names of its files."""
+        path = self._Path(self._versions(name)[-1][2])
+        names = [f.getPath().getName() for f in self._fs.listStatus(path)]
+        data = [n for n in names if n.endswith(".parquet")]
+        return bool(data) and all(_BUCKET_FILE.search(n) for n in data)
+
     def read_bucketed(self, name: str, key: str, buckets: int) -> DataFrame:
         """Current version of a bucketed layer (registered in this session's catalog if needed)."""
         versions = self._versions(name)

@@ -29,9 +29,9 @@ from ..operators.parse import DQ, clean_rows, flagged, parse_alerts, quarantine_
 from ..operators.upsert import changed_images, newest_per_key
 from ..schemas import BRONZE, SILVER
 from ..session import configure, scratch_dir
-from ..sources import fixtures as fx
-from ..sources.ingest import to_bronze
-from ..plans.medallion import commit_silver
+from ..sources import fixtures as fx, mailbox
+from ..sources.ingest import commit_ingest, to_bronze
+from ..plans.medallion import commit_silver, silver_target
 from ..sources.store import LayerStore
 
 BatchFn = Callable[[DataFrame, str], None]  # rows of a micro-batch, tag of the batch
@@ -98,10 +98,8 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
             follow_images(store, months.commit(clean, tag), months.read, tag)
         else:
             if not store.has_tag("silver_images", tag):  # before the commit that they describe
-                target = None
-                if store.exists("silver"):
-                    target = store.read("silver", schema=SILVER) if silver_buckets is None else store.read_bucketed("silver", "id", silver_buckets)
-                store.append(changed_images(target, clean, buckets=silver_buckets), "silver_images", tag=tag)
+                target, stored_buckets = silver_target(store, silver_buckets)
+                store.append(changed_images(target, clean, buckets=stored_buckets), "silver_images", tag=tag)
             if not store.has_tag("silver", tag):
                 commit_silver(store, clean, tag=tag, buckets=silver_buckets)
             follow_images(store, store.read_tag("silver_images", tag), lambda: store.read("silver", schema=SILVER), tag)
@@ -296,3 +294,30 @@ def run_mirror_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = changes.change_feed(middle, after, "id", version=2)
     feed_in_arrivals(spark, root, [two, one, two], one.schema, mirror_fn(store, "mirror", "id"))
     return changes.visible(store.read("mirror"))
+
+
+# ----------------------------------------------------------------- S4/S6: the mailbox as a stream
+def mailbox_fn(store: LayerStore, threads: DataFrame, now_micros: int) -> BatchFn:
+    """foreachBatch body: new messages of the mailbox source to ``landing``, their ids to ``seen``; not messages to ``unread_lines``."""
+    def process(batch: DataFrame, tag: str) -> None:
+        store.append(batch, "mail", tag=tag)  # the source is read once
+        mail = store.read_tag("mail", tag, batch.schema)
+        store.append(mail.filter("raw IS NOT NULL").select("raw"), "unread_lines", tag=tag)
+        commit_ingest(store, threads, mail.filter("raw IS NULL").drop("raw"), now_micros, tag)
+    return process
+
+
+def run_mailbox_stream(spark: SparkSession, sf_dir: str, now_micros: int, splits: int = 3) -> LayerStore:
+    """The mailbox export grows by a part of the messages; each time the stream goes on from its checkpoint."""
+    configure(spark)
+    mailbox.register(spark)
+    root = scratch_dir(spark, "mailbox")
+    store = LayerStore(spark, f"{root}/layers")
+    threads, messages, seen = fx.mail_threads(spark, sf_dir)
+    store.append(seen, "seen", tag="start")
+    part = F.pmod(F.xxhash64("id"), F.lit(splits))
+    for i in range(splits):
+        mailbox.export_messages(messages.filter(part == i), f"{root}/export", i)
+        stream = spark.readStream.format("mailbox").option("path", f"{root}/export").load()
+        run_once(stream, mailbox_fn(store, threads, now_micros), f"{root}/_checkpoint")
+    return store

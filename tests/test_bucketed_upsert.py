@@ -44,3 +44,18 @@ def test_bucketed_version_is_re_registered(spark):
     assert back.count() == silver.count()
     plan = upsert_bucketed(back, silver, BUCKETS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_plain_silver_moves_into_buckets(spark):
+    from alertledger.plans.medallion import commit_silver
+
+    store = LayerStore(spark, scratch_dir(spark, "test-plain-then-bucketed"))
+    run0, run1 = (_silver_run(spark, SF_SMALL, i, now) for i, now in ((0, fx.SILVER_NOW), (1, fx.SILVER_NOW_2)))
+    commit_silver(store, run0)
+    assert not store.is_bucketed("silver")
+    for _ in range(2):
+        commit_silver(store, run1, buckets=BUCKETS)
+        assert store.is_bucketed("silver")
+        assert _bag(store.read("silver")) == _bag(upsert(upsert(None, run0), run1))
+    commit_silver(store, run0)  # and back
+    assert not store.is_bucketed("silver") and store.read("silver").count() == upsert(upsert(None, run0), run1).count()
