@@ -644,3 +644,8 @@ SELECT effective_ts, id, bank, txn_type, direction, amount, currency, counterpar
 FROM ledger ORDER BY effective_ts DESC NULLS LAST, id DESC NULLS LAST
 LIMIT {fx.PAGE_SIZE} OFFSET {DEEP_PAGE * fx.PAGE_SIZE}""")
 ORACLES["stream_ingest"] = ORACLES["ingest_messages"]
+ORACLES["json_append_rescued"] = """
+SELECT event_id AS request_id, 'e-' || event_id AS id, event_type AS sender,
+  CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+  CASE WHEN event_id % 4 >= 2 THEN user_id END AS second_tag, event_id % 4 = 0 AS nothing_rescued
+FROM events"""

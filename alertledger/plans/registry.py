@@ -412,6 +412,26 @@ def q_json_append(spark, sf_dir):
     return append_json(_json_payload(spark, sf_dir))[0]
 
 
+def q_json_append_rescued(spark, sf_dir):
+    """S5 with rescue: events as records, most with fields that the schema does not have; the layer is written and read back."""
+    configure(spark)
+    eid = F.col("event_id")
+    head = F.concat(F.lit('{"id":"e-'), eid.cast("string"), F.lit('","sender":"'), F.col("event_type"), F.lit('"'))
+    value = F.when(eid % 4 == 0, F.concat(head, F.lit("}"))).when(
+        eid % 4 == 1, F.concat(head, F.lit(',"props":'), F.col("props"), F.lit("}"))).otherwise(
+        F.concat(head, F.lit(',"tags":["a",'), F.col("user_id").cast("string"), F.lit("],"), F.expr("substring(props, 2, length(props))")))
+    accepted, _ = append_json(fx.table(spark, sf_dir, "events").select(eid.alias("request_id"), value.alias("value")), rescue=True)
+    store = LayerStore(spark, scratch_dir(spark, "rescued"))
+    store.append(accepted, "landing")
+
+    def field(path: str, kind: str):
+        return F.try_variant_get("rescued", path, kind)
+
+    return store.read("landing").select(
+        "request_id", "id", "sender", F.coalesce(field("$.props.k", "long"), field("$.k", "long")).alias("k"),
+        field("$.tags[1]", "long").alias("second_tag"), F.col("rescued").isNull().alias("nothing_rescued"))
+
+
 def q_json_reject(spark, sf_dir):
     return append_json(_json_payload(spark, sf_dir))[1].select("request_id", "reason")
 

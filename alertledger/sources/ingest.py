@@ -85,7 +85,10 @@ def split_json_array(payload: DataFrame, column: str = "value") -> DataFrame:
     return payload.select(*keep, F.explode(records).alias("value"))
 
 
-def append_json(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+RESCUED = "rescued"
+
+
+def append_json(raw: DataFrame, column: str = "value", rescue: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse each record against the landing schema; refuse what does not fit.
 
     Returns ``(accepted, rejected)``. Accepted rows have the landing schema;
@@ -94,6 +97,9 @@ def append_json(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataF
     object), ``empty_record`` (no field), ``unknown_field`` (a field the schema
     does not have), ``schema_mismatch`` (a field of the wrong type). Missing
     fields are NULL; a number or truth value in a text field is its text.
+
+    With ``rescue`` no record is rejected as ``unknown_field``: the accepted rows have a VARIANT column ``rescued``, an
+    object of the fields that the schema does not have, with their types and nested values (NULL if there are none).
     """
     schema = StructType(WIRE.fields + [StructField(CORRUPT, StringType())])
     keep = [c for c in raw.columns if c != column]
@@ -104,11 +110,18 @@ def append_json(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataF
     known = F.array(*(F.lit(f.name) for f in WIRE.fields))
     reason = (F.when(F.col("names").isNull() | F.col("r").isNull(), F.lit("malformed"))
               .when(F.size("names") == 0, F.lit("empty_record"))
-              .when(F.size(F.array_except("names", known)) > 0, F.lit("unknown_field"))
+              .when(F.lit(not rescue) & (F.size(F.array_except("names", known)) > 0), F.lit("unknown_field"))
               .when(F.col(f"r.{CORRUPT}").isNotNull(), F.lit("schema_mismatch")))
     judged = parsed.withColumn("reason", reason)
     accepted = judged.filter("reason IS NULL").select(
         *keep,
         *[(timestamp_micros(F.col(f"r.{f.name}")) if f.name in ("event_time", "ingestion_time")
-           else F.col(f"r.{f.name}")).alias(f.name) for f in LANDING.fields])
+           else F.col(f"r.{f.name}")).alias(f.name) for f in LANDING.fields],
+        *([_rescued(known).alias(RESCUED)] if rescue else []))
     return accepted, judged.filter("reason IS NOT NULL").select(*keep, "raw", "reason")
+
+
+def _rescued(known: Column) -> Column:
+    """The fields of the record that are not ``known``, as one VARIANT object."""
+    other = F.map_filter(F.from_json("raw", "map<string,variant>"), lambda name, _: ~F.array_contains(known, name))
+    return F.when(F.size(F.array_except("names", known)) > 0, F.to_variant_object(other))

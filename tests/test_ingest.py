@@ -75,3 +75,14 @@ def test_json_rejects(spark):
     ok, bad = append_json(raw)
     assert [r.request_id for r in ok.collect()] == [1]
     assert {r.request_id: r.reason for r in bad.collect()} == {2: "malformed", 3: "schema_mismatch"}
+
+
+def test_rescued_fields_keep_types_and_the_rest_is_rejected_as_before(spark):
+    raw = spark.createDataFrame([(1, '{"id":"a","x":{"y":[1,null]},"p":2.5}'), (2, '{"id":"b"}'), (3, "{}"), (4, '{"x":'),
+                                 (5, '{"id":"c","event_time":"late","x":1}'), (6, '{"x":null}')], "n int, value string")
+    ok, bad = append_json(raw, rescue=True)
+    found = {r["n"]: r["rescued"].toJson() if r["rescued"] is not None else None for r in ok.collect()}
+    assert found == {1: '{"p":2.5,"x":{"y":[1,null]}}', 2: None, 6: '{"x":null}'}
+    assert {r["n"]: r["reason"] for r in bad.collect()} == {3: "empty_record", 4: "malformed", 5: "schema_mismatch"}
+    strict = {r["n"]: r["reason"] for r in append_json(raw)[1].collect()}
+    assert strict == {1: "unknown_field", 3: "empty_record", 4: "malformed", 5: "unknown_field", 6: "unknown_field"}
