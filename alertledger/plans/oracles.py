@@ -649,3 +649,6 @@ SELECT event_id AS request_id, 'e-' || event_id AS id, event_type AS sender,
   CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
   CASE WHEN event_id % 4 >= 2 THEN user_id END AS second_tag, event_id % 4 = 0 AS nothing_rescued
 FROM events"""
+ORACLES["merchant_clustered"] = with_ledger(f"""
+SELECT effective_ts, id, bank, txn_type, direction, amount, currency, counterparty, vpa, txn_ref
+FROM ledger WHERE counterparty = 'SHOP 7' AND effective_date BETWEEN {START} AND {END}""")

@@ -238,6 +238,15 @@ def q_top_merchants(spark, sf_dir):
     return ledger.top_merchants(_ledger(spark, sf_dir), fx.RANGE_START, fx.RANGE_END, fx.TOP_N)
 
 
+def q_merchant_clustered(spark, sf_dir):
+    """One merchant's rows in the range, from silver clustered by date and merchant."""
+    from ..operators import clustering
+    store = LayerStore(spark, scratch_dir(spark, "clustered"))
+    clustering.write_clustered(_ledger(spark, sf_dir), store, files=16)
+    rows = clustering.of_merchant(store.read("silver_clustered"), "SHOP 7")
+    return ledger.in_range(rows, "effective_date", fx.RANGE_START, fx.RANGE_END).select(*ledger.LEDGER_COLUMNS)
+
+
 def q_latest_one(spark, sf_dir):
     return ledger.latest_one(_ledger(spark, sf_dir))
 
