@@ -95,37 +95,47 @@ def alert_batch_fn(store: LayerStore, source: str = "landing", bronze_now=None,
         committed = store.read_tag("parsed", tag, parsed.schema)
         clean = clean_rows(committed)
         if months is not None:
-            follow_images(store, months.commit(clean, tag), months.read, tag)
-        else:
-            if not store.has_tag("silver_images", tag):  # before the commit that they describe
-                target, stored_buckets = silver_target(store, silver_buckets)
-                store.append(changed_images(target, clean, buckets=stored_buckets), "silver_images", tag=tag)
-            if not store.has_tag("silver", tag):
+            months.commit(clean, tag)
+        elif not store.has_tag("silver_images", tag):  # before the commit that they describe
+            target, stored_buckets = silver_target(store, silver_buckets)
+            store.append(changed_images(target, clean, buckets=stored_buckets), "silver_images", tag=tag)
+
+        def commit() -> None:
+            if months is None and not store.has_tag("silver", tag):
                 commit_silver(store, clean, tag=tag, buckets=silver_buckets)
-            follow_images(store, store.read_tag("silver_images", tag), lambda: store.read("silver", schema=SILVER), tag)
-        if not store.has_tag("gold_failures", tag):
-            batch_counts = gold.failure_reason_counts(quarantine_rows(committed))
-            previous = store.read("gold_failures") if store.exists("gold_failures") else None
-            store.write(add_counts(previous, batch_counts, ["txn_date", "reason"], "failure_count"),
-                        "gold_failures", tag=tag)
+
+        def failures() -> None:
+            if not store.has_tag("gold_failures", tag):
+                batch_counts = gold.failure_reason_counts(quarantine_rows(committed))
+                previous = store.read("gold_failures") if store.exists("gold_failures") else None
+                store.write(add_counts(previous, batch_counts, ["txn_date", "reason"], "failure_count"),
+                            "gold_failures", tag=tag)
+
+        images = store.read_tag("silver_images", tag) if months is None else months.images(tag)
+        silver = months.read if months is not None else lambda: store.read("silver", schema=SILVER)
+        with ThreadPoolExecutor(2 + len(GOLD)) as pool:  # independent jobs; gold waits for silver only where it reads it
+            committed_silver = pool.submit(commit)
+
+            def silver_after() -> DataFrame:
+                committed_silver.result()
+                return silver()
+
+            rest = [pool.submit(failures)] + [pool.submit(follow_images, store, name, images, silver_after, tag) for name in GOLD]
+            for job in (committed_silver, *rest):
+                job.result()
     return process
 
 
 GOLD = {"gold_daily": gold.daily, "gold_merchant": gold.merchant}
 
 
-def follow_images(store: LayerStore, images: DataFrame, silver: Callable[[], DataFrame], tag: str) -> None:
-    """T5 by deltas: gold after the signed ``images`` of a commit. ``silver`` is read only for groups whose smallest or
-    largest value left (``RollUp.apply``)."""
-    def follow(name: str) -> None:
-        if not store.has_tag(name, tag):
-            roll_up, gold_now = GOLD[name](), store.read(name) if store.exists(name) else None
-            store.append(roll_up.apply(gold_now, images), f"{name}_applied", tag=tag)
-            store.write(roll_up.finish(store.read_tag(f"{name}_applied", tag), silver()), name, tag=tag)
-
-    with ThreadPoolExecutor(len(GOLD)) as pool:  # independent tables
-        for done in [pool.submit(follow, name) for name in GOLD]:
-            done.result()
+def follow_images(store: LayerStore, name: str, images: DataFrame, silver: Callable[[], DataFrame], tag: str) -> None:
+    """T5 by deltas: one gold table after the signed ``images`` of a commit. ``silver`` (after the commit) is read only for
+    groups whose smallest or largest value left (``RollUp.apply``)."""
+    if not store.has_tag(name, tag):
+        roll_up, gold_now = GOLD[name](), store.read(name) if store.exists(name) else None
+        store.append(roll_up.apply(gold_now, images), f"{name}_applied", tag=tag)
+        store.write(roll_up.finish(store.read_tag(f"{name}_applied", tag), silver()), name, tag=tag)
 
 
 def add_counts(previous: DataFrame | None, batch: DataFrame, keys: list[str], measure: str) -> DataFrame:
