@@ -5,10 +5,14 @@ Lines are linked by an edit distance of at most what the length of the shorter o
 (by id, then position) stays and the others go. The join is built from DataFrame functions:
 
 * each distinct line is cut into one segment more than the edits allowed at its length, all
-  of even length, and every segment is an index entry under (line length, segment number,
-  content). That many edits leave at least one segment of a similar line untouched;
-* each line probes the index for the lengths it can reach, with the substrings at the
-  positions that the segment can have moved to (bounded from both ends of the line);
+  of even length. That many edits leave at least one segment of a similar line untouched;
+* a line is probed for the segments of the lines it can reach (as long or shorter by the
+  edits): each can have moved by a few positions only, bounded from both ends of the line.
+  Entries stand for windows, as long as the shortest segment of the band: the least hash of
+  the substrings of a length inside the window, the same wherever the window has moved to.
+  Windows that overlap mostly share it, so a line of six edits has some 20 entries, not
+  one for each of its 128 windows. The window that has not moved is the line's own segment;
+  own segments are the index, all windows the probes, in one shuffle read from both sides;
 * counts of a few letters rule out most pairs inside the join: an edit changes them by
   two in all at most;
 * what is left is verified: Spark's levenshtein with a threshold (a banded table) rules
@@ -39,6 +43,7 @@ from .common import components, fresh, semi_join, stored
 # Edits allowed by length of the shorter line: (from so many characters, edits).
 EDITS = ((20, 1), (40, 2), (80, 3), (120, 4), (160, 5), (200, 6))
 Edits = int | tuple[tuple[int, int], ...]
+LARGE_WINDOW = 32  # characters of a window from which longer lines need no larger one
 LETTERS = "ean"  # the letters that are counted; any would be right, frequent ones rule out more
 
 
@@ -64,12 +69,6 @@ def _first() -> Column:
     return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos"))
 
 
-def _segment(length: Column, i: Column, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of ``k``: the last ones are one longer."""
-    base, more = F.floor(length / k).cast("int"), (length % k).cast("int")
-    return base * i + F.greatest(F.lit(0), i - (k - more)), base + F.when(more >= k - i, 1).otherwise(0)
-
-
 def _letter_counts(line: Column) -> Column:
     counts = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
@@ -82,46 +81,64 @@ def _letters_apart(x: Column, y: Column) -> Column:
     """Sum of the differences of the letter counts (each modulo 256, so never too large)."""
     total = F.lit(0).cast("long")
     for i in range(len(LETTERS)):
-        d = F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * i).bitwiseAND(F.lit(255))
+        d = F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(y, 8 * i).bitwiseAND(F.lit(255))
         total = total + F.least(F.abs(d), 256 - F.abs(d))
     return total
 
 
-def _entry(line: Column, start: Column, n: Column, length: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(line, start + 1, n), length, i)
+def _reach(edits: int, i: int) -> tuple[int, int]:
+    """How far (least, most) segment ``i`` of a line that is shorter by 0 to ``edits`` can start from this line's own."""
+    def start(n: int) -> int:
+        return n // (edits + 1) * i + max(0, i - (edits + 1 - n % (edits + 1)))
+    spans = [(start(n - shorter) - start(n) + max(-i, shorter - (edits - i)), start(n - shorter) - start(n) + min(i, shorter + edits - i))
+             for n in range(2 * edits, 3 * edits + 1) for shorter in range(edits + 1)]  # any remainder of the length
+    return min(least for least, _ in spans), max(most for _, most in spans)
 
 
-def index_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
-    length, out = F.col("chars"), None
+def _windows(bands: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, str]]:
+    """(start, end, edits, size of window, size of substring, segments with their reach, in SQL) by band of length."""
+    out = []
     for start, end, edits in bands:
-        part = (lines.filter((length >= start) & (length < end))
-                .select("lid", "line", "chars", _letter_counts(F.col("line")).alias("letters"),
-                        F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i")))
-        key = _entry(F.col("line"), *_segment(length, F.col("i"), edits + 1), length, F.col("i"))
-        part = part.select("lid", "letters", key.alias("key"))
-        out = part if out is None else out.union(part)
+        while start < end:  # long lines have larger windows: cut where the length has doubled
+            size = start // (edits + 1)
+            until = end if size >= LARGE_WINDOW else min(max(1, 2 * start), end)
+            segments = ", ".join("named_struct('i', {}, 'least', {}, 'most', {})".format(i, *_reach(edits, i)) for i in range(edits + 1))
+            out.append((start, until, edits, size, max(min(size, 1), size * 4 // 7), f"array({segments})"))
+            start = until
     return out
 
 
-def probe_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
-    """Keys of all substrings of a line that can equal a segment of a similar line that is not longer."""
-    own, out = F.col("chars"), None
-    for start, end, edits in bands:  # of the shorter line
-        spots = [f"named_struct('shorter', {shorter}, 'i', {i}, 'moved', {moved})"
-                 for shorter in range(edits + 1) for i in range(edits + 1)
-                 for moved in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
-        part = (lines.filter((own >= start) & (own < end + edits))
-                .select("lid", "line", "chars", _letter_counts(F.col("line")).alias("letters"),
-                        F.explode(F.expr(f"array({', '.join(spots)})")).alias("k"))
-                .select("lid", "line", "chars", "letters", "k.*"))
-        length = own - F.col("shorter")
-        at, n = _segment(length, F.col("i"), edits + 1)
-        at = at + F.col("moved")
-        part = (part.filter((length >= start) & (length < end) & (at >= 0) & (at + n <= own))
-                .select("lid", "letters", _entry(F.col("line"), at, n, length, F.col("i")).alias("key"), "shorter",
-                        F.lit(edits).alias("edits")))
-        out = part if out is None else out.union(part)
-    return out
+def line_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
+    """Entries of lines (lid, line, chars): key, lid, chars, letters, edits and own_chars.
+
+    own_chars is the length again if the entry is one of the line's own segments, else far below any length.
+    """
+    windows = ", ".join(
+        f"named_struct('band', {n}, 'start', {start}, 'end', {end}, 'edits', {edits}, 'size', {size}, 'gram', {gram}, 'segments', {segments})"
+        for n, (start, end, edits, size, gram, segments) in enumerate(_windows(bands)))
+    fits = F.filter(F.expr(f"array({windows})"), lambda w: (F.col("chars") >= w["start"]) & (F.col("chars").cast("long") < w["end"] + w["edits"].cast("long")))
+    band = lines.select("lid", "line", "chars", _letter_counts(F.col("line")).alias("letters"), F.explode(fits).alias("w"))
+    part = band.select("lid", "line", "chars", "letters", "w.band", "w.edits", "w.size", "w.gram",
+                       (F.col("chars").cast("long") < F.col("w.end")).alias("indexed"), F.explode("w.segments").alias("s"))
+    k = F.col("edits") + 1
+    base, more = F.floor(F.col("chars") / k).cast("int"), F.col("chars") % k
+    own = base * F.col("s.i") + F.greatest(F.lit(0), F.col("s.i") - (k - more))
+    part = part.withColumn("own", own)
+    least = F.greatest(F.lit(0), F.col("own") + F.col("s.least"))
+    most = F.least(F.col("chars") - F.col("size"), F.col("own") + F.col("s.most"))
+    part = part.select("lid", "line", "chars", "letters", "band", "edits", "indexed", "size", "gram", F.col("s.i").alias("i"),
+                       (F.col("own") - least).alias("own"), least.alias("least"), (most - least).alias("moves"))
+    piece = F.substring(F.col("line"), F.col("least") + 1, F.col("moves") + F.col("size"))
+    part = part.withColumn("piece", piece)
+    part = part.withColumn("hashes", F.transform(F.sequence(F.lit(1), F.col("moves") + F.col("size") - F.col("gram") + 1),
+                                                 lambda p: F.xxhash64(F.substring(F.col("piece"), p, F.col("gram")))))
+    several = F.col("size") - F.col("gram") + 1
+    part = part.withColumn("mins", F.transform(F.sequence(F.lit(0), F.col("moves")),
+                                               lambda t: F.array_min(F.slice(F.col("hashes"), t + 1, several))))
+    part = part.select("lid", "chars", "letters", "edits", "band", "i", F.when(F.col("indexed"), F.get("mins", F.col("own"))).alias("segment"),
+                       F.explode(F.array_distinct("mins")).alias("least"))
+    return part.select(F.xxhash64("least", "band", "i").alias("key"), "lid", "chars", F.col("letters").cast("int").alias("letters"), "edits",
+                       F.when(F.col("least") == F.col("segment"), F.col("chars")).otherwise(F.lit(-(1 << 30))).alias("own_chars"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -187,11 +204,13 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: Edits, min_char
     repeated = F.broadcast(first) if few else first
     one_each = (lines.join(repeated, "lid", "left")
                 .filter("first IS NULL OR (first.row = row AND first.pos = pos)").select("lid", "line", "chars"))
-    index = index_entries(one_each, bands).select(F.col("lid").alias("b"), F.col("letters").alias("letters_b"), "key")
-    probes = probe_entries(one_each, bands).select(F.col("lid").alias("a"), "letters", "key", "shorter", "edits")
-    other = ((F.col("shorter") > 0) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
-    close = _letters_apart(F.col("letters"), F.col("letters_b")) <= 2 * F.col("edits")
-    pairs = stored(probes.join(index, (probes["key"] == index["key"]) & other & close).select("a", "b", "edits").distinct(), "line-pairs")
+    entries = line_entries(one_each, bands)
+    x, y = entries.alias("x"), entries.alias("y")  # one shuffle, read twice
+    shorter = F.col("x.chars") - F.col("y.own_chars")
+    close = _letters_apart(F.col("x.letters"), F.col("y.letters")) <= 2 * F.col("y.edits")
+    other = (shorter <= F.col("y.edits")) & ((shorter > 0) & (F.col("x.lid") != F.col("y.lid")) | (shorter == 0) & (F.col("x.lid") < F.col("y.lid")))
+    pairs = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & other & close)
+                   .select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("y.edits").alias("edits")).distinct(), "line-pairs")
 
     needed = stored(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "line-ids")
     texts = stored(semi_join(one_each, needed, "lid").dropDuplicates(["lid"]), "line-texts")
