@@ -86,6 +86,11 @@ def _letters_apart(x: Column, y: Column) -> Column:
     return total
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, inside a function of higher order too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _reach(edits: int, i: int) -> tuple[int, int]:
     """How far (least, most) segment ``i`` of a line that is shorter by 0 to ``edits`` can start from this line's own."""
     def start(n: int) -> int:
@@ -129,23 +134,23 @@ def line_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFra
     part = part.select("lid", "line", "chars", "letters", "band", "edits", "indexed", "size", "gram", F.col("s.i").alias("i"),
                        (F.col("own") - least).alias("own"), least.alias("least"), (most - least).alias("moves"))
     piece = F.substring(F.col("line"), F.col("least") + 1, F.col("moves") + F.col("size"))
-    part = part.withColumn("piece", piece)
-    part = part.withColumn("hashes", F.transform(F.sequence(F.lit(1), F.col("moves") + F.col("size") - F.col("gram") + 1),
-                                                 lambda p: F.xxhash64(F.substring(F.col("piece"), p, F.col("gram")))))
     several = F.col("size") - F.col("gram") + 1
-    part = part.withColumn("mins", F.transform(F.sequence(F.lit(0), F.col("moves")),
-                                               lambda t: F.array_min(F.slice(F.col("hashes"), t + 1, several))))
+
+    # bound by _let: a column that is used inside a function of higher order would be computed in each step
+    def hashes(piece: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.col("moves") + F.col("size") - F.col("gram") + 1),
+                           lambda p: F.xxhash64(F.substring(piece, p, F.col("gram"))))
+
+    def mins(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col("moves")), lambda t: F.array_min(F.slice(hashes, t + 1, several)))
+
+    part = part.withColumn("mins", _let(piece, lambda piece: _let(hashes(piece), mins)))
     part = part.select("lid", "chars", "letters", "edits", "band", "i", F.when(F.col("indexed"), F.get("mins", F.col("own"))).alias("segment"),
                        F.explode(F.array_distinct("mins")).alias("least"))
     return part.select(F.xxhash64("least", "band", "i").alias("key"), "lid", "chars", F.col("letters").cast("int").alias("letters"), "edits",
                        F.when(F.col("least") == F.col("segment"), F.col("chars")).otherwise(F.lit(-(1 << 30))).alias("own_chars"))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, inside a function of higher order too."""
-    return F.transform(F.array(value), use)[0]
-
-
 def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
