@@ -9,7 +9,7 @@ Lines are linked by an edit distance of at most what the length of the shorter o
 * a line is probed for the segments of the lines it can reach (as long or shorter by the
   edits): each can have moved by a few positions only, bounded from both ends of the line.
   Entries stand for windows, as long as the shortest segment of the band: the least hash of
-  the substrings of a length inside the window, the same wherever the window has moved to.
+  the six substrings of one length inside the window, the same wherever the window has moved to.
   Windows that overlap mostly share it, so a line of six edits has some 20 entries, not
   one for each of its 128 windows. The window that has not moved is the line's own segment;
   own segments are the index, all windows the probes, in one shuffle read from both sides;
@@ -108,7 +108,7 @@ def _windows(bands: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int
             size = start // (edits + 1)
             until = end if size >= LARGE_WINDOW else min(max(1, 2 * start), end)
             segments = ", ".join("named_struct('i', {}, 'least', {}, 'most', {})".format(i, *_reach(edits, i)) for i in range(edits + 1))
-            out.append((start, until, edits, size, max(min(size, 1), size * 4 // 7), f"array({segments})"))
+            out.append((start, until, edits, size, max(min(size, 1), size - 5), f"array({segments})"))
             start = until
     return out
 
