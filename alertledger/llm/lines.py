@@ -12,7 +12,7 @@ Lines are linked by an edit distance of at most what the length of the shorter o
   the six substrings of one length inside the window, the same wherever the window has moved to.
   Windows that overlap mostly share it, so a line of six edits has some 20 entries, not
   one for each of its 128 windows. The window that has not moved is the line's own segment;
-  own segments are the index, all windows the probes, in one shuffle read from both sides;
+  own segments are the index, all windows the probes;
 * counts of a few letters rule out most pairs inside the join: an edit changes them by
   two in all at most;
 * what is left is verified: Spark's levenshtein with a threshold (a banded table) rules
@@ -210,7 +210,7 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: Edits, min_char
     one_each = (lines.join(repeated, "lid", "left")
                 .filter("first IS NULL OR (first.row = row AND first.pos = pos)").select("lid", "line", "chars"))
     entries = line_entries(one_each, bands)
-    x, y = entries.alias("x"), entries.alias("y")  # one shuffle, read twice
+    x, y = entries.alias("x"), entries.alias("y")  # probes, index (Spark makes them twice: the exchange is not reused)
     shorter = F.col("x.chars") - F.col("y.own_chars")
     close = _letters_apart(F.col("x.letters"), F.col("y.letters")) <= 2 * F.col("y.edits")
     other = (shorter <= F.col("y.edits")) & ((shorter > 0) & (F.col("x.lid") != F.col("y.lid")) | (shorter == 0) & (F.col("x.lid") < F.col("y.lid")))
