@@ -13,7 +13,7 @@ Lines are linked by an edit distance of at most what the length of the shorter o
   Windows that overlap mostly share it, so a line of six edits has some 20 entries, not
   one for each of its 128 windows. The window that has not moved is the line's own segment;
   own segments are the index, all windows the probes;
-* counts of a few letters rule out most pairs inside the join: an edit changes them by
+* counts of eight letters rule out most pairs inside the join: an edit changes them by
   two in all at most;
 * what is left is verified: Spark's levenshtein with a threshold (a banded table) rules
   out, and bit-parallel edit distance in a band around the diagonal that ends in the
@@ -44,7 +44,7 @@ from .common import components, fresh, semi_join, stored
 EDITS = ((20, 1), (40, 2), (80, 3), (120, 4), (160, 5), (200, 6))
 Edits = int | tuple[tuple[int, int], ...]
 LARGE_WINDOW = 32  # characters of a window from which longer lines need no larger one
-LETTERS = "ean"  # the letters that are counted; any would be right, frequent ones rule out more
+LETTERS = "eantiros"  # the letters that are counted (a byte each in a long); any would be right, frequent ones rule out more
 
 
 def _bands(max_edits: Edits, min_chars: int) -> list[tuple[int, int, int]]:
@@ -113,26 +113,27 @@ def _windows(bands: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int
     return out
 
 
-def line_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
-    """Entries of lines (lid, line, chars): key, lid, chars, letters, edits and own_chars.
+def line_entries(lines: DataFrame, bands: list[tuple[int, int, int]], index: bool) -> DataFrame:
+    """Entries of lines (lid, line, chars): key, lid, chars, letters and edits.
 
-    own_chars is the length again if the entry is one of the line's own segments, else far below any length.
+    With ``index`` those of the line's own segments, else (the probes) those of all windows they can have moved to.
     """
     windows = ", ".join(
         f"named_struct('band', {n}, 'start', {start}, 'end', {end}, 'edits', {edits}, 'size', {size}, 'gram', {gram}, 'segments', {segments})"
         for n, (start, end, edits, size, gram, segments) in enumerate(_windows(bands)))
-    fits = F.filter(F.expr(f"array({windows})"), lambda w: (F.col("chars") >= w["start"]) & (F.col("chars").cast("long") < w["end"] + w["edits"].cast("long")))
+    # a probe may be longer than the lines it looks for
+    fits = F.filter(F.expr(f"array({windows})"), lambda w: (F.col("chars") >= w["start"]) & (
+        F.col("chars").cast("long") < w["end"] + (F.lit(0) if index else w["edits"]).cast("long")))
     band = lines.select("lid", "line", "chars", _letter_counts(F.col("line")).alias("letters"), F.explode(fits).alias("w"))
-    part = band.select("lid", "line", "chars", "letters", "w.band", "w.edits", "w.size", "w.gram",
-                       (F.col("chars").cast("long") < F.col("w.end")).alias("indexed"), F.explode("w.segments").alias("s"))
+    part = band.select("lid", "line", "chars", "letters", "w.band", "w.edits", "w.size", "w.gram", F.explode("w.segments").alias("s"))
     k = F.col("edits") + 1
     base, more = F.floor(F.col("chars") / k).cast("int"), F.col("chars") % k
     own = base * F.col("s.i") + F.greatest(F.lit(0), F.col("s.i") - (k - more))
     part = part.withColumn("own", own)
-    least = F.greatest(F.lit(0), F.col("own") + F.col("s.least"))
-    most = F.least(F.col("chars") - F.col("size"), F.col("own") + F.col("s.most"))
-    part = part.select("lid", "line", "chars", "letters", "band", "edits", "indexed", "size", "gram", F.col("s.i").alias("i"),
-                       (F.col("own") - least).alias("own"), least.alias("least"), (most - least).alias("moves"))
+    least = F.col("own") if index else F.greatest(F.lit(0), F.col("own") + F.col("s.least"))
+    most = F.col("own") if index else F.least(F.col("chars") - F.col("size"), F.col("own") + F.col("s.most"))
+    part = part.select("lid", "line", "chars", "letters", "band", "edits", "size", "gram", F.col("s.i").alias("i"),
+                       least.alias("least"), (most - least).alias("moves"))
     piece = F.substring(F.col("line"), F.col("least") + 1, F.col("moves") + F.col("size"))
     several = F.col("size") - F.col("gram") + 1
 
@@ -144,11 +145,11 @@ def line_entries(lines: DataFrame, bands: list[tuple[int, int, int]]) -> DataFra
     def mins(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.col("moves")), lambda t: F.array_min(F.slice(hashes, t + 1, several)))
 
-    part = part.withColumn("mins", _let(piece, lambda piece: _let(hashes(piece), mins)))
-    part = part.select("lid", "chars", "letters", "edits", "band", "i", F.when(F.col("indexed"), F.get("mins", F.col("own"))).alias("segment"),
-                       F.explode(F.array_distinct("mins")).alias("least"))
-    return part.select(F.xxhash64("least", "band", "i").alias("key"), "lid", "chars", F.col("letters").cast("int").alias("letters"), "edits",
-                       F.when(F.col("least") == F.col("segment"), F.col("chars")).otherwise(F.lit(-(1 << 30))).alias("own_chars"))
+    least = _let(piece, lambda piece: F.array_min(hashes(piece)) if index else _let(hashes(piece), mins))
+    part = part.withColumn("least", least)
+    if not index:
+        part = part.withColumn("least", F.explode(F.array_distinct("least")))
+    return part.select(F.xxhash64("least", "band", "i").alias("key"), "lid", "chars", "letters", "edits")
 
 
 def characters(text: Column) -> Column:
@@ -209,9 +210,8 @@ def similar_lines(lines: DataFrame, first: DataFrame, max_edits: Edits, min_char
     repeated = F.broadcast(first) if few else first
     one_each = (lines.join(repeated, "lid", "left")
                 .filter("first IS NULL OR (first.row = row AND first.pos = pos)").select("lid", "line", "chars"))
-    entries = line_entries(one_each, bands)
-    x, y = entries.alias("x"), entries.alias("y")  # probes, index (Spark makes them twice: the exchange is not reused)
-    shorter = F.col("x.chars") - F.col("y.own_chars")
+    x, y = line_entries(one_each, bands, False).alias("x"), line_entries(one_each, bands, True).alias("y")
+    shorter = F.col("x.chars") - F.col("y.chars")
     close = _letters_apart(F.col("x.letters"), F.col("y.letters")) <= 2 * F.col("y.edits")
     other = (shorter <= F.col("y.edits")) & ((shorter > 0) & (F.col("x.lid") != F.col("y.lid")) | (shorter == 0) & (F.col("x.lid") < F.col("y.lid")))
     pairs = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & other & close)
