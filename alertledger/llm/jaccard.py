@@ -18,7 +18,10 @@ Relations between sets keep the index short:
 * the answers of a star's members follow from the leader's: distances obey the
   triangle inequality, so two stars whose leaders are too far apart are skipped whole.
   Only stars that could still hold a link are compared member by member, a few
-  members first, until the two components meet or all pairs have been tried.
+  members first, until the two components meet or all pairs have been tried;
+* a sketch of a set has 256 bits, each the parity of the tokens that fall on it. The bits
+  in which two sketches differ are at most the tokens in which the sets differ, so pairs
+  of leaders and of members that are too far apart by their sketches are never made.
 
 Components are therefore exact, while a family of thousands of near copies costs
 about one comparison per copy. Shingles are 64-bit hashes.
@@ -42,6 +45,7 @@ from .common import components, fresh, map_batches, ship, stored
 from .hashing import shingles, word_hashes
 
 BUCKETS = 1 << 17  # of the frequency histogram
+SKETCH = 4  # words of 64 bits of a set's sketch
 FIRST_TRIES = 6  # members of a star that a set near its leader is compared with first; later, all if need be
 
 
@@ -53,6 +57,17 @@ def _sid(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words: the parity of the tokens that fall on each bit."""
+    bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _apart(x: str, y: str) -> Column:
+    """By two sketches, how many tokens their sets differ in at least."""
+    return sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(SKETCH)), F.lit(0))
+
+
 def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     """Class of every hash bucket: 0 for ordinary buckets, then by powers of two of the excess over the median."""
     ship(texts.sparkSession)
@@ -93,6 +108,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``pairs`` (a, b, ...) with ``common``: the size of the intersection of their sets, made from ``texts`` (sid, text).
 
     Texts travel, not sets: they are about half as large. Each side is joined with the texts of that side only.
+    Up to 250,000 pairs (a few numbers each) are sent to the texts of the second side, which then travel once.
     """
     own = pairs.schema
     one = texts.filter("first").select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
@@ -105,7 +121,8 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                                           names=[*(f.name for f in own), "common"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return stored(map_batches(pairs.join(two, "b").join(one, "a"), intersect, f"{schema}, common long", 250), "verified")
+    both = two.join(F.broadcast(pairs) if pairs.count() <= 250_000 else pairs, "b").join(one, "a")
+    return stored(map_batches(both, intersect, f"{schema}, common long", 250), "verified")
 
 
 def _links(verified: DataFrame, percent: int) -> DataFrame:
@@ -145,10 +162,10 @@ class _Join:
         def side(star: str, sid: str) -> DataFrame:
             return stars.filter(F.col("rank") < high).select(
                 F.col("star").alias(star), F.col("sid").alias(sid), F.col("n").alias(f"n{sid}"),
-                F.col("d").alias(f"d{sid}"), F.col("rank").alias(f"r{sid}"))
+                F.col("d").alias(f"d{sid}"), F.col("rank").alias(f"r{sid}"), F.col("sketch").alias(f"s{sid}"))
 
-        reach = (F.col("distance") - F.col("da") - F.col("db")) * (100 + self.percent) \
-            <= (F.col("na") + F.col("nb")) * (100 - self.percent)
+        least = F.greatest(F.col("distance") - F.col("da") - F.col("db"), _apart("sa", "sb"))
+        reach = least * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)
         new = (F.col("ra") >= low) | (F.col("rb") >= low)
         return (star_pairs.join(side("l", "a"), "l").join(side("k", "b"), "k")
                 .filter(reach & new & _fits(F.col("na"), F.col("nb"), self.percent)).select("a", "b", "na", "nb"))
@@ -182,16 +199,23 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     kind = df.schema[id_col].dataType.simpleString()
 
     def summarise(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sids, ns, prefixes = [], [], []
+        sids, ns, prefixes, sketches = [], [], [], []
         for s in _sets(batch["text"], size):
             order = np.lexsort((s, classes[(s >> np.uint64(47)).astype(np.int64)]))
             sids.append(_sid(s))
             ns.append(len(s))
+            sketches.append(_sketch(s))
             prefixes.append(s[order[:prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-        return pa.RecordBatch.from_arrays([batch["id"], batch["row"], pa.array(sids, pa.int64()), pa.array(ns, pa.int64()),
-                                           pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "row", "sid", "n", "prefix"])
-
-    rows = stored(map_batches(texts, summarise, f"id {kind}, row long, sid long, n long, prefix array<long>", 500), "set-rows")
+        words = [pa.array([x[i] for x in sketches], pa.int64()) for i in range(SKETCH)]
+        return pa.RecordBatch.from_arrays(
+            [batch["id"], batch["row"], pa.array(sids, pa.int64()), pa.array(ns, pa.int64()),
+             pa.array(prefixes, pa.list_(pa.int64())), pa.StructArray.from_arrays(words, [f"w{i}" for i in range(SKETCH)])],
+            names=["id", "row", "sid", "n", "prefix", "sketch"])
+
+    words = ", ".join(f"w{i}: long" for i in range(SKETCH))
+    rows = stored(map_batches(texts, summarise, f"id {kind}, row long, sid long, n long, prefix array<long>, sketch struct<{words}>",
+                              500), "set-rows")
+    sets = stored(rows.filter("n > 0").select("sid", "n", "sketch").dropDuplicates(["sid"]), "sets")
     join = _Join(texts, rows.select("row", "sid"), size, percent)
 
     entries = rows.filter("n > 0").select("sid", "n", F.posexplode("prefix").alias("p", "token"))
@@ -209,14 +233,18 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     worth = (F.col("votes") * 4 * 100 >= F.col("na") * (100 - percent)) & _fits(F.col("na"), F.col("nb"), percent)
     best = (votes.filter(worth).groupBy("a").agg(F.max(F.struct("votes", "b", "na", "nb")).alias("x"))
             .select("a", "x.b", "x.na", "x.nb"))
+    # beyond twice the distance of a link a leader's star hardly holds one; if it does, the lists of stars find it
+    best = best.join(sets.select(F.col("sid").alias("a"), F.col("sketch").alias("sa")), "a") \
+        .join(sets.select(F.col("sid").alias("b"), F.col("sketch").alias("sb")), "b") \
+        .filter(_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent) * 2).drop("sa", "sb")
     best = stored(best, "best-leaders")
     led = verify(best, join.texts_of(best), size).withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("common"))
     led = led.withColumn("linked", F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
     # a star: a leader and the sets that are linked to it; every other set is a star of its own
     member = led.filter("linked").select(F.col("a").alias("sid"), F.col("b").alias("star"), "d")
-    known = index.select("sid", "n").distinct()
+    known = index.select("sid").distinct().join(sets, "sid")
     stars = (known.join(member, "sid", "left")
-             .select("sid", "n", F.coalesce("star", "sid").alias("star"), F.coalesce("d", F.lit(0)).alias("d")))
+             .select("sid", "n", "sketch", F.coalesce("star", "sid").alias("star"), F.coalesce("d", F.lit(0)).alias("d")))
     star_size = stars.groupBy("star").agg(F.count("*").alias("members"), F.max("d").alias("radius"),
                                           F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     star_size = stored(star_size, "star-sizes")
@@ -253,10 +281,11 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     met = (met.join(of_star.select(*(F.col(c).alias(f"{c}_x") for c in of_star.columns)), F.col("a") == F.col("star_x"))
            .join(of_star.select(*(F.col(c).alias(f"{c}_y") for c in of_star.columns)), F.col("b") == F.col("star_y"))
            .drop("star_x", "star_y"))
-    leader_n = rows.select("sid", "n").distinct()
-    met = (met.join(leader_n.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a")
-           .join(leader_n.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b"))
-    met = stored(met, "star-pairs")
+    met = (met.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+           .join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"))
+    far = (_apart("sa", "sb") - F.col("radius_x") - F.col("radius_y")) * (100 + percent) \
+        > (F.col("n_max_x") + F.col("n_max_y")) * (100 - percent)
+    met = stored(met.filter(~far).drop("sa", "sb"), "star-pairs")
     if not met.isEmpty():
         met = verify(met, join.texts_of(met), size)
         found = _links(met, percent)
