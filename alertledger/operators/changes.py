@@ -2,21 +2,26 @@
 
 Keys are one column or several, and NULL is a key value like any other (a
 merchant without VPA). ``change_feed`` keeps one row per key on each side, then
-joins the two sides on the keys; the window and the join ask for the same hash
-partitioning, so Spark plans one exchange per side, not two.
+joins the two sides on the keys. The NULL-safe join hashes other expressions
+than the window, so Spark plans two exchanges per side. Of sides that are stored
+bucketed by one key (``stored``) the rows with a key meet by plain equality: the
+window and the join use the buckets, and only rows without a key are shuffled.
 
 A mirror keeps the commit version of each row's last change, and deleted rows
 as markers. A change is taken only if its version is newer than what the mirror
 has for the key, so a feed may be replayed, or arrive late or out of order.
-``visible`` is what readers of the mirror see.
+``visible`` is what readers of the mirror see. A mirror kept bucketed by its key
+(``store_mirror``, ``refresh_mirror``) is read as it is stored, so a refresh
+shuffles the feed only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.store import LayerStore
 from .upsert import row_hash
 
 CHANGE = "_change_type"   # insert | update | delete
@@ -34,17 +39,27 @@ def _one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def change_feed(before: DataFrame, after: DataFrame, key: str | Sequence[str] = "id",
-                compare: Sequence[str] | None = None, version: int = 1) -> DataFrame:
+                compare: Sequence[str] | None = None, version: int = 1, stored: bool = False) -> DataFrame:
     """Insert / update / delete rows turning ``before`` into ``after``.
 
     Insert and update rows carry the after image, delete rows the before
     image; unchanged rows are not emitted. Equality is NULL-safe per column.
+    ``stored``: both sides are read bucketed by ``key``, into the same number of buckets.
     """
+    if stored:
+        keyed, keyless = ([side.filter(cond) for side in (before, after)] for cond in (F.col(key).isNotNull(), F.col(key).isNull()))
+        return (_feed(*keyed, key, compare, version, Column.__eq__)
+                .unionByName(_feed(*keyless, key, compare, version, Column.eqNullSafe)))
+    return _feed(before, after, key, compare, version, Column.eqNullSafe)
+
+
+def _feed(before: DataFrame, after: DataFrame, key: str | Sequence[str], compare: Sequence[str] | None, version: int,
+          equal: Callable[[Column, Column], Column]) -> DataFrame:
     cols, keys = after.columns, _keys(key)
     compare = [c for c in (compare or cols) if c not in keys]
     b = _one_per_key(before.select(*cols), keys).withColumn("_there", F.lit(True)).alias("b")
     a = _one_per_key(after.select(*cols), keys).withColumn("_there", F.lit(True)).alias("a")
-    match = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in keys]
+    match = [equal(F.col(f"b.`{k}`"), F.col(f"a.`{k}`")) for k in keys]
     joined = b.join(a, match, "full_outer")
     in_b, in_a = F.col("b._there").isNotNull(), F.col("a._there").isNotNull()
     same = F.lit(True)
@@ -73,6 +88,37 @@ def replay(mirror: DataFrame, feed: DataFrame, key: str | Sequence[str] = "id")
             .select(*mirror.columns))
 
 
+def replay_stored(mirror: DataFrame, feed: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``replay`` into a mirror that is read bucketed by ``key``: the feed is hashed into its ``buckets``, the mirror stays."""
+    keyed, keyless = F.col(key).isNotNull(), F.col(key).isNull()
+    changes = feed.filter(keyed).repartition(buckets, key).withColumn(DELETED, F.col(CHANGE) == "delete").select(*mirror.columns)
+    last = Window.partitionBy(key).orderBy(F.col(SEQ).desc(), F.col(DELETED).asc())
+    m, c = (side.withColumn("_there", F.row_number().over(last)).filter(F.col("_there") == 1).alias(name)
+            for side, name in ((mirror.filter(keyed), "m"), (changes, "c")))
+    newer = F.col("m._there").isNull() | F.coalesce(F.col(f"c.{SEQ}") > F.col(f"m.{SEQ}"), F.lit(False))
+    replayed = m.join(c, F.col(f"m.`{key}`") == F.col(f"c.`{key}`"), "full_outer").select(
+        *(F.when(newer, F.col(f"c.`{x}`")).otherwise(F.col(f"m.`{x}`")).alias(x) for x in mirror.columns))
+    return replayed.unionByName(replay(mirror.filter(keyless), feed.filter(keyless), key))
+
+
+ROWS_PER_BUCKET = 250_000  # a bucket is sorted in one task's memory
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets for a layer of so many rows: as many more as the layer is larger."""
+    return max(8, -(-rows.count() // ROWS_PER_BUCKET))
+
+
+def store_mirror(store: LayerStore, name: str, snapshot: DataFrame, key: str, buckets: int) -> None:
+    """Commit a mirror that starts as ``snapshot``, bucketed by ``key``."""
+    store.write_bucketed(mirror_of(snapshot), name, key, buckets)
+
+
+def refresh_mirror(store: LayerStore, name: str, feed: DataFrame, key: str, buckets: int, tag: str | None = None) -> None:
+    """S8 on a mirror stored by ``store_mirror``: the next version, after ``feed``."""
+    store.write_bucketed(replay_stored(store.read_bucketed(name, key, buckets), feed, key, buckets), name, key, buckets, tag=tag)
+
+
 def visible(mirror: DataFrame) -> DataFrame:
     return mirror.filter(~F.col(DELETED)).drop(SEQ, DELETED)
 

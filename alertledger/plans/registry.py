@@ -487,6 +487,15 @@ def _pair(spark, sf_dir):
     return conform(before, SILVER), conform(after, SILVER)
 
 
+def _bucketed_pair(spark, sf_dir, store):
+    """``_pair`` over the ledger committed bucketed by id, and its buckets: every feed and mirror of it is read by them."""
+    ledger = conform(_ledger(spark, sf_dir), SILVER)
+    buckets = changes.bucket_count(ledger)
+    store.write_bucketed(ledger.repartition(buckets, "id"), "ledger", "id", buckets)
+    before, after = fx.change_pair(spark, sf_dir, store.read_bucketed("ledger", "id", buckets))
+    return conform(before, SILVER), conform(after, SILVER), buckets
+
+
 def q_change_feed(spark, sf_dir):
     before, after = _pair(spark, sf_dir)
     return changes.change_feed(before, after, "id")
@@ -508,9 +517,8 @@ def q_mirror_apply(spark, sf_dir):
     return changes.apply_changes(before, changes.change_feed(before, after, "id"), "id")
 
 
-def _three_commits(spark, sf_dir):
+def _three_commits(before, after):
     """The ledger at three commits: changed and deleted rows, then rows that move to another day and merchant."""
-    before, after = _pair(spark, sf_dir)
     n = F.substring_index("id", "-", -1).cast("long")
     moved = n % 10 == 3
     last = (after.filter(n % 10 != 4)
@@ -521,7 +529,7 @@ def _three_commits(spark, sf_dir):
 
 def _mirror(spark, sf_dir, view, key):
     """A mirror of ``view(ledger)`` fed with two commits, the first of them delivered again at the end."""
-    states = [view(x) for x in _three_commits(spark, sf_dir)]
+    states = [view(x) for x in _three_commits(*_pair(spark, sf_dir))]
     feeds = [changes.change_feed(states[i], states[i + 1], key, version=i + 1) for i in range(2)]
     store = LayerStore(spark, scratch_dir(spark, "mirror"))
     store.write(changes.mirror_of(states[0]), "mirror")
@@ -531,7 +539,15 @@ def _mirror(spark, sf_dir, view, key):
 
 
 def q_mirror_silver(spark, sf_dir):
-    return _mirror(spark, sf_dir, lambda silver: silver, "id")
+    """The mirror of the ledger itself, stored by id as the ledger is; feeds and commits as in ``_mirror``."""
+    store = LayerStore(spark, scratch_dir(spark, "mirror"))
+    before, after, buckets = _bucketed_pair(spark, sf_dir, store)
+    states = _three_commits(before, after)
+    feeds = [changes.change_feed(states[i], states[i + 1], "id", version=i + 1, stored=True) for i in range(2)]
+    changes.store_mirror(store, "mirror", states[0], "id", buckets)
+    for feed in (*feeds, feeds[0]):
+        changes.refresh_mirror(store, "mirror", feed, "id", buckets)
+    return changes.visible(store.read("mirror"))
 
 
 def q_mirror_gold_daily(spark, sf_dir):

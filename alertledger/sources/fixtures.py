@@ -235,9 +235,9 @@ def runs_from_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def change_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(before, after) versions of the ledger for change-feed tests (FIXTURES §6)."""
-    ledger = ledger_orders(spark, sf_dir)
+def change_pair(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(before, after) versions of the ledger for change-feed tests (FIXTURES §6); ``ledger``: as it is stored, if it is."""
+    ledger = ledger_orders(spark, sf_dir) if ledger is None else ledger
     n = F.substring_index(F.col("id"), "-", -1).cast("long") % 10
     before = ledger.filter(n != 0)
     after = ledger.filter(n != 1).withColumn(

@@ -268,41 +268,42 @@ def run_events_dedup_stream(spark: SparkSession, sf_dir: str, splits: int = 4) -
 
 
 # ----------------------------------------------------------------- T7: mirror refresh
-def mirror_fn(store: LayerStore, name: str, key: str) -> BatchFn:
+def mirror_fn(store: LayerStore, name: str, key: str, buckets: int) -> BatchFn:
+    """Refresh the mirror ``name``, which ``changes.store_mirror`` stored into ``buckets`` by ``key``."""
     def process(batch: DataFrame, tag: str) -> None:
         if store.has_tag(name, tag):
             return
-        store.write(changes.replay(store.read(name), batch, key), name, tag=tag)
+        changes.refresh_mirror(store, name, batch, key, buckets, tag=tag)
     return process
 
 
 def run_mirror_stream(spark: SparkSession, sf_dir: str, splits: int = 2) -> DataFrame:
     """A serving copy of ``before`` follows the change feed to ``after``."""
-    from ..plans.registry import _pair
+    from ..plans.registry import _bucketed_pair
     configure(spark)
     root = scratch_dir(spark, "mirror")
     store = LayerStore(spark, f"{root}/layers")
-    before, after = _pair(spark, sf_dir)
-    store.write(changes.mirror_of(before), "mirror")
-    feed = changes.change_feed(before, after, "id")
+    before, after, buckets = _bucketed_pair(spark, sf_dir, store)
+    changes.store_mirror(store, "mirror", before, "id", buckets)
+    feed = changes.change_feed(before, after, "id", stored=True)
     bucket = F.pmod(F.xxhash64("id"), F.lit(splits))
     arrivals = [feed.filter(bucket == i) for i in range(splits)]
-    feed_in_arrivals(spark, root, arrivals, feed.schema, mirror_fn(store, "mirror", "id"))
+    feed_in_arrivals(spark, root, arrivals, feed.schema, mirror_fn(store, "mirror", "id", buckets))
     return changes.visible(store.read("mirror"))
 
 
 def run_mirror_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed of the second commit arrives first, the first one's late, and the second's once more."""
-    from ..plans.registry import _pair
+    from ..plans.registry import _bucketed_pair
     configure(spark)
     root = scratch_dir(spark, "mirror-late")
     store = LayerStore(spark, f"{root}/layers")
-    before, after = _pair(spark, sf_dir)
+    before, after, buckets = _bucketed_pair(spark, sf_dir, store)
     middle = after.withColumn("amount", (F.col("amount") + 5).cast("decimal(18,2)"))
-    store.write(changes.mirror_of(before), "mirror")
-    one = changes.change_feed(before, middle, "id", version=1)
-    two = changes.change_feed(middle, after, "id", version=2)
-    feed_in_arrivals(spark, root, [two, one, two], one.schema, mirror_fn(store, "mirror", "id"))
+    changes.store_mirror(store, "mirror", before, "id", buckets)
+    one = changes.change_feed(before, middle, "id", version=1, stored=True)
+    two = changes.change_feed(middle, after, "id", version=2, stored=True)
+    feed_in_arrivals(spark, root, [two, one, two], one.schema, mirror_fn(store, "mirror", "id", buckets))
     return changes.visible(store.read("mirror"))
 
 
