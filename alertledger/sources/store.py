@@ -100,8 +100,8 @@ class LayerStore:
         raise FileNotFoundError(f"layer {name!r} has no commit tagged {tag!r}")
 
     def write(self, df: DataFrame, name: str, tag: str | None = None,
-              partition_by: list[str] | None = None, sort_within=None) -> int:
-        """Full-refresh commit of ``df`` as the next version; returns its number.
+              partition_by: list[str] | None = None, sort_within=None, options: dict[str, str] | None = None) -> int:
+        """Full-refresh commit of ``df`` as the next version; returns its number. ``options``: of the parquet writer.
 
         ``sort_within`` orders rows inside each output file (no global sort,
         so no range shuffle); readers that need an order sort on read.
@@ -112,7 +112,7 @@ class LayerStore:
             df = df.sortWithinPartitions(*sort_within)
         nxt = self._next(name)
         folder = f"v={nxt:06d}" + (f"-t={tag}" if tag is not None else "")
-        writer = df.write.mode("errorifexists")
+        writer = df.write.mode("errorifexists").options(**(options or {}))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/{name}/{folder}")

@@ -39,6 +39,17 @@ def test_page_equals_offset_and_reads_few_parts(spark, index, page):
     assert len(store.read("ledger_pages_parts").collect()) >= 10
 
 
+@pytest.mark.parametrize("page", [0, 7, 31, 59])
+def test_folders_follow_the_rows_not_the_parts(spark, page):
+    ledger = fx.ledger_orders(spark, SF_SMALL)
+    store = LayerStore(spark, scratch_dir(spark, "t-small-parts"))
+    paging.build_page_index(ledger, store, rows_per_part=3)  # 500 parts
+    folders = store.read("ledger_pages_parts").collect()
+    assert len(folders) <= paging.MIN_FOLDERS and sum(r["rows"] for r in folders) == ledger.count()
+    deep = paging.indexed_page(store, page, 25, paging.page_schema(ledger))
+    assert [tuple(r) for r in deep.collect()] == [tuple(r) for r in ledger_page(ledger, page, 25).collect()]
+
+
 def test_backlog_is_worked_off_in_bounded_batches(spark):
     store = progress.run_counted_events(spark, SF_SMALL, splits=3)
     events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
