@@ -40,24 +40,28 @@ def _bronze(spark: SparkSession, sf_dir: str, alerts: DataFrame | None = None) -
     return to_bronze(a, "landing", fx.ntz(fx.BRONZE_NOW))
 
 
-PARSE_PARTITIONS = 16  # tasks of the parse in the registered queries and the bench; a cluster's own jobs name theirs
+PARSE_PARTITIONS = 16  # least tasks of the parse in the registered queries, and those of the bench; a cluster's own jobs name theirs
+
+
+def _parse_tasks(spark: SparkSession, sf_dir: str) -> int:
+    return fx.tasks_for_orders(spark, sf_dir, PARSE_PARTITIONS)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW), PARSE_PARTITIONS)
+    return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW), _parse_tasks(spark, sf_dir))
 
 
-def _committed(spark: SparkSession, bronze: DataFrame, now: str) -> DataFrame:
+def _committed(spark: SparkSession, bronze: DataFrame, now: str, tasks: int = PARSE_PARTITIONS) -> DataFrame:
     """The flagged parse of ``bronze``, written once as a layer and read back: splits, dates and counts read
     only the columns they need, and no filter runs a pattern again."""
     store = LayerStore(spark, scratch_dir(spark, "parsed"))
-    parsed = flagged(parse_alerts(bronze, fx.ntz(now), PARSE_PARTITIONS))
+    parsed = flagged(parse_alerts(bronze, fx.ntz(now), tasks))
     store.write(parsed, "parsed", partition_by=[DQ])
     return store.read("parsed", schema=parsed.schema)
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _committed(spark, _bronze(spark, sf_dir), fx.SILVER_NOW)
+    return _committed(spark, _bronze(spark, sf_dir), fx.SILVER_NOW, _parse_tasks(spark, sf_dir))
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +70,7 @@ def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     bronze = _bronze(spark, sf_dir)
-    parsed = _committed(spark, bronze, fx.SILVER_NOW)
+    parsed = _committed(spark, bronze, fx.SILVER_NOW, _parse_tasks(spark, sf_dir))
     clean, quarantine = clean_rows(parsed), quarantine_rows(parsed)
     silver = upsert(None, to_silver(clean))
     return {"bronze": bronze, "parsed": parsed, "silver_clean": clean, "silver_quarantine": quarantine,
@@ -86,7 +90,7 @@ def _runs(spark: SparkSession, sf_dir: str, split: int) -> DataFrame:
 
 def _silver_run(spark: SparkSession, sf_dir: str, split: int, now: str) -> DataFrame:
     bronze = _bronze(spark, sf_dir, _runs(spark, sf_dir, split))
-    return to_silver(clean_rows(_committed(spark, bronze, now)))
+    return to_silver(clean_rows(_committed(spark, bronze, now, _parse_tasks(spark, sf_dir))))
 
 
 # ----------------------------------------------------------------- sources / parser
@@ -154,10 +158,11 @@ def q_upsert_newer_wins(spark, sf_dir):
 
 def q_upsert_bucketed(spark, sf_dir):
     """J2 on bucketed silver: run 0 committed bucketed by id, then run 1 merged (batch-only shuffle)."""
+    buckets = fx.tasks_for_orders(spark, sf_dir, 8)
     store = LayerStore(spark, scratch_dir(spark, "upsert-bucketed"))
-    store.write_bucketed(upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW)), "silver", "id", 8)
-    target = store.read_bucketed("silver", "id", 8)
-    return upsert_bucketed(target, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2), 8)
+    store.write_bucketed(upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW)), "silver", "id", buckets)
+    target = store.read_bucketed("silver", "id", buckets)
+    return upsert_bucketed(target, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2), buckets)
 
 
 def q_upsert_older_kept(spark, sf_dir):

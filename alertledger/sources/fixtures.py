@@ -36,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ORDERS_PER_TASK = 250_000
+
+
+def tasks_for_orders(spark: SparkSession, sf_dir: str, at_least: int, ways: int = 1) -> int:
+    """Tasks (or buckets) for one of ``ways`` shares of the orders: ``at_least`` so many, and more as the orders grow.
+    The count comes from the footers of the files."""
+    return max(at_least, -(-table(spark, sf_dir, "orders").count() // (ORDERS_PER_TASK * ways)))
+
+
 def _hours(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), n.cast("int"))
 

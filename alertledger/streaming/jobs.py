@@ -35,7 +35,7 @@ from ..plans.medallion import commit_silver, silver_target
 from ..sources.store import LayerStore
 
 BatchFn = Callable[[DataFrame, str], None]  # rows of a micro-batch, tag of the batch
-PARSE_PARTITIONS = 16  # of the registered streams
+PARSE_PARTITIONS = 16  # of the registered streams, at least
 
 
 # ----------------------------------------------------------------- generic runner
@@ -155,6 +155,9 @@ def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4, silver_b
     """The alerts arrive in ``splits`` parts; silver is kept bucketed by id, so each micro-batch shuffles only
     itself, or ``by_month``, so each rewrites only the months it touches."""
     configure(spark)
+    parse_tasks = fx.tasks_for_orders(spark, sf_dir, PARSE_PARTITIONS, splits)
+    if silver_buckets is not None:  # so many at least: a bucket is one task of each micro-batch
+        silver_buckets = fx.tasks_for_orders(spark, sf_dir, silver_buckets)
     root = scratch_dir(spark, "alert-stream")
     store = LayerStore(spark, f"{root}/layers")
     alerts = fx.alerts_from_orders(spark, sf_dir, keep_parts=True)
@@ -166,7 +169,7 @@ def run_alert_stream(spark: SparkSession, sf_dir: str, splits: int = 4, silver_b
     arrivals = [sent.filter(F.col("_arrival") == i).select(*landing_cols) for i in range(splits)]
     feed_in_arrivals(spark, root, arrivals, schema,
                      alert_batch_fn(store, bronze_now=fx.ntz(fx.BRONZE_NOW), silver_now=fx.ntz(fx.SILVER_NOW),
-                                    silver_buckets=silver_buckets, parse_partitions=PARSE_PARTITIONS,
+                                    silver_buckets=silver_buckets, parse_partitions=parse_tasks,
                                     months=MonthlySilver(spark, f"{root}/silver") if by_month else None))
     return store
 
