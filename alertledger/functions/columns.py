@@ -18,11 +18,21 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def joined_text(*parts: str | Column) -> Column:
+    """The text columns (default body, snippet, subject), each NULL as '', one space between them."""
+    return F.array_join(F.array(*(F.ifnull(col_(c), F.lit("")) for c in parts or P.TEXT_COLUMNS)), " ")
+
+
+def single_spaces(text: str | Column) -> Column:
+    """Every run of white space as one space. A text whose white space is all single spaces is left as it is,
+    without replacing each of them by itself. Keep ``text`` a column of an earlier projection: it is used twice."""
+    t = col_(text)
+    return F.when(t.rlike(P.OTHER_SPACE), F.regexp_replace(t, P.WHITE_SPACE, " ")).otherwise(t)
+
+
 def normalised_text(*parts: str | Column) -> Column:
-    """The text columns (default body, snippet, subject), each NULL as '', one space between them,
-    every run of white space one space."""
-    texts = [F.ifnull(col_(c), F.lit("")) for c in parts or P.TEXT_COLUMNS]
-    return F.regexp_replace(F.array_join(F.array(*texts), " "), P.WHITE_SPACE, " ")
+    """The joined text columns, every run of white space one space."""
+    return F.regexp_replace(joined_text(*parts), P.WHITE_SPACE, " ")
 
 
 # Literal pre-filters for the *normalised* text. A pattern can only match text

@@ -8,6 +8,7 @@ to the whitespace-normalised text, first match wins, "no match" is NULL.
 # --- fixed values: the text that is parsed -----------------------------------
 TEXT_COLUMNS = ("body", "snippet", "subject")
 WHITE_SPACE = r"[\s]+"
+OTHER_SPACE = r"  |[\t-\r]"  # white space that WHITE_SPACE would change: two spaces, or any that is no space
 
 # --- fixed values: extraction patterns (group 1 is the value) ---------------
 AMOUNT_ANCHORED = r"(?i)(?:debited|withdrawal for|spent|purchase of)\s+Rs\.?\s*([0-9,]+\.?[0-9]*)"

@@ -160,7 +160,8 @@ def q_upsert_bucketed(spark, sf_dir):
     """J2 on bucketed silver: run 0 committed bucketed by id, then run 1 merged (batch-only shuffle)."""
     buckets = fx.tasks_for_orders(spark, sf_dir, 8)
     store = LayerStore(spark, scratch_dir(spark, "upsert-bucketed"))
-    store.write_bucketed(upsert(None, _silver_run(spark, sf_dir, 0, fx.SILVER_NOW)), "silver", "id", buckets)
+    first = _silver_run(spark, sf_dir, 0, fx.SILVER_NOW).repartition(buckets, "id")  # so each task writes one bucket
+    store.write_bucketed(upsert(None, first), "silver", "id", buckets)
     target = store.read_bucketed("silver", "id", buckets)
     return upsert_bucketed(target, _silver_run(spark, sf_dir, 1, fx.SILVER_NOW_2), buckets)
 

@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ORDERS_PER_TASK = 250_000
+ORDERS_PER_TASK = 50_000
+TEXT_TASKS = 16  # least tasks that build the texts of the alerts
 
 
 def tasks_for_orders(spark: SparkSession, sf_dir: str, at_least: int, ways: int = 1) -> int:
@@ -55,7 +56,11 @@ def _mod(c: str, n: int) -> Column:
 
 # --------------------------------------------------------------------------- §2
 def _alert_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders ⋈ customer plus one resend row for every 7th order (r = 1)."""
+    """orders ⋈ customer plus one resend row for every 7th order (r = 1).
+
+    The rows are dealt over as many tasks as the orders ask for while they are numbers: files of orders can be few
+    and long, and the texts made of a row cost far more than the row.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
     base = orders.join(customer, "o_custkey")
@@ -75,7 +80,7 @@ def _alert_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (ck % 4 + 1).cast("int")).alias("city"),
         local.alias("local"),
         F.abs(F.col("c_acctbal")).cast(MONEY).alias("bal"),
-    )
+    ).repartition(tasks_for_orders(spark, sf_dir, TEXT_TASKS))
 
 
 def _two(c: Column) -> Column:
