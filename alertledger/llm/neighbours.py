@@ -128,18 +128,23 @@ def _start(nodes: DataFrame, dim: int, tree: int, degree: int, block: int) -> Da
             .mapInArrow(cut, "a long, b long, d double"))
 
 
-def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` nearest distinct neighbours of each node."""
+def _closest(edges: DataFrame, degree: int) -> DataFrame:
+    """The ``degree`` nearest neighbours of each node; ``edges`` holds a pair once."""
     order = Window.partitionBy("a").orderBy("d", "b")
-    edges = edges.groupBy("a", "b").agg(F.min("d").alias("d"))
     return edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= degree).drop("n")
 
 
+def _nearest(edges: DataFrame, degree: int) -> DataFrame:
+    """The ``degree`` nearest distinct neighbours of each node; ``old`` (of a pair in the graph before) stays, if it is there."""
+    old = [F.max("old").alias("old")] if "old" in edges.columns else []
+    return _closest(edges.groupBy("a", "b").agg(F.min("d").alias("d"), *old), degree)
+
+
 def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
     """Pairs (a, b, d) that meet at a node and are nearer than what one of them has."""
     ship(nodes.sparkSession)
     far = graph.groupBy("a").agg(F.max("d").alias("far")).withColumnRenamed("a", "u")
-    back = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), degree)
+    back = _closest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), degree)
     meet = graph.select("a", F.col("b").alias("u")).union(back.select("a", F.col("b").alias("u"))).distinct()
     full = nodes.join(far, nodes["node"] == far["u"]).select("u", "code", "far")
 
@@ -162,8 +167,7 @@ def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
                                              names=["a", "b", "d"])
 
     gathered = meet.join(full, "u").select("a", "u", "code", "far")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return gathered.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(pairs, "a long, b long, d double")
+    return gathered.repartition("a").sortWithinPartitions("a").mapInArrow(pairs, "a long, b long, d double")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, max_rounds: int = MAX_ROUNDS,
@@ -176,9 +180,10 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, max_
             first = first.union(part)
     graph = stored(_nearest(first, degree), "graph")
     for _ in range(max_rounds):
-        better = stored(_nearest(graph.union(_descend(nodes, graph, degree)), degree), "graph")
-        changed = better.join(graph, ["a", "b"], "left_anti").count()
-        graph = better
+        met = _descend(nodes, graph, degree).withColumn("old", F.lit(False))
+        better = stored(_nearest(graph.withColumn("old", F.lit(True)).union(met), degree), "graph")
+        changed = better.filter("NOT old").count()  # pairs that the graph before did not have
+        graph = better.drop("old")
         if changed <= SETTLED * graph.count():
             return graph
     raise RuntimeError(f"the neighbour graph did not settle in {max_rounds} rounds: {changed} neighbours changed in the last")
@@ -199,7 +204,7 @@ def _measure(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
     """q, b, d: the ``beam`` nearest nodes found for each query node (column ``q``)."""
-    back = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), DEGREE)
+    back = _closest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), DEGREE)
     edges = stored(graph.select("a", "b").union(back.select("a", "b")).distinct(), "edges")
     order = Window.partitionBy("q").orderBy("d", "b")
     entered = edges.join(queries, edges["a"] == queries["q"]).select("q", "b")

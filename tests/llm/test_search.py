@@ -107,3 +107,20 @@ def test_descent_is_exercised_and_settles(spark):
 
 def test_depth_follows_the_size():
     assert [tree_depth(n, 1024) for n in (0, 5, 1024, 2048, 10**6, 10**7)] == [0, 0, 0, 1, 10, 14]
+
+
+def test_a_round_counts_its_changes_without_a_join_of_the_graphs(spark, monkeypatch):
+    """Before, the new graph was joined with the old one: a row for each changed pair, far more among near copies."""
+    how = []
+    join = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, *a, **k: (how.append((a[1:] or ("inner",))[0]), join(self, other, *a, **k))[1])
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    nodes = spark.createDataFrame([(i, 4, v.tobytes(), bytes(_rounded(v[None])[0])) for i, v in enumerate(x)],
+                                  "node long, dim int, v binary, code binary")
+    graph = build_graph(nodes, degree=16, trees=2, block=64)
+    assert how and set(how) == {"inner"}
+    assert graph.columns == ["a", "b", "d"] and graph.groupBy("a", "b").count().filter("count > 1").isEmpty()
+    near = {(r["a"], r["b"]) for r in graph.collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag([np.inf] * 300)
+    true = {(i, int(j)) for i in range(300) for j in np.argsort(d[i])[:16]}
+    assert len(near & true) >= 0.9 * len(true)
