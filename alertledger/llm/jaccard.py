@@ -130,6 +130,13 @@ def _links(verified: DataFrame, percent: int) -> DataFrame:
     return verified.filter(linked).select("a", "b")
 
 
+def _side(stars: DataFrame, high: int, star: str, sid: str) -> DataFrame:
+    """The first ``high`` members of each star, by the names of one side of a pair."""
+    return stars.filter(F.col("rank") < high).select(
+        F.col("star").alias(star), F.col("sid").alias(sid), F.col("n").alias(f"n{sid}"),
+        F.col("d").alias(f"d{sid}"), F.col("rank").alias(f"r{sid}"), F.col("sketch").alias(f"s{sid}"))
+
+
 class _Join:
     """The state of one join: sets, stars and links so far."""
 
@@ -156,26 +163,34 @@ class _Join:
         comp = self.comp.select(F.col("node").alias(sid), F.col("component").alias(name))
         return df.join(comp, sid, "left").withColumn(name, F.coalesce(name, sid))
 
-    def member_pairs(self, star_pairs: DataFrame, stars: DataFrame, low: int, high: int) -> DataFrame:
+    def star_members(self, star_pairs: DataFrame, stars: DataFrame, heads: DataFrame, high: int) -> DataFrame:
+        """``star_pairs`` (l, k, distance) with those of the first ``high`` members a of l that could link with one of k.
+
+        What the leader of k and the radius of k rule out is a condition of the join, so a large star makes rows only for
+        members that are near enough, however many sets lie around it."""
+        other = heads.select(F.col("star").alias("k"), F.col("radius").alias("rk"), F.col("n_min").alias("n0k"),
+                             F.col("n_max").alias("n1k"), F.col("sketch").alias("sk"))
+        least = F.greatest(F.col("distance") - F.col("da"), _apart("sa", "sk")) - F.col("rk")
+        reach = least * (100 + self.percent) <= (F.col("na") + F.col("n1k")) * (100 - self.percent)
+        fits = (F.col("na") * 100 >= F.col("n0k") * self.percent) & (F.col("n1k") * 100 >= F.col("na") * self.percent)
+        return (star_pairs.join(other, "k").join(_side(stars, high, "l", "a"), "l").filter(reach & fits)
+                .drop("rk", "n0k", "n1k", "sk"))
+
+    def member_pairs(self, star_pairs: DataFrame, stars: DataFrame, heads: DataFrame, low: int, high: int) -> DataFrame:
         """Pairs (a, b, na, nb) of the first ``high`` members a side of pairs of stars (l, k, distance), without
         those among the first ``low``, and without those that the triangle inequality rules out."""
-        def side(star: str, sid: str) -> DataFrame:
-            return stars.filter(F.col("rank") < high).select(
-                F.col("star").alias(star), F.col("sid").alias(sid), F.col("n").alias(f"n{sid}"),
-                F.col("d").alias(f"d{sid}"), F.col("rank").alias(f"r{sid}"), F.col("sketch").alias(f"s{sid}"))
-
         least = F.greatest(F.col("distance") - F.col("da") - F.col("db"), _apart("sa", "sb"))
         reach = least * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)
         new = (F.col("ra") >= low) | (F.col("rb") >= low)
-        return (star_pairs.join(side("l", "a"), "l").join(side("k", "b"), "k")
+        return (self.star_members(star_pairs, stars, heads, high).join(_side(stars, high, "k", "b"), "k")
                 .filter(reach & new & _fits(F.col("na"), F.col("nb"), self.percent)).select("a", "b", "na", "nb"))
 
-    def compare_members(self, star_pairs: DataFrame, stars: DataFrame) -> None:
+    def compare_members(self, star_pairs: DataFrame, stars: DataFrame, heads: DataFrame) -> None:
         """Compare members of pairs of stars (l, k, distance) until their components meet or all have been tried."""
         largest = stars.agg(F.max("members")).first()[0] or 0
         low, high, left = 0, FIRST_TRIES, star_pairs
         while True:
-            tries = stored(self.member_pairs(left, stars, low, high), "tries")
+            tries = stored(self.member_pairs(left, stars, heads, low, high), "tries")
             if not tries.isEmpty():
                 found = _links(verify(tries, self.texts_of(tries), self.size), self.percent)
                 if not found.isEmpty():
@@ -250,9 +265,10 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
     star_size = stored(star_size, "star-sizes")
     rank = F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
     stars = stored(stars.join(star_size.select("star", "members"), "star").withColumn("rank", rank), "stars")
+    heads = stored(star_size.join(sets.select(F.col("sid").alias("star"), "sketch"), "star"), "star-heads")
     # a set that is not similar to its best leader may be to some of the leader's star: a few are tried now
     near = led.filter("NOT linked").select(F.col("b").alias("l"), F.col("a").alias("k"), F.col("d").alias("distance"))
-    tries = stored(join.member_pairs(near, stars, 0, FIRST_TRIES), "tries")
+    tries = stored(join.member_pairs(near, stars, heads, 0, FIRST_TRIES), "tries")
     tried = verify(tries, join.texts_of(tries), size)
     join.add(led.filter("linked").select("a", "b").union(_links(tried, percent)))
 
@@ -299,7 +315,7 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
         open_ = join.with_component(join.with_component(open_, "l", "cl"), "k", "ck").filter("cl <> ck").drop("cl", "ck")
         open_ = stored(open_, "open-stars")
         if not open_.isEmpty():
-            join.compare_members(open_, stars)
+            join.compare_members(open_, stars, heads)
 
     first = stored(join.with_component(rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("first")), "sid", "comp"), "first")
     smallest = first.groupBy("comp").agg(F.min("first").alias("component_id"))

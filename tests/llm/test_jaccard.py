@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
-from alertledger.llm.jaccard import link_components, one_of_each
+import numpy as np
+from pyspark.sql import functions as F
+
+from alertledger.llm.jaccard import _Join, _sketch, link_components, one_of_each
 
 
 def brute(rows, size, percent):
@@ -71,3 +74,35 @@ def test_one_of_each(docs, odd_rows):
     got = sorted(r["doc_id"] for r in kept.collect() if (r["text"] or "").strip() and r["doc_id"] is not None)
     assert got == want
     assert kept.filter("trim(coalesce(text, ' ')) = '' OR doc_id = 3").count() == 4  # empty texts stay
+
+
+def test_members_of_a_large_star_are_joined_only_where_they_can_link(spark):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 62, 120).astype(np.uint64)
+
+    def changed(n):
+        out = base.copy()
+        out[draw.choice(len(base), n, replace=False)] = draw.integers(0, 1 << 62, n).astype(np.uint64)
+        return np.unique(out)
+    members = [np.unique(base)] + [changed(int(n)) for n in draw.integers(1, 10, 79)]
+    around = [changed(int(n)) for n in draw.integers(12, 40, 60)] + [np.delete(m, [0, 1, 2, 3]) for m in members[70:]]
+    sets = dict(enumerate(members + around))
+    apart = {(i, j): len(np.setxor1d(sets[i], sets[j])) for i in range(len(members)) for j in range(len(members), len(sets))}
+    links = {(i, j) for i, j in apart if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert links
+
+    def row(i, star, size):
+        d = len(np.setxor1d(sets[i], sets[star]))
+        return (star, i, len(sets[i]), tuple(int(w) for w in _sketch(sets[i])), d, size, float(i))
+    stars = spark.createDataFrame(
+        [row(i, 0, len(members)) if i < len(members) else row(i, i, 1) for i in sets],
+        "star long, sid long, n int, sketch struct<w0 long, w1 long, w2 long, w3 long>, d long, members long, rank double")
+    stars = stars.withColumn("rank", F.when(F.col("members") > 1, F.col("rank")).otherwise(0.0))
+    heads = stars.groupBy("star").agg(F.max("d").alias("radius"), F.min("n").alias("n_min"), F.max("n").alias("n_max")) \
+        .join(stars.filter("sid = star").select("star", "sketch"), "star")
+    join = _Join(None, None, 4, 85)
+    for large, small in (("l", "k"), ("k", "l")):
+        pairs = spark.createDataFrame([(0, j, apart[0, j]) for j in range(len(members), len(sets))], f"{large} long, {small} long, distance long")
+        met = {tuple(sorted(r)) for r in join.member_pairs(pairs, stars, heads, 0, 1000).select("a", "b").collect()}
+        assert links <= met
+        assert join.star_members(pairs, stars, heads, 1000).count() <= len(members) * len(around) // 4
