@@ -45,6 +45,7 @@ from .common import components, fresh, map_batches, ship, stored
 from .hashing import shingles, word_hashes
 
 BUCKETS = 1 << 17  # of the frequency histogram
+TEXTS = 100  # that are hashed at once: a worker needs some 50 bytes for each of their bytes
 SKETCH = 4  # words of 64 bits of a set's sketch
 FIRST_TRIES = 6  # members of a star that a set near its leader is compared with first; later, all if need be
 
@@ -75,8 +76,8 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(BUCKETS, np.int64)  # of the whole task
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for s in _sets(batch.slice(at, 500)["text"], size):
+            for at in range(0, batch.num_rows, TEXTS):
+                for s in _sets(batch.slice(at, TEXTS)["text"], size):
                     own += np.bincount((s >> np.uint64(47)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 16 else 0
                     if 0 < len(s) <= BUCKETS // 16:
                         np.add.at(own, (s >> np.uint64(47)).astype(np.int64), 1)
@@ -122,7 +123,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     both = two.join(F.broadcast(pairs) if pairs.count() <= 250_000 else pairs, "b").join(one, "a")
-    return stored(map_batches(both, intersect, f"{schema}, common long", 250), "verified")
+    return stored(map_batches(both, intersect, f"{schema}, common long", TEXTS // 2), "verified")
 
 
 def _links(verified: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +230,7 @@ def link_components(df: DataFrame, size: int = 4, percent: int = 85, id_col: str
 
     words = ", ".join(f"w{i}: long" for i in range(SKETCH))
     rows = stored(map_batches(texts, summarise, f"id {kind}, row long, sid long, n long, prefix array<long>, sketch struct<{words}>",
-                              500), "set-rows")
+                              TEXTS), "set-rows")
     sets = stored(rows.filter("n > 0").select("sid", "n", "sketch").dropDuplicates(["sid"]), "sets")
     join = _Join(texts, rows.select("row", "sid"), size, percent)
 

@@ -27,7 +27,7 @@ from .common import map_batches, stored
 
 SIZE, END = 1024, 2
 NUMBER_GROUP = 4_000  # pieces that one task numbers together
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 200_000  # a worker keeps it for as long as it lives, whatever it does next
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 

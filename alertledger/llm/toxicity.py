@@ -30,7 +30,7 @@ from .common import map_batches, stored
 STEMS = (4, 5)  # lengths of the word beginnings
 FOLDS = 5
 _word = re.compile(r"[^\W\d_]+")
-_CACHE_LIMIT = 300_000
+_CACHE_LIMIT = 150_000
 
 
 def word_features(word: str) -> list[str]:
@@ -128,13 +128,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
             best = per_feature.filter(f"docs >= {max(2, n // 1000)}").orderBy(score.desc(), "f").limit(n_features // len(ys))
             chosen |= dict.fromkeys(r["f"] for r in best.collect())
     features = sorted(chosen)
-    place = {f: i for i, f in enumerate(features)}
 
     order = sorted(range(n), key=lambda i: (str(heads[i]["row"][0]), heads[i]["row"][1]))
     row_of = {tuple(heads[i]["row"]): at for at, i in enumerate(order)}
     x = np.zeros((n, len(features)))
-    for r in one_each.filter(F.col("f").isin(features)).select("row", "f", "n").collect():  # max_rows x n_features at most
-        x[row_of[tuple(r["row"])], place[r["f"]]] = np.log1p(r["n"])
+    if features:
+        # a list of numbers (place and count in one) for each row: not an object for each feature of each row
+        at = F.array_position(F.array(*map(F.lit, features)), F.col("f")) - 1
+        held = one_each.filter(F.col("f").isin(features)).groupBy("row").agg(F.collect_list(F.shiftleft(at, 32) + F.col("n")).alias("w"))
+        for r in held.collect():  # max_rows at most, of n_features each
+            w = np.array(r["w"], np.int64)
+            x[row_of[tuple(r["row"])], w >> 32] = np.log1p(w & 0xFFFFFFFF)
     y = np.array([[heads[i][c] for c in ys] for i in order], float).reshape(n, len(ys))
     fold = np.arange(n) % FOLDS
     return Chain(categories, features, fit_chain(x, y, fold))

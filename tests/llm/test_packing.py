@@ -8,7 +8,7 @@ from collections import Counter
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from alertledger.llm.packing import default_vocabulary, encoder, pack, plan_sequences, sequences
+from alertledger.llm.packing import ChunkEncoder, default_vocabulary, encoder, pack, plan_sequences, sequences
 
 
 def tokens(text):
@@ -80,3 +80,11 @@ def test_pack_round_trip(docs, odd_rows):
     assert whole == {s: b"".join(x[2] for x in parts) for s, parts in by.items()}
     packed.unpersist()
     assert pack(docs([])).count() == 0
+
+
+def test_a_worker_does_not_keep_every_chunk():
+    """The chunks stay in a worker whatever it does next, so they are limited; before, 500,000 were kept."""
+    encode = ChunkEncoder(default_vocabulary())
+    for at in range(0, 220_000, 1000):
+        encode(" ".join(f"k{i:x}" for i in range(at, at + 1000)))
+        assert len(encode._cache) <= 202_000

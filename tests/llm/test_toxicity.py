@@ -56,3 +56,15 @@ def test_chain_uses_out_of_fold_probabilities():
     assert ((p[:, 0] > 0.5) == (first > 0)).mean() > 0.97
     constant = fit_logistic(x, np.zeros(400))
     assert constant[:-1].any() == False and constant[-1] < -15  # noqa: E712
+
+
+def test_the_driver_gets_one_row_a_labelled_document(spark, docs, monkeypatch):
+    """Before, training collected an object for each feature of each row."""
+    collected = []
+    frame = type(spark.range(1))
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (collected.append(real(self)), collected[-1])[1])
+    rows, labels = corpus(60, 3)
+    known = spark.createDataFrame(labels, "doc_id long, junk int, toxic int")
+    chain = train(docs(rows), known, ["junk", "toxic"])
+    assert chain.features and max(map(len, collected)) <= max(60, len(chain.features))
