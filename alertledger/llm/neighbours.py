@@ -97,34 +97,42 @@ def tree_depth(n: int, block: int) -> int:
     return max(0, math.ceil(math.log2(n / block))) if n else 0
 
 
-def _start(nodes: DataFrame, dim: int, tree: int, degree: int, block: int) -> DataFrame:
-    """Neighbours within blocks along random projections: a, b, d."""
+def _start(nodes: DataFrame, dim: int, trees: int, degree: int, block: int) -> DataFrame:
+    """Neighbours within blocks along the random projections of ``trees`` trees: a, b, d."""
     n = nodes.count()
     depth = tree_depth(n, block)
-    planes = np.random.default_rng(1000 + tree).normal(size=(dim, depth + 1))
+    planes = [np.random.default_rng(1000 + tree).normal(size=(dim, depth + 1)) for tree in range(trees)]
 
     def project(batch: pa.RecordBatch) -> pa.RecordBatch:
-        side = _vectors(batch["v"]) @ planes
-        # order of a binary tree of hyperplanes, and along one more direction within its leaves
-        code = ((side[:, :depth] > 0) @ (1 << np.arange(depth))[::-1]).astype(np.float64)
-        spot = code + 1 / (1 + np.exp(-side[:, depth] / (np.abs(side[:, depth]).mean() + 1e-12)))
-        return pa.RecordBatch.from_arrays([batch["node"], batch["v"], pa.array(spot)], names=["node", "v", "spot"])
+        v, spots = _vectors(batch["v"]), []
+        for tree in planes:
+            side = v @ tree
+            # order of a binary tree of hyperplanes, and along one more direction within its leaves
+            code = ((side[:, :depth] > 0) @ (1 << np.arange(depth))[::-1]).astype(np.float64)
+            spots.append(code + 1 / (1 + np.exp(-side[:, depth] / (np.abs(side[:, depth]).mean() + 1e-12))))
+        rows = pa.array(np.tile(np.arange(batch.num_rows), trees))
+        tree_of = pa.array(np.repeat(np.arange(trees, dtype=np.int32), batch.num_rows))
+        return pa.RecordBatch.from_arrays([batch["node"].take(rows), batch["v"].take(rows), tree_of, pa.array(np.concatenate(spots))],
+                                          names=["node", "v", "tree", "spot"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = list(batches)  # PART_ROWS rows or so
         if not sum(b.num_rows for b in own):
             return
-        t = pa.Table.from_batches(own).sort_by([("spot", "ascending"), ("node", "ascending")])
+        t = pa.Table.from_batches(own).sort_by([("tree", "ascending"), ("spot", "ascending"), ("node", "ascending")])
         ids, v = t["node"].to_numpy(), _vectors(t["v"])
-        for at in range(0, len(ids), block):
-            stop = at + block if len(ids) - at >= 2 * block or at + block >= len(ids) else len(ids)
-            a, b, d = _block_neighbours(ids[at:stop], v[at:stop], degree)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
-            if stop == len(ids):
-                return
-
-    placed = map_batches(nodes, project, "node long, v binary, spot double")
-    return (placed.repartitionByRange(max(1, -(-n // PART_ROWS)), "spot", "node")
+        edge = np.flatnonzero(np.diff(t["tree"].to_numpy())) + 1
+        for lo, hi in zip([0, *edge], [*edge, len(ids)], strict=True):
+            for at in range(lo, hi, block):
+                stop = at + block if hi - at >= 2 * block or at + block >= hi else hi
+                stop = min(stop, hi)
+                a, b, d = _block_neighbours(ids[at:stop], v[at:stop], degree)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
+                if stop == hi:
+                    break
+
+    placed = map_batches(nodes, project, "node long, v binary, tree int, spot double")
+    return (placed.repartitionByRange(max(1, -(-n * trees // PART_ROWS)), "tree", "spot", "node")
             .mapInArrow(cut, "a long, b long, d double"))
 
 
@@ -134,22 +142,41 @@ def _closest(edges: DataFrame, degree: int) -> DataFrame:
     return edges.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= degree).drop("n")
 
 
-def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` nearest distinct neighbours of each node; ``old`` (of a pair in the graph before) stays, if it is there."""
-    old = [F.max("old").alias("old")] if "old" in edges.columns else []
-    return _closest(edges.groupBy("a", "b").agg(F.min("d").alias("d"), *old), degree)
+def _lists(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
+    """One row a node (stored): a, near (d, b of its ``degree`` nearest distinct neighbours), changed (how many of them are not
+    ``old``) and its code. All is done where the node's ``edges`` (a, b, d, old) have been sent."""
+    pairs = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("old").alias("old"))
+    near = _closest(pairs, degree).groupBy("a").agg(
+        F.sort_array(F.collect_list(F.struct("d", "b"))).alias("near"), F.count_if(~F.col("old")).alias("changed"))
+    return stored(near.join(nodes.select(F.col("node").alias("a"), "code"), "a"), "graph")
 
 
-def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
-    """Pairs (a, b, d) that meet at a node and are nearer than what one of them has."""
-    ship(nodes.sparkSession)
-    far = graph.groupBy("a").agg(F.max("d").alias("far")).withColumnRenamed("a", "u")
-    back = _closest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), degree)
-    meet = graph.select("a", F.col("b").alias("u")).union(back.select("a", F.col("b").alias("u"))).distinct()
-    full = nodes.join(far, nodes["node"] == far["u"]).select("u", "code", "far")
+def _edges(lists: DataFrame) -> DataFrame:
+    return lists.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.d")
+
+
+def _descend(lists: DataFrame, degree: int) -> DataFrame:
+    """Pairs (a, b, d) that meet at a node and are nearer than what one of them has.
+
+    Each node sends what it is measured by to its neighbours: two shuffles, to the neighbours and to where pairs meet.
+    """
+    ship(lists.sparkSession)
+    known = lists.select("a", "code", F.array_max("near.d").alias("far"), "near")
+    own = known.select(F.col("a").alias("at"), F.col("a").alias("u"), F.lit(None).cast("double").alias("d"), "code", "far")
+    sent = known.select(F.col("a").alias("u"), "code", "far", F.explode("near").alias("x")).select(F.col("x.b").alias("at"), "u", "x.d", "code", "far")
+    order = Window.partitionBy("at").orderBy(F.col("d").asc_nulls_first(), "u")  # the node's own row first
+    first = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heard = own.union(sent).repartition("at").select(
+        "at", "u", "code", "far", (F.row_number().over(order) - 1).alias("n"),
+        F.first("code").over(first).alias("own_code"), F.first("far").over(first).alias("own_far")).filter("n > 0")
+    to_sender = F.struct(F.col("u").alias("a"), F.col("at").alias("u"), F.col("own_code").alias("code"), F.col("own_far").alias("far"))
+    from_sender = F.struct(F.col("at").alias("a"), "u", "code", "far")
+    both = F.when(F.col("n") <= degree, F.array(to_sender, from_sender)).otherwise(F.array(to_sender))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, "a"):
+            at, u = (t[c].to_numpy() for c in ("a", "u"))
+            t = t.filter(pa.array(np.append(True, (at[1:] != at[:-1]) | (u[1:] != u[:-1]))))  # neighbours both ways come twice
             at, u, far = (t[c].to_numpy() for c in ("a", "u", "far"))
             v = _unrounded(t["code"])
             edge = np.flatnonzero(np.diff(at)) + 1
@@ -166,8 +193,8 @@ def _descend(nodes: DataFrame, graph: DataFrame, degree: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u[i]), pa.array(u[j]), pa.array(apart)],
                                              names=["a", "b", "d"])
 
-    gathered = meet.join(full, "u").select("a", "u", "code", "far")
-    return gathered.repartition("a").sortWithinPartitions("a").mapInArrow(pairs, "a long, b long, d double")
+    gathered = heard.select(F.explode(both).alias("x")).select("x.*")
+    return gathered.repartition("a").sortWithinPartitions("a", "u").mapInArrow(pairs, "a long, b long, d double")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, max_rounds: int = MAX_ROUNDS,
@@ -175,30 +202,27 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, trees: int = TREES, max_
     """a, b, d: the nearest neighbours of each node found. ``nodes``: node long, dim int, v (packed doubles), code (rounded)."""
     first = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("d")).limit(0)
     for dim in sorted(r["dim"] for r in nodes.select("dim").distinct().collect()):
-        for tree in range(trees):
-            part = _start(nodes.filter(F.col("dim") == dim).select("node", "v"), dim, tree, degree, block)
-            first = first.union(part)
-    graph = stored(_nearest(first, degree), "graph")
+        first = first.union(_start(nodes.filter(F.col("dim") == dim).select("node", "v"), dim, trees, degree, block))
+    graph = _lists(first.withColumn("old", F.lit(False)), nodes, degree)
     for _ in range(max_rounds):
-        met = _descend(nodes, graph, degree).withColumn("old", F.lit(False))
-        better = stored(_nearest(graph.withColumn("old", F.lit(True)).union(met), degree), "graph")
-        changed = better.filter("NOT old").count()  # pairs that the graph before did not have
-        graph = better.drop("old")
-        if changed <= SETTLED * graph.count():
-            return graph
+        met = _descend(graph, degree).withColumn("old", F.lit(False))
+        graph = _lists(_edges(graph).withColumn("old", F.lit(True)).union(met), nodes, degree)
+        # pairs that the graph before did not have, and all
+        changed, held = (n or 0 for n in graph.agg(F.sum("changed"), F.sum(F.size("near"))).first())
+        if changed <= SETTLED * held:
+            return _edges(graph)
     raise RuntimeError(f"the neighbour graph did not settle in {max_rounds} rounds: {changed} neighbours changed in the last")
 
 
-def _measure(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """q, b, d of pairs (q, b)."""
+def _measure(pairs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, b, d of pairs (q, b); ``asked``: q and its vector x."""
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not batch.num_rows:
             return None
         d = _distances(_vectors(batch["x"]), _vectors(batch["y"]))
         return pa.RecordBatch.from_arrays([batch["q"], batch["b"], pa.array(d)], names=["q", "b", "d"])
 
-    both = (pairs.join(nodes.select(F.col("node").alias("b"), F.col("v").alias("y")), "b")
-            .join(nodes.select(F.col("node").alias("q"), F.col("v").alias("x")), "q"))
+    both = pairs.join(nodes.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").join(asked, "q")
     return map_batches(both, measure, "q long, b long, d double", 4000)
 
 
@@ -207,16 +231,18 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam:
     back = _closest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), DEGREE)
     edges = stored(graph.select("a", "b").union(back.select("a", "b")).distinct(), "edges")
     order = Window.partitionBy("q").orderBy("d", "b")
+    asked = stored(nodes.select(F.col("node").alias("q"), F.col("v").alias("x")).join(queries, "q"), "query-vectors")
     entered = edges.join(queries, edges["a"] == queries["q"]).select("q", "b")
-    pool = _measure(entered, nodes).withColumn("expanded", F.lit(False))
+    pool = _measure(entered, nodes, asked).withColumn("expanded", F.lit(False))
     pool = pool.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= beam).drop("n")
     pool = stored(pool, "pool")
     for _ in range(steps):
         ahead = pool.filter("NOT expanded").select("q", F.col("b").alias("a"))
         if ahead.isEmpty():
             break
-        heard = ahead.join(edges, "a").select("q", "b").filter("q <> b").distinct()
-        new = _measure(heard.join(pool, ["q", "b"], "left_anti"), nodes).withColumn("expanded", F.lit(False))
+        heard = ahead.join(edges, "a").select("q", "b", F.lit(None).cast("double").alias("d")).filter("q <> b")
+        unknown = heard.union(pool.select("q", "b", "d")).groupBy("q", "b").agg(F.max("d").alias("d")).filter("d IS NULL")
+        new = _measure(unknown.select("q", "b"), nodes, asked).withColumn("expanded", F.lit(False))
         pool = pool.withColumn("expanded", F.lit(True)).union(new.select("q", "b", "d", "expanded"))
         pool = pool.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= beam).drop("n")
         pool = stored(pool, "pool")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from alertledger.llm import neighbours
 from alertledger.llm.inner_product import search_bucket, top_products
 from alertledger.llm.neighbours import _rounded, build_graph, nearest_rows, tree_depth
 
@@ -124,3 +125,21 @@ def test_a_round_counts_its_changes_without_a_join_of_the_graphs(spark, monkeypa
     d = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag([np.inf] * 300)
     true = {(i, int(j)) for i in range(300) for j in np.argsort(d[i])[:16]}
     assert len(near & true) >= 0.9 * len(true)
+
+
+def test_a_round_sends_its_rows_three_times(spark, monkeypatch):
+    """Before, a round shuffled nine times and each tree was a job of its own."""
+    plans = []
+    real = neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, label))[1])
+    x = np.random.default_rng(7).normal(size=(200, 4))
+    nodes = spark.createDataFrame([(i, 4, v.tobytes(), bytes(_rounded(v[None])[0])) for i, v in enumerate(x)],
+                                  "node long, dim int, v binary, code binary").repartition(2)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        build_graph(nodes, degree=8, trees=3, block=16)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0].count("Exchange rangepartitioning") == 1
+    assert len(plans) > 1 and all(plan.count("Exchange hashpartitioning") == 4 for plan in plans[1:])  # the fourth: the nodes' codes
