@@ -36,7 +36,7 @@ PARSED_VIEW = ["id", "thread_id", "sender", "recipient", "subject", "bank", "txn
 # ----------------------------------------------------------------- shared lazy frames
 def _bronze(spark: SparkSession, sf_dir: str, alerts: DataFrame | None = None) -> DataFrame:
     configure(spark)
-    a = fx.alerts_from_orders(spark, sf_dir) if alerts is None else alerts
+    a = fx.alerts_from_orders(spark, sf_dir, tasks=_parse_tasks(spark, sf_dir)) if alerts is None else alerts
     return to_bronze(a, "landing", fx.ntz(fx.BRONZE_NOW))
 
 
@@ -44,16 +44,17 @@ PARSE_PARTITIONS = 16  # least tasks of the parse in the registered queries, and
 
 
 def _parse_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the orders are dealt over; their alerts are parsed in the same tasks, and no text is shuffled before."""
     return fx.tasks_for_orders(spark, sf_dir, PARSE_PARTITIONS)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW), _parse_tasks(spark, sf_dir))
+    return parse_alerts(_bronze(spark, sf_dir), fx.ntz(fx.SILVER_NOW))
 
 
-def _committed(spark: SparkSession, bronze: DataFrame, now: str, tasks: int = PARSE_PARTITIONS) -> DataFrame:
+def _committed(spark: SparkSession, bronze: DataFrame, now: str, tasks: int | None = PARSE_PARTITIONS) -> DataFrame:
     """The flagged parse of ``bronze``, written once as a layer and read back: splits, dates and counts read
-    only the columns they need, and no filter runs a pattern again."""
+    only the columns they need, and no filter runs a pattern again. ``tasks``: None for bronze that is dealt already."""
     store = LayerStore(spark, scratch_dir(spark, "parsed"))
     parsed = flagged(parse_alerts(bronze, fx.ntz(now), tasks))
     store.write(parsed, "parsed", partition_by=[DQ])
@@ -61,7 +62,7 @@ def _committed(spark: SparkSession, bronze: DataFrame, now: str, tasks: int = PA
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _committed(spark, _bronze(spark, sf_dir), fx.SILVER_NOW, _parse_tasks(spark, sf_dir))
+    return _committed(spark, _bronze(spark, sf_dir), fx.SILVER_NOW, None)
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     bronze = _bronze(spark, sf_dir)
-    parsed = _committed(spark, bronze, fx.SILVER_NOW, _parse_tasks(spark, sf_dir))
+    parsed = _committed(spark, bronze, fx.SILVER_NOW, None)
     clean, quarantine = clean_rows(parsed), quarantine_rows(parsed)
     silver = upsert(None, to_silver(clean))
     return {"bronze": bronze, "parsed": parsed, "silver_clean": clean, "silver_quarantine": quarantine,
@@ -84,13 +85,13 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str, split: int) -> DataFrame:
     """Alerts split into runs: rows of run ``split`` only (r = 0 or r = 1)."""
-    a = fx.alerts_from_orders(spark, sf_dir, keep_parts=True)
+    a = fx.alerts_from_orders(spark, sf_dir, keep_parts=True, tasks=_parse_tasks(spark, sf_dir))
     return a.filter(F.col("r") == split).drop("o_orderkey", "o_custkey", "r", "k")
 
 
 def _silver_run(spark: SparkSession, sf_dir: str, split: int, now: str) -> DataFrame:
     bronze = _bronze(spark, sf_dir, _runs(spark, sf_dir, split))
-    return to_silver(clean_rows(_committed(spark, bronze, now, _parse_tasks(spark, sf_dir))))
+    return to_silver(clean_rows(_committed(spark, bronze, now, None)))
 
 
 # ----------------------------------------------------------------- sources / parser

@@ -55,10 +55,10 @@ def _mod(c: str, n: int) -> Column:
 
 
 # --------------------------------------------------------------------------- §2
-def _alert_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _alert_parts(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """orders ⋈ customer plus one resend row for every 7th order (r = 1).
 
-    The rows are dealt over as many tasks as the orders ask for while they are numbers: files of orders can be few
+    The rows are dealt over ``tasks`` (as many as the orders ask for) while they are numbers: files of orders can be few
     and long, and the texts made of a row cost far more than the row.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -80,7 +80,7 @@ def _alert_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (ck % 4 + 1).cast("int")).alias("city"),
         local.alias("local"),
         F.abs(F.col("c_acctbal")).cast(MONEY).alias("bal"),
-    ).repartition(tasks_for_orders(spark, sf_dir, TEXT_TASKS))
+    ).repartition(tasks_for_orders(spark, sf_dir, TEXT_TASKS) if tasks is None else tasks)
 
 
 def _two(c: Column) -> Column:
@@ -130,9 +130,9 @@ SENDERS = ["alerts@hdfcbank.example", "alerts@icicibank.example", "alerts@axisba
            "alerts@sbi.example", "alerts@other.example"]
 
 
-def alerts_from_orders(spark: SparkSession, sf_dir: str, keep_parts: bool = False) -> DataFrame:
-    """Landing-schema alert messages synthesised from orders (FIXTURES §2)."""
-    p = _alert_parts(spark, sf_dir)
+def alerts_from_orders(spark: SparkSession, sf_dir: str, keep_parts: bool = False, tasks: int | None = None) -> DataFrame:
+    """Landing-schema alert messages synthesised from orders (FIXTURES §2), evenly over ``tasks``."""
+    p = _alert_parts(spark, sf_dir, tasks)
     ok = F.col("o_orderkey")
     body = F.when(ok % 79 != 11, _body(p))
     event_time = F.when(ok % 83 != 3,

@@ -68,3 +68,9 @@ def test_fallback_amounts_and_white_space_of_odd_texts(spark):
     plan = parse_fields(bronze)._jdf.queryExecution().optimizedPlan().toString()
     guarded = plan.split("AS _raw_amount_generic")[0].rsplit("CASE WHEN", 2)
     assert "_raw_amount_anchored" in "".join(guarded[-2:]) or "_raw_amount_postfix" in "".join(guarded[-2:])
+
+
+def test_texts_are_parsed_where_they_are_built(spark):
+    """Before, the alerts' texts were shuffled once more between the orders' deal and the parse."""
+    plan = registry._parsed(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange RoundRobinPartitioning(16)") == 1
